@@ -46,6 +46,11 @@ def measured(t: Tables, s: Settings, level: str, sources: Sequence[str]) -> Data
     for source in sources:
         totals, key = _totals(t, s, level, source)
         frame = frame.join(totals.withColumnRenamed("total", f"total_{source}"), key)
+    return with_rates(frame, s, sources)
+
+
+def with_rates(frame: DataFrame, s: Settings, sources: Sequence[str]) -> DataFrame:
+    """Adds total, rate and share from ``total_<source>`` and ``acres_calc``."""
     rates = {s.rate(x): annual(F.col(f"total_{x}"), s.years[x]) for x in sources}
     shares = {s.share(x): percent_of_area(F.col(s.rate(x)), F.col("acres_calc")) for x in sources}
     totals = {_total(s, x): F.col(f"total_{x}").cast("double") for x in sources}

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from decimal import Decimal
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,7 @@ def settings() -> Settings:
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The logical tables as lazy plans over the Parquet files of ``sf_dir``."""
 
+    @cache
     def read(name: str) -> DataFrame:
         return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
@@ -98,10 +100,12 @@ def staged_tables(spark: SparkSession, sf_dir: str) -> Tables:
     raw.order_sums(list(ORDER_SUMS), False).write.parquet(f"{folder}/orders")
     raw.line_sums(list(LINE_SUMS), False).write.parquet(f"{folder}/lines")
 
-    def stored(name: str) -> Sums:
-        return lambda names, only: spark.read.parquet(f"{folder}/{name}").select("atlas_stco", *names)
-
-    return _tables(raw.read, stored("orders"), stored("lines"))
+    orders, lines = spark.read.parquet(f"{folder}/orders"), spark.read.parquet(f"{folder}/lines")
+    return _tables(
+        raw.read,
+        lambda names, only: orders.select("atlas_stco", *names),
+        lambda names, only: lines.select("atlas_stco", *names),
+    )
 
 
 class _Derived(Tables):
@@ -119,6 +123,7 @@ def _tables(read: Callable[[str], DataFrame], order_sums: Sums, line_sums: Sums)
         )
         return wide.select("atlas_stco", F.inline(rows)).where(F.col("acres").isNotNull())
 
+    @cache
     def counties() -> DataFrame:
         # A left join: where the area is not asked for, Catalyst drops the orders.
         return (
@@ -136,6 +141,7 @@ def _tables(read: Callable[[str], DataFrame], order_sums: Sums, line_sums: Sums)
             .withColumn("acres_calc", _acres("total") * 4)
         )
 
+    @cache
     def districts() -> DataFrame:
         return read("customer").select(
             F.col("c_custkey").cast("string").alias("fips"),
@@ -188,9 +194,9 @@ def _tables(read: Callable[[str], DataFrame], order_sums: Sums, line_sums: Sums)
         )
 
     build = {
-        "study_classes": lambda: classes("study_classes", [c[-1] for c in ORDER_SUMS if c.startswith("class_")]),
+        "study_classes": lambda: classes("study_classes", _labels(ORDER_SUMS)),
         "study_states": study_states,
-        "nlcd_classes": lambda: classes("nlcd_classes", [c[-1] for c in LINE_SUMS if c.startswith("class_")]),
+        "nlcd_classes": lambda: classes("nlcd_classes", _labels(LINE_SUMS)),
         "nri": nri,
         "nass": nass,
         "counties": counties,
@@ -202,6 +208,10 @@ def _tables(read: Callable[[str], DataFrame], order_sums: Sums, line_sums: Sums)
     return _Derived(lambda name: build[name](), classes, read, order_sums, line_sums)
 
 
+def _labels(sums: dict[str, str]) -> list[str]:
+    return [name.removeprefix("class_") for name in sums if name.startswith("class_")]
+
+
 def _only(rows: DataFrame, sums: dict[str, str], names: Sequence[str], only: bool) -> DataFrame:
     return rows.where(" OR ".join(f"({sums[n]})" for n in names)) if only else rows
 

@@ -1,0 +1,296 @@
+"""DuckDB twins of the registered queries, in the plainest form of each: classes
+joined with themselves, dimensions joined before sums, one SELECT per dataset."""
+
+from __future__ import annotations
+
+# The logical tables from the given ones.
+TABLES = """
+WITH o AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS atlas_stco, o_orderkey, o_orderstatus, o_orderpriority,
+         CAST(o_totalprice AS DECIMAL(18,2)) AS price
+  FROM orders
+), li AS (
+  SELECT o.atlas_stco, l_returnflag, l_linestatus, l_discount,
+         CAST(l_extendedprice AS DECIMAL(18,2)) AS price
+  FROM lineitem JOIN o ON l_orderkey = o_orderkey
+), counties AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS atlas_stco, c_name AS atlas_name, r_name AS state_name,
+         CAST(r_regionkey AS VARCHAR) AS st_abbrev, 4 * a.price AS acres_calc, hex(encode(c_name)) AS geom
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  JOIN (SELECT atlas_stco, sum(price) AS price FROM o GROUP BY ALL) a
+    ON a.atlas_stco = CAST(c_custkey AS VARCHAR)
+), county_states AS (
+  SELECT atlas_stco, state_name FROM counties
+), states AS (
+  SELECT r_name AS atlas_name, CAST(r_regionkey AS VARCHAR) AS st_abbrev,
+         CAST(sum(acres_calc) AS DOUBLE) AS acres_calc, hex(encode(r_name)) AS geom
+  FROM region JOIN counties ON r_name = state_name GROUP BY r_name, r_regionkey
+), district_lookup AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS fips, CAST(c_nationkey AS VARCHAR) AS district_unique FROM customer
+), district_areas AS (
+  SELECT district_unique, CAST(sum(acres_calc) AS DOUBLE) AS acres, hex(encode(district_unique)) AS geom
+  FROM counties JOIN district_lookup ON atlas_stco = fips GROUP BY district_unique
+), study AS (
+  SELECT atlas_stco, o_orderstatus AS label, sum(price) AS acres FROM o GROUP BY ALL
+), nlcd AS (
+  SELECT atlas_stco, l_returnflag AS label, sum(price) AS acres FROM li GROUP BY ALL
+), nri AS (
+  SELECT li.atlas_stco, st_abbrev,
+         sum(price) FILTER (WHERE l_returnflag = 'A' AND l_linestatus = 'F' AND l_discount <= 0.01) AS expansion
+  FROM li JOIN counties ON li.atlas_stco = counties.atlas_stco GROUP BY li.atlas_stco, st_abbrev
+), nass AS (
+  SELECT atlas_stco,
+         sum(price) FILTER (WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')
+         - sum(price) FILTER (WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW') AS diff
+  FROM o GROUP BY atlas_stco
+), study_states AS (
+  SELECT state_name AS atlas_name, sum(acres) AS expansion
+  FROM study JOIN counties USING (atlas_stco) WHERE label = 'F' GROUP BY state_name
+), net AS (
+  SELECT g.atlas_stco, g.acres - l.acres AS acres
+  FROM (SELECT * FROM study WHERE label = 'F') g JOIN (SELECT * FROM study WHERE label = 'P') l USING (atlas_stco)
+)"""
+
+# Per county: relation, amount, condition, years.
+_SOURCES = {
+    "exp": ("study", "acres", "label = 'F'", 8),
+    "net": ("net", "acres", "true", 8),
+    "nlcd": ("nlcd", "acres", "label = 'R'", 8),
+    "nri": ("nri", "expansion", "expansion IS NOT NULL", 8),
+    "nass": ("nass", "diff", "true", 10),
+}
+_STUDY = {"NRI": "exp", "NLCD": "exp", "NASS": "net"}
+_KEYS = {"counties": "atlas_stco", "districts": "district_unique", "states": "atlas_name"}
+_MAPS = {
+    "counties": {"map1": ("study_share", 1.0), "map2": ("share", 1.0), "map3": ("diff_acres", 0.2)},
+    "districts": {
+        "map1": ("study_share", 1.0),
+        "map2": ("share", 1.0),
+        "map3_diff_acres": ("diff_acres", 1.0),
+        "map3_diff_ratio": ("diff_ratio", 20.0),
+    },
+    "states": {"map1": ("study_share", 1.0), "map2": ("share", 1.0), "map3": ("diff_acres", 1.0)},
+}
+_DRAWN = {
+    "counties": ("map2", "map3"),
+    "districts": ("map2", "map3_diff_acres"),
+    "states": ("map2", "map3"),
+}
+
+
+def _names(source: str) -> tuple[str, str]:
+    rate = "acres_study_per_year" if source in ("exp", "net") else "acres_per_year"
+    return rate, f"{rate}_per_eu"
+
+
+def _county(source: str) -> str:
+    relation, amount, condition, years = _SOURCES[source]
+    rate, share = _names(source)
+    columns = [
+        "c.atlas_stco",
+        "c.atlas_name",
+        f"CAST({amount} AS DOUBLE) / {years} AS {rate}",
+        f"CAST({amount} AS DOUBLE) / {years} / CAST(c.acres_calc AS DOUBLE) * 100 AS {share}",
+    ]
+    if source in ("nlcd", "nri"):
+        columns.append(f"CAST({amount} AS DOUBLE) AS acres")
+    if rate == "acres_per_year":
+        columns += ["CAST(c.acres_calc AS DOUBLE) AS acres_calc", "c.geom"]
+    return f"SELECT {', '.join(columns)} FROM {relation} a JOIN counties c USING (atlas_stco) WHERE {condition}"
+
+
+def _district(source: str) -> str:
+    relation, amount, condition, years = _SOURCES[source]
+    if source == "nri":
+        condition = "true"  # missing values stay and count as nothing
+    return (
+        f"SELECT district_unique, state_name, CAST(sum({amount}) AS DOUBLE) / {years} AS {_names(source)[0]} "
+        f"FROM {relation} a JOIN counties c USING (atlas_stco) JOIN district_lookup d ON c.atlas_stco = d.fips "
+        f"WHERE {condition} GROUP BY state_name, district_unique"
+    )
+
+
+def _state(source: str) -> str:
+    rate, share = _names(source)
+    totals = {
+        "exp": "SELECT atlas_name, expansion AS acres FROM study_states",
+        "net": "SELECT state_name AS atlas_name, sum(acres) AS acres FROM net "
+        "JOIN county_states USING (atlas_stco) GROUP BY state_name",
+        "nlcd": "SELECT s.atlas_name, sum(a.acres) AS acres FROM nlcd a JOIN counties c USING (atlas_stco) "
+        "JOIN states s ON s.atlas_name = c.state_name WHERE label = 'R' GROUP BY s.atlas_name",
+        "nri": "SELECT s.atlas_name, sum(expansion) AS acres FROM nri a JOIN states s USING (st_abbrev) "
+        "GROUP BY s.atlas_name",
+        "nass": "SELECT s.atlas_name, sum(diff) AS acres FROM nass a JOIN counties c USING (atlas_stco) "
+        "JOIN states s ON s.st_abbrev = c.st_abbrev WHERE diff IS NOT NULL GROUP BY s.atlas_name",
+    }[source]
+    years = _SOURCES[source][3]
+    columns = [
+        "s.atlas_name",
+        f"CAST(acres AS DOUBLE) / {years} AS {rate}",
+        f"CAST(acres AS DOUBLE) / {years} / s.acres_calc * 100 AS {share}",
+    ]
+    if source == "exp":
+        columns.append("CAST(acres AS DOUBLE) AS acres_study")
+    if source in ("nlcd", "nri"):
+        columns.append("CAST(acres AS DOUBLE) AS acres")
+    if rate == "acres_per_year":
+        columns.append("s.geom")
+    return f"SELECT {', '.join(columns)} FROM ({totals}) t JOIN states s USING (atlas_name)"
+
+
+_QUERY = {"counties": _county, "districts": _district, "states": _state}
+
+
+def _district_study(kind: str) -> str:
+    return (
+        f"SELECT d.*, a.acres, a.geom, acres_study_per_year / a.acres * 100 AS acres_study_per_year_per_eu "
+        f"FROM ({_district(kind)}) d JOIN district_areas a USING (district_unique)"
+    )
+
+
+def _clamp(x: str, sat: float) -> str:
+    return f"CASE WHEN {x} <= -{sat} THEN -{sat} WHEN {x} >= {sat} THEN {sat} ELSE {x} END"
+
+
+def _log1p(x: str) -> str:
+    return (
+        f"CASE WHEN {x} > -1 THEN ln(1 + {x}) WHEN {x} = -1 THEN -CAST('inf' AS DOUBLE) "
+        f"WHEN {x} < -1 THEN CAST('nan' AS DOUBLE) END"
+    )
+
+
+def _compare(level: str, dataset: str, key: str | None = None) -> str:
+    """Every column of a comparison; shares by the names of the output."""
+    kind, source = _STUDY[dataset], dataset.lower()
+    key = key or _KEYS[level]
+    if level == "districts":
+        inner = (
+            f"SELECT s.*, c.acres_per_year, c.acres_per_year / s.acres * 100 AS acres_per_year_per_eu "
+            f"FROM ({_district_study(kind)}) s JOIN ({_district(source)}) c USING (district_unique)"
+        )
+        logs = ", ".join(
+            f"round({_log1p(x)}, 9) AS {name}"
+            for x, name in (("acres_study_per_year", "x_log1p"), ("acres_per_year", "y_log1p"))
+        )
+        logs = ", " + logs
+    else:
+        study = _QUERY[level](kind)
+        other = _QUERY[level](source)
+        if level == "counties":
+            keep = "c.* EXCLUDE (atlas_stco, atlas_name)"
+            if key == "atlas_name":
+                keep = "c.* EXCLUDE (atlas_stco, atlas_name), c.atlas_stco AS atlas_stco_comparison"
+        else:
+            keep = "c.* EXCLUDE (atlas_name)"
+        inner = f"SELECT s.*, {keep} FROM ({study}) s JOIN ({other}) c ON s.{key} = c.{key}"
+        logs = ""
+    diff = "(acres_per_year_per_eu - acres_study_per_year_per_eu)"
+    return (
+        f"SELECT *, {diff} AS diff_acres, {diff} / acres_study_per_year_per_eu AS diff_ratio{logs} "
+        f"FROM ({inner}) j"
+    )
+
+
+def _long(level: str) -> str:
+    logs = ", x_log1p, y_log1p" if level == "districts" else ""
+    return " UNION ALL ".join(
+        f"SELECT '{level}' AS level, '{d}' AS dataset, {_KEYS[level]} AS zone, acres_study_per_year, "
+        f"acres_study_per_year_per_eu, acres_per_year, acres_per_year_per_eu, diff_acres, diff_ratio{logs}, geom "
+        f"FROM ({_compare(level, d)}) x"
+        for d in _STUDY
+    )
+
+
+def _column(name: str) -> str:
+    return {"study_share": "acres_study_per_year_per_eu", "share": "acres_per_year_per_eu"}.get(name, name)
+
+
+def _by_map(level: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT *, '{m}' AS map, CAST({sat} AS DOUBLE) AS sat, {_clamp(_column(c), sat)} AS col_sat FROM long"
+        for m, (c, sat) in _MAPS[level].items()
+        if m in _DRAWN[level]
+    )
+
+
+def _choropleth(level: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT level, dataset, '{m}' AS map, zone, {_clamp(_column(c), sat)} AS col_sat, "
+        f"({_clamp(_column(c), sat)} + {sat}) / (2 * {sat}) AS fill_pos, geom FROM long"
+        for m, (c, sat) in _MAPS[level].items()
+    )
+
+
+def _fits() -> str:
+    finite = "isfinite(tx) AND isfinite(ty)"
+    return f"""
+SELECT level, dataset, n, n_dropped, min_val, max_val,
+       round(CASE WHEN spread THEN slope END, 6) AS slope,
+       round(CASE WHEN spread THEN intercept END, 3) AS intercept,
+       round(CASE WHEN spread AND min_y < max_y THEN r2 END, 8) AS r2, transform,
+       format('{{:,}}', CAST(round_even(min_val, 0) AS BIGINT)) AS min_label,
+       format('{{:,}}', CAST(round_even(max_val, 0) AS BIGINT)) AS max_label
+FROM (
+  SELECT level, dataset, transform,
+         count(*) FILTER (WHERE coalesce({finite}, false)) AS n,
+         count(*) FILTER (WHERE NOT coalesce({finite}, false)) AS n_dropped,
+         least(min(x), min(y)) AS min_val, greatest(max(x), max(y)) AS max_val,
+         regr_slope(ty, tx) FILTER (WHERE {finite}) AS slope,
+         regr_intercept(ty, tx) FILTER (WHERE {finite}) AS intercept,
+         regr_r2(ty, tx) FILTER (WHERE {finite}) AS r2,
+         min(tx) FILTER (WHERE {finite}) < max(tx) FILTER (WHERE {finite}) AS spread,
+         min(ty) FILTER (WHERE {finite}) AS min_y, max(ty) FILTER (WHERE {finite}) AS max_y
+  FROM (
+    SELECT level, dataset, acres_study_per_year AS x, acres_per_year AS y,
+           CASE WHEN dataset = 'NASS' THEN 'identity' ELSE 'log1p' END AS transform,
+           CASE WHEN dataset = 'NASS' THEN acres_study_per_year ELSE {_log1p('acres_study_per_year')} END AS tx,
+           CASE WHEN dataset = 'NASS' THEN acres_per_year ELSE {_log1p('acres_per_year')} END AS ty
+    FROM long
+  ) p GROUP BY ALL
+) f"""
+
+
+def _profiles(level: str) -> str:
+    columns = ["acres_study_per_year_per_eu", "acres_per_year_per_eu", "diff_acres", "diff_ratio"]
+    if level == "districts":
+        columns += ["x_log1p", "y_log1p"]
+    ok = " AND ".join(f"coalesce(isfinite({c}), false)" for c in columns)
+    return " UNION ALL ".join(
+        f"SELECT level, dataset, '{c}' AS \"column\", "
+        f"CASE WHEN bool_and({c} IS NOT NULL AND NOT isnan({c})) THEN min({c}) END AS min_all, "
+        f"CASE WHEN bool_and({c} IS NOT NULL AND NOT isnan({c})) THEN max({c}) END AS max_all, "
+        f"min({c}) FILTER (WHERE {ok}) AS min_finite, max({c}) FILTER (WHERE {ok}) AS max_finite "
+        f"FROM long GROUP BY level, dataset"
+        for c in columns
+    )
+
+
+def oracle_sql() -> dict[str, str]:
+    twins: dict[str, str] = {}
+
+    def add(name: str, body: str, *more: str) -> None:
+        twins[name] = ", ".join([TABLES, *more]) + "\n" + body
+
+    for level, build in _QUERY.items():
+        for source in _SOURCES:
+            label = f"study_{source}" if source in ("exp", "net") else source
+            add(f"{level}_{label}", build(source))
+    add("counties_study_net_self_join", _county("net"))
+    for kind in ("exp", "net"):
+        add(f"districts_study_{kind}_share", _district_study(kind))
+    for level in _QUERY:
+        for dataset in _STUDY:
+            column, sat = _MAPS[level][_DRAWN[level][1]]
+            add(
+                f"compare_{level}_{dataset.lower()}",
+                f"SELECT *, {_clamp(_column(column), sat)} AS col_sat FROM ({_compare(level, dataset)}) x",
+            )
+    add("compare_counties_nlcd_by_name", _compare("counties", "NLCD", "atlas_name"))
+    add("raw_districts_nass", f"SELECT * EXCLUDE (geom) FROM ({_compare('districts', 'NASS')}) x")
+    for level in _QUERY:
+        long = f"long AS ({_long(level)})"
+        add(f"comparisons_{level}", _by_map(level), long)
+        add(f"choropleth_{level}", _choropleth(level), long)
+        add(f"fits_{level}", _fits(), long)
+        add(f"profiles_{level}", _profiles(level), long)
+    return twins
