@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from landcompare.sources.schemas import SPECS, InvalidTable, check_columns, problems
 
@@ -61,7 +62,20 @@ class Tables:
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, folder: str) -> Tables:
-        return cls(lambda name: spark.read.parquet(f"{folder}/{name}"))
+        """Tables stored one per folder, as ``save_parquet`` leaves them."""
+
+        def load(name: str) -> DataFrame:
+            frame = spark.read.parquet(f"{folder}/{name}")
+            if name not in HISTOGRAMS:
+                return frame
+            # A label read from a folder name would be taken for a number.
+            texts = [
+                T.StructField(f.name, T.StringType() if f.name == "label" else f.dataType)
+                for f in frame.schema
+            ]
+            return spark.read.schema(T.StructType(texts)).parquet(f"{folder}/{name}")
+
+        return cls(load)
 
     @classmethod
     def from_catalog(cls, spark: SparkSession, names: Mapping[str, str]) -> Tables:

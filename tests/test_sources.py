@@ -1,0 +1,173 @@
+import csv
+import glob
+import json
+import math
+import os
+import tempfile
+
+import pytest
+
+from inline import by, tables
+from landcompare import Settings, Tables, load_settings
+from landcompare.operators.queries import query
+from landcompare.plans.compare import compare
+from landcompare.plans.report import report
+from landcompare.sources import sinks
+from landcompare.sources.jdbc import split_predicates
+from landcompare.sources.query_text import run_query
+from landcompare.sources.shared import shared_folder
+
+S = Settings()
+
+
+def read_csv(path):
+    rows = []
+    for part in sorted(glob.glob(f"{path}/part-*")):
+        with open(part, newline="") as f:
+            rows += list(csv.DictReader(f))
+    return rows
+
+
+def test_parquet_round_trip_prunes_by_label(spark, tmp_path):
+    tables(spark).save_parquet(str(tmp_path))
+    assert os.path.isdir(tmp_path / "study_classes" / "label=3")
+    stored = Tables.from_parquet(spark, str(tmp_path))
+    for level in ("counties", "districts", "states"):
+        for source in ("exp", "net", "nlcd", "nri", "nass"):
+            a, b = (query(t, S, level, source).collect() for t in (tables(spark), stored))
+            assert sorted(map(str, a)) == sorted(map(str, b))
+    plan = query(stored, S, "counties", "nlcd")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(label" in plan
+
+
+def test_bucketed_county_joins_need_no_shuffle(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS lc_test LOCATION '{tmp_path}'")
+    names = {n: f"lc_test.{n}" for n in ("study_classes", "nlcd_classes", "nri", "nass", "counties")}
+    try:
+        tables(spark).save_bucketed(names, 4)
+        t = Tables.from_catalog(spark, names)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for source in ("exp", "net", "nlcd", "nri", "nass"):
+            frame = query(t, S, "counties", source)
+            assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(str, frame.collect())) == sorted(
+                map(str, query(tables(spark), S, "counties", source).collect())
+            )
+        frame = compare(t, S, "counties", "NLCD")
+        assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP DATABASE lc_test CASCADE")
+
+
+def test_query_files(spark, tmp_path):
+    (tmp_path / "states").mkdir()
+    (tmp_path / "states" / "query_nri.sql").write_text(
+        """
+        -- totals of one survey by state
+        SELECT s.atlas_name, sum(n.expansion) / :years AS acres_per_year
+        FROM nri AS n INNER JOIN states AS s USING (st_abbrev)
+        GROUP BY s.atlas_name;
+        """
+    )
+    t = tables(spark)
+    t.register()
+    got = by(run_query(spark, str(tmp_path), "states", "nri", {"years": 8}), "atlas_name", "acres_per_year")
+    assert got == by(query(t, S, "states", "nri"), "atlas_name", "acres_per_year")
+
+
+def test_settings_from_json(spark, tmp_path):
+    study_share = "acres_abc_per_year_per_eu"
+    dataset = {"con": "ignored", "query": "query_nri.sql", "datasets_abc": "exp", "label": ["a", "b", "c"]}
+    body = {
+        "districts": {
+            "datasets_abc": {"exp": {"con_abc": "ignored", "query": "query_abc_exp.sql"}},
+            "datasets": {"NRI": dataset, "NASS": dataset | {"query": "query_nass.sql", "datasets_abc": "net"}},
+            "maps": {
+                "map1": {"current_col": study_share, "legend.title": "t", "palette": "RdBu", "sat": 1.0},
+                "map3_diff_ratio": {"current_col": "diff_ratio", "legend.title": "r", "palette": "RdBu", "sat": 20},
+                "map2": {"current_col": "acres_per_year_per_eu", "legend.title": "m", "palette": "RdBu", "sat": 0.5},
+            },
+            "scatterplots": {"raw": {"x": "a", "y": "b", "log_trans": ["no_log", "log10"]}},
+        }
+    }
+    path = tmp_path / "figures.json"
+    path.write_text(json.dumps(body, indent=2))
+    s = load_settings(spark, str(path), study_tag="abc", years={"exp": 4, "net": 4, "nri": 2, "nass": 5})
+    level = s.level("districts")
+    assert level.datasets["NRI"].labels == ("a", "b", "c")
+    assert (level.datasets["NRI"].transform, level.datasets["NASS"].transform) == ("log1p", "identity")
+    assert (level.datasets["NASS"].query, level.datasets["NASS"].study) == ("nass", "net")
+    assert level.drawn == ("map2",) and level.log_columns
+    assert level.maps["map3_diff_ratio"].sat == 20.0
+    assert level.scatterplots["raw"].log_trans == ("no_log", "log10")
+    t = tables(spark)
+    got = compare(t, s, "districts", "NRI", "map1")
+    assert by(got, "district_unique", study_share)["N1"] == 1.0  # 120 acres in 4 years of 3000
+    with pytest.raises(KeyError):
+        s.level("counties")
+
+
+def test_csv_text(spark, tmp_path):
+    frame = spark.createDataFrame(
+        [("a", 1.5, None, b"x"), ("b", math.inf, -math.inf, b"y"), ("c", math.nan, 0.0, b"z")],
+        "zone string, p double, q double, geom binary",
+    )
+    path = str(tmp_path / "out.csv")
+    sinks.write_csv(frame, path)
+    sinks.write_csv(frame, path)  # overwrites
+    assert sorted(read_csv(path), key=lambda r: r["zone"]) == [
+        {"zone": "a", "p": "1.5", "q": "NA"},
+        {"zone": "b", "p": "Inf", "q": "-Inf"},
+        {"zone": "c", "p": "NaN", "q": "0.0"},
+    ]
+
+
+@pytest.mark.parametrize("level", ["counties", "districts", "states"])
+def test_report(spark, tmp_path, level):
+    t = tables(spark)
+    results = report(spark, t, S, level, str(tmp_path))
+    names = {os.path.basename(p) for p in glob.glob(f"{tmp_path}/{level}/*.csv")}
+    drawn = S.level(level).drawn
+    want = {f"{d}_{m}_raw.csv" for d in ("NRI", "NLCD", "NASS") for m in drawn}
+    if level == "districts":
+        want |= {f"{d}_{m}_qaqc.csv" for d in ("NRI", "NLCD", "NASS") for m in drawn}
+        ranges = read_csv(f"{tmp_path}/districts/NLCD_map2_qaqc.csv")
+        assert set(ranges[0]) == {"column", "min_all", "max_all", "min_finite", "max_finite"}
+        assert len(ranges) == 6
+        assert {r["min_all"] for r in ranges if r["column"] == "diff_acres"} == {"NA"}
+    assert names == want
+    rows = read_csv(f"{tmp_path}/{level}/NLCD_{drawn[1]}_raw.csv")
+    assert len(rows) == compare(t, S, level, "NLCD").count()
+    assert "geom" not in rows[0] and "col_sat" in rows[0]
+    assert results["fits"].count() == 3
+    assert set(results) == {"NRI", "NLCD", "NASS", "choropleth", "fits"}
+    assert results["choropleth"].where("dataset = 'NLCD'").count() == len(drawn) * len(rows)
+
+
+def test_jdbc_predicates_cover_every_key_once():
+    parts = split_predicates("fips", 3)
+    assert len(parts) == 3
+    assert parts[0] == "mod(abs(hashtext(fips)::bigint), 3) = 0 OR fips IS NULL"
+    assert parts[2] == "mod(abs(hashtext(fips)::bigint), 3) = 2"
+
+
+class Cluster:
+    """Stands for a session on a cluster."""
+
+    def __init__(self, setting=None):
+        self.conf = {"spark.checkpoint.dir": setting} if setting else {}
+        self.sparkContext = self
+
+    master = "yarn"
+
+    def getCheckpointDir(self):
+        return None
+
+
+def test_shared_folder(spark):
+    assert shared_folder(spark).startswith(f"{tempfile.gettempdir()}/landcompare-")
+    a, b = (shared_folder(Cluster("hdfs://x/shared/")) for _ in range(2))
+    assert a.startswith("hdfs://x/shared/landcompare-") and a != b
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Cluster())
