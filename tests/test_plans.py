@@ -36,7 +36,7 @@ def raw(spark):
 def test_net_scans_the_histogram_once(spark, tmp_path):
     tables(spark).save_parquet(str(tmp_path), "study_classes", "counties")
     plan = physical(query(Tables.from_parquet(spark, str(tmp_path)), Settings(), "counties", "net"))
-    assert len(re.findall(r"FileScan parquet .*study_classes", plan)) == 1
+    assert len(re.findall(r"FileScan parquet .*label", plan)) == 1
 
 
 def test_label_and_columns_reach_the_scan(spark):

@@ -155,18 +155,17 @@ def test_jdbc_predicates_cover_every_key_once():
 class Cluster:
     """Stands for a session on a cluster."""
 
-    def __init__(self, setting=None):
+    def __init__(self, setting=None, master="yarn"):
         self.conf = {"spark.checkpoint.dir": setting} if setting else {}
         self.sparkContext = self
-
-    master = "yarn"
+        self.master = master
 
     def getCheckpointDir(self):
         return None
 
 
-def test_shared_folder(spark):
-    assert shared_folder(spark).startswith(f"{tempfile.gettempdir()}/landcompare-")
+def test_shared_folder():
+    assert shared_folder(Cluster(master="local[8]")).startswith(f"{tempfile.gettempdir()}/landcompare-")
     a, b = (shared_folder(Cluster("hdfs://x/shared/")) for _ in range(2))
     assert a.startswith("hdfs://x/shared/landcompare-") and a != b
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
