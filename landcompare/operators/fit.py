@@ -4,36 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landcompare.functions.expressions import is_finite, is_number, thousands, transform
+from landcompare.functions.expressions import TRANSFORMS, is_finite, is_number, thousands, transform
 
 
-def fit(frame: DataFrame, x: str, y: str, space: str, by: Sequence[str] = ()) -> DataFrame:
+def fit(frame: DataFrame, x: str, y: str, space: str | Column, by: Sequence[str] = ()) -> DataFrame:
     """One row (per group): limits of both axes together, and y ~ x in the given space.
 
+    The space is ``log1p`` or ``identity``; a column may name it per group.
     Limits are in raw units and pass over NULL and NaN. The line uses pairs that
     are finite after the transform; ``n`` and ``n_dropped`` count the used and
     the unused ones. R2 and its line are NULL for fewer than two points or a
     constant x, R2 also for a constant y.
     """
-    tx, ty = transform(space, F.col(x)), transform(space, F.col(y))
+    varying = isinstance(space, Column)
+
+    def moved(name: str) -> Column:
+        if not varying:
+            return transform(space, F.col(name))
+        return F.coalesce(*[F.when(space == t, change(F.col(name))) for t, change in TRANSFORMS.items()])
+
     rows = frame.select(
         *by,
+        *([space.alias("transform")] if varying else []),
         F.col(x).cast("double").alias("_x"),
         F.col(y).cast("double").alias("_y"),
-        tx.alias("_tx"),
-        ty.alias("_ty"),
+        moved(x).alias("_tx"),
+        moved(y).alias("_ty"),
     ).withColumn("_ok", is_finite(F.col("_tx")) & is_finite(F.col("_ty")))
 
-    def known(c: str):
-        return F.when(is_number(F.col(c)), F.col(c))
+    def known(name: str) -> Column:
+        return F.when(is_number(F.col(name)), F.col(name))
 
     px, py = F.when(F.col("_ok"), F.col("_tx")), F.when(F.col("_ok"), F.col("_ty"))
     spread = (F.col("n") >= 2) & (F.col("_min_x") < F.col("_max_x"))
-    return (
-        rows.groupBy(*by)
+    found = (
+        rows.groupBy(*by, *(["transform"] if varying else []))
         .agg(
             F.count_if("_ok").alias("n"),
             F.count_if(~F.col("_ok")).alias("n_dropped"),
@@ -47,12 +55,16 @@ def fit(frame: DataFrame, x: str, y: str, space: str, by: Sequence[str] = ()) ->
             F.min(py).alias("_min_y"),
             F.max(py).alias("_max_y"),
         )
-        .withColumn("slope", F.when(spread, F.col("slope")))
-        .withColumn("intercept", F.when(spread, F.col("intercept")))
-        .withColumn("r2", F.when(spread & (F.col("_min_y") < F.col("_max_y")), F.col("r2")))
-        .withColumn("transform", F.lit(space))
-        .drop("_min_x", "_max_x", "_min_y", "_max_y")
+        .withColumns(
+            {
+                "slope": F.when(spread, F.col("slope")),
+                "intercept": F.when(spread, F.col("intercept")),
+                "r2": F.when(spread & (F.col("_min_y") < F.col("_max_y")), F.col("r2")),
+                "transform": F.col("transform") if varying else F.lit(space),
+            }
+        )
     )
+    return found.drop("_min_x", "_max_x", "_min_y", "_max_y")
 
 
 def axis_labels(fits: DataFrame) -> DataFrame:

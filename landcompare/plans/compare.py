@@ -112,20 +112,10 @@ def choropleth(long: DataFrame, s: Settings, level: str, maps: Sequence[str] = (
 
 def fits(long: DataFrame, s: Settings, level: str) -> DataFrame:
     """Per dataset the scatter statistics, each in the dataset's own space."""
-    spaces = {}
-    for name, d in s.level(level).datasets.items():
-        spaces.setdefault(d.transform, []).append(name)
-    parts = [
-        fit(
-            long.where(F.col("dataset").isin(*names)),
-            s.rate("exp"),
-            s.rate("nri"),
-            space,
-            by=("level", "dataset"),
-        )
-        for space, names in spaces.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    spaces = F.coalesce(
+        *[F.when(F.col("dataset") == n, F.lit(d.transform)) for n, d in s.level(level).datasets.items()]
+    )
+    return fit(long, s.rate("exp"), s.rate("nri"), spaces, by=("level", "dataset"))
 
 
 def profiles(long: DataFrame, s: Settings, level: str) -> DataFrame:

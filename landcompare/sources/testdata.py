@@ -12,7 +12,7 @@ by hint, since counties grow with the data; Spark does so by measured size.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from decimal import Decimal
 from functools import cache
 
@@ -37,21 +37,18 @@ SCHEMAS = {
 }
 
 # What is summed per county, and over which rows.
-ORDER_SUMS = {
-    "class_F": "o_orderstatus = 'F'",
-    "class_O": "o_orderstatus = 'O'",
-    "class_P": "o_orderstatus = 'P'",
-    "grown": "o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'",
-    "shrunk": "o_orderstatus = 'P' AND o_orderpriority = '5-LOW'",
-    "total": "true",
+CLASS_COLUMNS = {"orders": "o_orderstatus", "lineitem": "l_returnflag"}
+LABELS = {"orders": ("F", "O", "P"), "lineitem": ("A", "N", "R")}
+AMOUNTS = {"orders": "o_totalprice", "lineitem": "l_extendedprice"}
+SUMS = {
+    "orders": {
+        "grown": "o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'",
+        "shrunk": "o_orderstatus = 'P' AND o_orderpriority = '5-LOW'",
+        "total": "true",
+    },
+    "lineitem": {"clean": "l_returnflag = 'A' AND l_linestatus = 'F' AND l_discount <= 0.01"},
 }
-LINE_SUMS = {
-    "class_A": "l_returnflag = 'A'",
-    "class_N": "l_returnflag = 'N'",
-    "class_R": "l_returnflag = 'R'",
-    "clean": "l_returnflag = 'A' AND l_linestatus = 'F' AND l_discount <= 0.01",
-}
-Sums = Callable[[Sequence[str], bool], DataFrame]  # (names, only rows that count) -> per county
+HISTOGRAM_OF = {"study_classes": "orders", "nlcd_classes": "lineitem"}
 
 
 def settings() -> Settings:
@@ -60,68 +57,122 @@ def settings() -> Settings:
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The logical tables as lazy plans over the Parquet files of ``sf_dir``."""
+    return _tables(_Raw(spark, sf_dir))
 
-    @cache
-    def read(name: str) -> DataFrame:
-        return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
-    def order_sums(names: Sequence[str], only: bool) -> DataFrame:
-        rows = _only(read("orders"), ORDER_SUMS, names, only)
+def staged_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """As ``tables``, but with the sums per county written once and read back.
+
+    For jobs that use the tables many times: one pass over orders and lines, then
+    columnar reads of a table with a row per county. It lies in the shared folder,
+    so a lost executor does not cost the pass again.
+    """
+    return _tables(_Staged(spark, sf_dir, shared_folder(spark)))
+
+
+class _Raw:
+    """Sums per county, computed from the given tables."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.read = cache(self._read)
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def sums(self, source: str, *names: str) -> DataFrame:
+        """(atlas_stco, the named sums in cents)."""
+        return self._totals(source, {n: _cents(source, SUMS[source][n]) for n in names})
+
+    def classes(self, source: str, *labels: str) -> DataFrame:
+        """(atlas_stco, label, acres) of some labels; the filter on them reaches the scan."""
+        column = CLASS_COLUMNS[source]
+        where = F.col(column).isin(*labels)
+        if len(labels) == 1:
+            total = self._totals(source, {"total": _cents(source, "true")}, where)
+            return total.select("atlas_stco", F.lit(labels[0]).alias("label"), _acres("total").alias("acres"))
+        return _unfold(self._totals(source, _class_sums(source, labels), where), labels)
+
+    def _totals(self, source: str, sums: dict[str, Column], where: Column | None = None) -> DataFrame:
+        rows = self.read(source)
+        rows = rows if where is None else rows.where(where)
+        owner = F.col("o_custkey").cast("string").alias("atlas_stco")
+        aggregates = [column.alias(name) for name, column in sums.items()]
+        if source == "orders":
+            return rows.select("*", owner).groupBy("atlas_stco").agg(*aggregates)
+        per_order = rows.groupBy("l_orderkey").agg(*aggregates)
+        owners = self.read("orders").select("o_orderkey", owner)
         return (
-            rows.withColumn("atlas_stco", F.col("o_custkey").cast("string"))
+            per_order.join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
             .groupBy("atlas_stco")
-            .agg(*[_cents("o_totalprice", ORDER_SUMS[n], n) for n in names])
+            .agg(*[F.sum(name).alias(name) for name in sums])
         )
 
-    def line_sums(names: Sequence[str], only: bool) -> DataFrame:
-        rows = _only(read("lineitem"), LINE_SUMS, names, only)
-        per_order = rows.groupBy("l_orderkey").agg(
-            *[_cents("l_extendedprice", LINE_SUMS[n], n) for n in names]
-        )
-        owner = read("orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("atlas_stco"))
-        return (
-            per_order.join(owner, F.col("l_orderkey") == F.col("o_orderkey"))
-            .groupBy("atlas_stco")
-            .agg(*[F.sum(n).alias(n) for n in names])
+
+class _Staged:
+    """The same sums, all written by one job to one table and read back."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, path: str):
+        raw = _Raw(spark, sf_dir)
+        self.read = raw.read
+        orders, lines = (
+            raw._totals(
+                source,
+                {f"{source}_rows": F.count_if(F.lit(True))}
+                | _class_sums(source, LABELS[source])
+                | {n: _cents(source, c) for n, c in SUMS[source].items()},
+            )
+            for source in ("orders", "lineitem")
         )
+        # Both are summed by county, so this join moves nothing; lines without orders do not exist.
+        orders.join(lines, "atlas_stco", "left").write.parquet(path)
+        self.stored = spark.read.parquet(path)
 
-    return _tables(read, order_sums, line_sums)
+    def sums(self, source: str, *names: str) -> DataFrame:
+        return self.stored.where(F.col(f"{source}_rows") > 0).select("atlas_stco", *names)
 
+    def classes(self, source: str, *labels: str) -> DataFrame:
+        return _unfold(self.stored, labels)
 
-def staged_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """As ``tables``, but with the sums per county written once and read back.
 
-    For jobs that use the tables many times: one pass over orders and one over
-    lines, then columnar reads of two tables with a row per county. They lie in
-    the shared folder, so a lost executor does not cost the pass again.
-    """
-    folder = shared_folder(spark)
-    raw = tables(spark, sf_dir)
-    raw.order_sums(list(ORDER_SUMS), False).write.parquet(f"{folder}/orders")
-    raw.line_sums(list(LINE_SUMS), False).write.parquet(f"{folder}/lines")
-
-    orders, lines = spark.read.parquet(f"{folder}/orders"), spark.read.parquet(f"{folder}/lines")
-    return _tables(
-        raw.read,
-        lambda names, only: orders.select("atlas_stco", *names),
-        lambda names, only: lines.select("atlas_stco", *names),
+def _cents(source: str, condition: str) -> Column:
+    """Sum in whole cents over the rows that meet a condition."""
+    cents = F.rint(F.col(AMOUNTS[source]) * 100).cast("bigint")
+    return F.sum(F.when(F.expr(condition), cents))
+
+
+def _class_sums(source: str, labels: Sequence[str]) -> dict[str, Column]:
+    """Per label the sum and the number of rows: a label without rows has no class."""
+    test = {label: f"{CLASS_COLUMNS[source]} = '{label}'" for label in labels}
+    return {f"sum_{x}": _cents(source, c) for x, c in test.items()} | {
+        f"rows_{x}": F.count_if(F.expr(c)) for x, c in test.items()
+    }
+
+
+def _unfold(wide: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """A row per class from a row per county; keeps the partitioning by county."""
+    rows = [
+        F.struct(
+            F.lit(x).alias("label"), _acres(f"sum_{x}").alias("acres"), F.col(f"rows_{x}").alias("n")
+        )
+        for x in labels
+    ]
+    return (
+        wide.select("atlas_stco", F.inline(F.array(*rows)))
+        .where(F.col("n") > 0)
+        .select("atlas_stco", "label", "acres")
     )
 
 
-class _Derived(Tables):
-    def __init__(self, load, load_classes, read, order_sums: Sums, line_sums: Sums):
-        super().__init__(load, load_classes)
-        self.read, self.order_sums, self.line_sums = read, order_sums, line_sums
+def _acres(cents: str) -> Column:
+    return F.col(cents).cast("decimal(20,0)") * F.lit(Decimal("0.01"))
 
 
-def _tables(read: Callable[[str], DataFrame], order_sums: Sums, line_sums: Sums) -> Tables:
+def _tables(source: _Raw | _Staged) -> Tables:
+    read = source.read
+
     def classes(name: str, labels: Sequence[str]) -> DataFrame:
-        sums = order_sums if name == "study_classes" else line_sums
-        wide = sums([f"class_{label}" for label in labels], True)
-        rows = F.array(
-            *[F.struct(F.lit(x).alias("label"), _acres(f"class_{x}").alias("acres")) for x in labels]
-        )
-        return wide.select("atlas_stco", F.inline(rows)).where(F.col("acres").isNotNull())
+        return source.classes(HISTOGRAM_OF[name], *labels)
 
     @cache
     def counties() -> DataFrame:
@@ -137,7 +188,7 @@ def _tables(read: Callable[[str], DataFrame], order_sums: Sums, line_sums: Sums)
                 F.col("r_regionkey").cast("string").alias("st_abbrev"),
                 F.col("c_name").cast("binary").alias("wkb_geometry"),
             )
-            .join(order_sums(["total"], False), "atlas_stco", "left")
+            .join(source.sums("orders", "total"), "atlas_stco", "left")
             .withColumn("acres_calc", _acres("total") * 4)
         )
 
@@ -160,13 +211,13 @@ def _tables(read: Callable[[str], DataFrame], order_sums: Sums, line_sums: Sums)
     def nri() -> DataFrame:
         place = counties().select("atlas_stco", "st_abbrev")
         return (
-            line_sums(["clean"], False)
+            source.sums("lineitem", "clean")
             .join(place, "atlas_stco")
             .select("atlas_stco", "st_abbrev", _acres("clean").alias("expansion"))
         )
 
     def nass() -> DataFrame:
-        return order_sums(["grown", "shrunk"], False).select(
+        return source.sums("orders", "grown", "shrunk").select(
             "atlas_stco", (_acres("grown") - _acres("shrunk")).alias("diff")
         )
 
@@ -194,9 +245,9 @@ def _tables(read: Callable[[str], DataFrame], order_sums: Sums, line_sums: Sums)
         )
 
     build = {
-        "study_classes": lambda: classes("study_classes", _labels(ORDER_SUMS)),
+        "study_classes": lambda: source.classes("orders", *LABELS["orders"]),
         "study_states": study_states,
-        "nlcd_classes": lambda: classes("nlcd_classes", _labels(LINE_SUMS)),
+        "nlcd_classes": lambda: source.classes("lineitem", *LABELS["lineitem"]),
         "nri": nri,
         "nass": nass,
         "counties": counties,
@@ -205,21 +256,4 @@ def _tables(read: Callable[[str], DataFrame], order_sums: Sums, line_sums: Sums)
         "district_lookup": districts,
         "district_areas": district_areas,
     }
-    return _Derived(lambda name: build[name](), classes, read, order_sums, line_sums)
-
-
-def _labels(sums: dict[str, str]) -> list[str]:
-    return [name.removeprefix("class_") for name in sums if name.startswith("class_")]
-
-
-def _only(rows: DataFrame, sums: dict[str, str], names: Sequence[str], only: bool) -> DataFrame:
-    return rows.where(" OR ".join(f"({sums[n]})" for n in names)) if only else rows
-
-
-def _cents(column: str, condition: str, name: str) -> Column:
-    cents = F.rint(F.col(column) * 100).cast("bigint")
-    return F.sum(F.when(F.expr(condition), cents)).alias(name)
-
-
-def _acres(cents: str) -> Column:
-    return F.col(cents).cast("decimal(20,0)") * F.lit(Decimal("0.01"))
+    return Tables(lambda name: build[name](), classes)
