@@ -48,6 +48,7 @@ SUMS = {
     },
     "lineitem": {"clean": "l_returnflag = 'A' AND l_linestatus = 'F' AND l_discount <= 0.01"},
 }
+PLACE = ("atlas_stco", "atlas_name", "state_name", "st_abbrev", "wkb_geometry")
 HISTOGRAM_OF = {"study_classes": "orders", "nlcd_classes": "lineitem"}
 
 
@@ -80,6 +81,33 @@ class _Raw:
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def places(self) -> DataFrame:
+        """Counties with their state and district, without area."""
+        return (
+            self.read("customer")
+            .join(self.read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(self.read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+            .select(
+                F.col("c_custkey").cast("string").alias("atlas_stco"),
+                F.col("c_name").alias("atlas_name"),
+                F.col("r_name").alias("state_name"),
+                F.col("r_regionkey").cast("string").alias("st_abbrev"),
+                F.col("c_name").cast("binary").alias("wkb_geometry"),
+                F.col("c_nationkey").cast("string").alias("district_unique"),
+            )
+        )
+
+    def counties(self) -> DataFrame:
+        # A left join: where the area is not asked for, Catalyst drops the orders.
+        areas = self.sums("orders", "total")
+        return self.places().join(areas, "atlas_stco", "left").select(*PLACE, _area())
+
+    def districts(self) -> DataFrame:
+        return self.read("customer").select(
+            F.col("c_custkey").cast("string").alias("fips"),
+            F.col("c_nationkey").cast("string").alias("district_unique"),
+        )
+
     def sums(self, source: str, *names: str) -> DataFrame:
         """(atlas_stco, the named sums in cents)."""
         return self._totals(source, {n: _cents(source, SUMS[source][n]) for n in names})
@@ -110,7 +138,7 @@ class _Raw:
 
 
 class _Staged:
-    """The same sums, all written by one job to one table and read back."""
+    """The same per county, all written by one job to one table and read back."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, path: str):
         raw = _Raw(spark, sf_dir)
@@ -124,10 +152,17 @@ class _Staged:
             )
             for source in ("orders", "lineitem")
         )
-        # Both are summed by county, so this join moves nothing; lines without orders do not exist.
-        orders.join(lines, "atlas_stco", "left").write.parquet(path)
+        # All three have a row per county and are joined as the sums left them.
+        places = raw.places()
+        places.join(orders, "atlas_stco", "left").join(lines, "atlas_stco", "left").write.parquet(path)
         self.stored = spark.read.parquet(path)
 
+    def counties(self) -> DataFrame:
+        return self.stored.select(*PLACE, _area())
+
+    def districts(self) -> DataFrame:
+        return self.stored.select(F.col("atlas_stco").alias("fips"), "district_unique")
+
     def sums(self, source: str, *names: str) -> DataFrame:
         return self.stored.where(F.col(f"{source}_rows") > 0).select("atlas_stco", *names)
 
@@ -168,36 +203,17 @@ def _acres(cents: str) -> Column:
     return F.col(cents).cast("decimal(20,0)") * F.lit(Decimal("0.01"))
 
 
+def _area() -> Column:
+    return (_acres("total") * 4).alias("acres_calc")
+
+
 def _tables(source: _Raw | _Staged) -> Tables:
     read = source.read
 
     def classes(name: str, labels: Sequence[str]) -> DataFrame:
         return source.classes(HISTOGRAM_OF[name], *labels)
 
-    @cache
-    def counties() -> DataFrame:
-        # A left join: where the area is not asked for, Catalyst drops the orders.
-        return (
-            read("customer")
-            .join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-            .join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .select(
-                F.col("c_custkey").cast("string").alias("atlas_stco"),
-                F.col("c_name").alias("atlas_name"),
-                F.col("r_name").alias("state_name"),
-                F.col("r_regionkey").cast("string").alias("st_abbrev"),
-                F.col("c_name").cast("binary").alias("wkb_geometry"),
-            )
-            .join(source.sums("orders", "total"), "atlas_stco", "left")
-            .withColumn("acres_calc", _acres("total") * 4)
-        )
-
-    @cache
-    def districts() -> DataFrame:
-        return read("customer").select(
-            F.col("c_custkey").cast("string").alias("fips"),
-            F.col("c_nationkey").cast("string").alias("district_unique"),
-        )
+    counties, districts = cache(source.counties), cache(source.districts)
 
     def study_states() -> DataFrame:
         place = counties().select("atlas_stco", "state_name")
