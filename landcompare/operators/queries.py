@@ -69,8 +69,7 @@ def _zones(t: Tables, level: str) -> DataFrame:
 def _totals(t: Tables, s: Settings, level: str, source: str) -> tuple[DataFrame, str]:
     if level == "states":
         return state_totals(t, s, source)
-    rows = county_rows(t, s, source)
-    return (rows.where(F.col("total").isNotNull()) if source == "nri" else rows), "atlas_stco"
+    return county_rows(t, s, source, known=source == "nri"), "atlas_stco"
 
 
 def _total(s: Settings, source: str) -> str:

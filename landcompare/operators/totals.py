@@ -19,8 +19,11 @@ from landcompare.sources.tables import Tables
 SOURCES = ("exp", "net", "nlcd", "nri", "nass")
 
 
-def county_rows(t: Tables, s: Settings, source: str) -> DataFrame:
-    """(atlas_stco, total), one row per row of the source table."""
+def county_rows(t: Tables, s: Settings, source: str, known: bool = False) -> DataFrame:
+    """(atlas_stco, total), one row per row of the source table.
+
+    ``known`` leaves out the rows of NRI and NASS that have no measure.
+    """
     if source == "exp":
         return t.classes("study_classes", s.gain_label).select("atlas_stco", F.col("acres").alias("total"))
     if source == "net":
@@ -28,9 +31,11 @@ def county_rows(t: Tables, s: Settings, source: str) -> DataFrame:
     if source == "nlcd":
         return t.classes("nlcd_classes", s.nlcd_label).select("atlas_stco", F.col("acres").alias("total"))
     if source == "nri":
-        return t["nri"].select("atlas_stco", F.col("expansion").alias("total"))
+        rows = t.known("nri") if known else t["nri"]
+        return rows.select("atlas_stco", F.col("expansion").alias("total"))
     if source == "nass":
-        return t["nass"].select("atlas_stco", F.col("diff").alias("total"))
+        rows = t.known("nass") if known else t["nass"]
+        return rows.select("atlas_stco", F.col("diff").alias("total"))
     raise KeyError(f"unknown source {source!r}; known: {', '.join(SOURCES)}")
 
 
@@ -97,7 +102,7 @@ def state_totals(t: Tables, s: Settings, source: str) -> tuple[DataFrame, str]:
         rows = t["nri"].select("st_abbrev", F.col("expansion").alias("total"))
         return _sum(rows, "st_abbrev"), "st_abbrev"
     if source == "nass":
-        rows = county_rows(t, s, source).where(F.col("total").isNotNull())
+        rows = county_rows(t, s, source, known=True)
         place = t["counties"].select("atlas_stco", "st_abbrev")
         return _sum(_sum(rows, "atlas_stco").join(place, "atlas_stco"), "st_abbrev"), "st_abbrev"
     place = t["county_states" if source == "net" else "counties"].select(

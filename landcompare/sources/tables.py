@@ -12,24 +12,28 @@ from pyspark.sql import types as T
 from landcompare.sources.schemas import SPECS, InvalidTable, check_columns, problems
 
 HISTOGRAMS = ("study_classes", "nlcd_classes")
+MEASURES = {"nri": "expansion", "nass": "diff"}  # may be missing
 
 
 class Tables:
     """The logical tables by name, loaded on first use.
 
-    ``load`` maps a table name to its frame. ``load_classes``, if given, builds a
-    class histogram for some labels only, so that a source which derives it can
-    filter at its own scan; otherwise the label filter goes on the loaded frame,
-    where Catalyst pushes it into the scan or prunes partitions by it.
+    ``load`` maps a table name to its frame. A source which derives tables may add
+    ``load_classes``, which builds a class histogram for some labels only, and
+    ``load_known``, which builds a table without the rows that lack a measure: so
+    it can filter at its own scans. Otherwise the filters go on the loaded frame,
+    where Catalyst pushes them into the scan or prunes partitions by them.
     """
 
     def __init__(
         self,
         load: Callable[[str], DataFrame],
         load_classes: Callable[[str, Sequence[str]], DataFrame] | None = None,
+        load_known: Callable[[str], DataFrame] | None = None,
     ):
         self._load = load
         self._load_classes = load_classes
+        self._load_known = load_known
         self._frames: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -47,6 +51,13 @@ class Tables:
             return check_columns(name, self._load_classes(name, labels))
         return self[name].where(F.col("label").isin(*labels))
 
+    def known(self, name: str) -> DataFrame:
+        """Rows of a table whose measure is not missing."""
+        if name not in MEASURES:
+            raise KeyError(f"{name!r} has no measure that may be missing")
+        frame = check_columns(name, self._load_known(name)) if self._load_known else self[name]
+        return frame.where(F.col(MEASURES[name]).isNotNull())
+
     def check(self, *names: str) -> None:
         """Raise InvalidTable if keys repeat or areas are not positive."""
         found = reduce(DataFrame.unionByName, [problems(n, self[n]) for n in names or SPECS])

@@ -39,6 +39,7 @@ SCHEMAS = {
 # What is summed per county, and over which rows.
 CLASS_COLUMNS = {"orders": "o_orderstatus", "lineitem": "l_returnflag"}
 LABELS = {"orders": ("F", "O", "P"), "lineitem": ("A", "N", "R")}
+STAGED_LABELS = {"orders": (GAIN, LOSS), "lineitem": (NLCD,)}
 AMOUNTS = {"orders": "o_totalprice", "lineitem": "l_extendedprice"}
 SUMS = {
     "orders": {
@@ -66,7 +67,8 @@ def staged_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
     For jobs that use the tables many times: one pass over orders and lines, then
     columnar reads of a table with a row per county. It lies in the shared folder,
-    so a lost executor does not cost the pass again.
+    so a lost executor does not cost the pass again. Of the class histograms it
+    holds the classes that ``settings`` names.
     """
     return _tables(_Staged(spark, sf_dir, shared_folder(spark)))
 
@@ -108,9 +110,11 @@ class _Raw:
             F.col("c_nationkey").cast("string").alias("district_unique"),
         )
 
-    def sums(self, source: str, *names: str) -> DataFrame:
-        """(atlas_stco, the named sums in cents)."""
-        return self._totals(source, {n: _cents(source, SUMS[source][n]) for n in names})
+    def sums(self, source: str, *names: str, only: bool = False) -> DataFrame:
+        """(atlas_stco, the named sums in cents); ``only`` of counties with a row that counts."""
+        conditions = {n: SUMS[source][n] for n in names}
+        where = F.expr(" OR ".join(f"({c})" for c in conditions.values())) if only else None
+        return self._totals(source, {n: _cents(source, c) for n, c in conditions.items()}, where)
 
     def classes(self, source: str, *labels: str) -> DataFrame:
         """(atlas_stco, label, acres) of some labels; the filter on them reaches the scan."""
@@ -146,10 +150,9 @@ class _Staged:
         orders, lines = (
             raw._totals(
                 source,
-                {f"{source}_rows": F.count_if(F.lit(True))}
-                | _class_sums(source, LABELS[source])
+                _class_sums(source, STAGED_LABELS[source])
                 | {n: _cents(source, c) for n, c in SUMS[source].items()},
-            )
+            ).withColumn(f"has_{source}", F.lit(True))
             for source in ("orders", "lineitem")
         )
         # All three have a row per county and are joined as the sums left them.
@@ -163,8 +166,8 @@ class _Staged:
     def districts(self) -> DataFrame:
         return self.stored.select(F.col("atlas_stco").alias("fips"), "district_unique")
 
-    def sums(self, source: str, *names: str) -> DataFrame:
-        return self.stored.where(F.col(f"{source}_rows") > 0).select("atlas_stco", *names)
+    def sums(self, source: str, *names: str, only: bool = False) -> DataFrame:
+        return self.stored.where(f"has_{source}").select("atlas_stco", *names)
 
     def classes(self, source: str, *labels: str) -> DataFrame:
         return _unfold(self.stored, labels)
@@ -224,16 +227,16 @@ def _tables(source: _Raw | _Staged) -> Tables:
             .agg(F.sum("acres").alias("expansion"))
         )
 
-    def nri() -> DataFrame:
+    def nri(only: bool = False) -> DataFrame:
         place = counties().select("atlas_stco", "st_abbrev")
         return (
-            source.sums("lineitem", "clean")
+            source.sums("lineitem", "clean", only=only)
             .join(place, "atlas_stco")
             .select("atlas_stco", "st_abbrev", _acres("clean").alias("expansion"))
         )
 
-    def nass() -> DataFrame:
-        return source.sums("orders", "grown", "shrunk").select(
+    def nass(only: bool = False) -> DataFrame:
+        return source.sums("orders", "grown", "shrunk", only=only).select(
             "atlas_stco", (_acres("grown") - _acres("shrunk")).alias("diff")
         )
 
@@ -272,4 +275,5 @@ def _tables(source: _Raw | _Staged) -> Tables:
         "district_lookup": districts,
         "district_areas": district_areas,
     }
-    return Tables(lambda name: build[name](), classes)
+    known = {"nri": nri, "nass": nass}
+    return Tables(lambda name: build[name](), classes, lambda name: known[name](only=True))

@@ -22,6 +22,13 @@ def scans(plan, name):
     return re.findall(rf"FileScan parquet .*{name}\.parquet.*", plan)
 
 
+@pytest.fixture(autouse=True)
+def whole_texts(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    yield
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
 @pytest.fixture
 def no_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
@@ -46,6 +53,14 @@ def test_label_and_columns_reach_the_scan(spark):
     assert "ReadSchema: struct<l_orderkey:bigint,l_extendedprice:double,l_returnflag:string>" in scan
 
 
+def test_missing_measures_are_left_out_at_the_scan(spark):
+    [scan] = scans(physical(query(raw(spark), RAW, "counties", "nri")), "lineitem")
+    for pushed in ("EqualTo(l_returnflag,A)", "EqualTo(l_linestatus,F)", "LessThanOrEqual(l_discount,0.01)"):
+        assert pushed in scan
+    plan = physical(query(raw(spark), RAW, "states", "nass"))
+    assert [x for x in scans(plan, "orders") if "EqualTo(o_orderpriority,1-URGENT)" in x]
+
+
 def test_district_sums_do_not_compute_areas(spark):
     plan = physical(query(raw(spark), RAW, "districts", "exp"))
     assert len(scans(plan, "orders")) == 1
