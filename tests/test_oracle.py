@@ -9,7 +9,7 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 
 NAMES = "region nation customer supplier part orders lineitem".split()
-FOLDERS = [f"/root/testdata/sf{x}" for x in os.environ.get("ORACLE_SF", "0.001,0.01").split(",")]
+FOLDERS = [f"/root/testdata/sf{x}" for x in os.environ.get("ORACLE_SF", "0.001").split(",")]
 TWINS = oracle_sql()
 
 
