@@ -68,7 +68,8 @@ def staged_tables(spark: SparkSession, sf_dir: str) -> Tables:
     For jobs that use the tables many times: one pass over orders and lines, then
     columnar reads of a table with a row per county. It lies in the shared folder,
     so a lost executor does not cost the pass again. Of the class histograms it
-    holds the classes that ``settings`` names.
+    holds the classes that ``settings`` names. Nobody removes it before the folder's
+    owner does.
     """
     return _tables(_Staged(spark, sf_dir, shared_folder(spark)))
 
