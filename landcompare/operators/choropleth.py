@@ -38,12 +38,8 @@ def by_map(frame: DataFrame, maps: Mapping[str, MapSpec]) -> DataFrame:
     return frame.select("*", F.inline(F.array(*values)))
 
 
-def map_values(frame: DataFrame, maps: Mapping[str, MapSpec], zone: str) -> DataFrame:
-    """(map, zone, col_sat, fill_pos, geom) for each map."""
+def map_values(frame: DataFrame, maps: Mapping[str, MapSpec], *zone: str) -> DataFrame:
+    """The zone's columns with map, col_sat, fill_pos and geom, for each map."""
     return by_map(frame, maps).select(
-        "map",
-        F.col(zone).alias("zone"),
-        "col_sat",
-        fill_position(F.col("col_sat"), F.col("sat")).alias("fill_pos"),
-        "geom",
+        *zone, "map", "col_sat", fill_position(F.col("col_sat"), F.col("sat")).alias("fill_pos"), "geom"
     )

@@ -104,10 +104,9 @@ def comparisons_by_map(long: DataFrame, s: Settings, level: str, maps: Sequence[
 
 
 def choropleth(long: DataFrame, s: Settings, level: str, maps: Sequence[str] = ()) -> DataFrame:
-    """(level, dataset, map, zone, col_sat, fill_pos, geom)."""
+    """(level, dataset, zone, map, col_sat, fill_pos, geom)."""
     specs = {m: s.map(level, m) for m in maps or s.level(level).drawn}
-    values = map_values(long.withColumn("_key", F.struct("level", "dataset", "zone")), specs, "_key")
-    return values.select("zone.level", "zone.dataset", "map", "zone.zone", "col_sat", "fill_pos", "geom")
+    return map_values(long, specs, "level", "dataset", "zone")
 
 
 def fits(long: DataFrame, s: Settings, level: str) -> DataFrame:

@@ -34,28 +34,31 @@ class Tables:
         self._load = load
         self._load_classes = load_classes
         self._load_known = load_known
-        self._frames: dict[str, DataFrame] = {}
+        self._frames: dict[object, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in SPECS:
             raise KeyError(f"unknown table {name!r}; known: {', '.join(SPECS)}")
-        if name not in self._frames:
-            self._frames[name] = check_columns(name, self._load(name))
-        return self._frames[name]
+        return self._once(name, name, self._load)
+
+    def _once(self, key, name: str, build: Callable[..., DataFrame], *args) -> DataFrame:
+        if key not in self._frames:
+            self._frames[key] = check_columns(name, build(name, *args))
+        return self._frames[key]
 
     def classes(self, name: str, *labels: str) -> DataFrame:
         """Rows of a class histogram with one of the labels."""
         if name not in HISTOGRAMS:
             raise KeyError(f"{name!r} is no class histogram")
         if self._load_classes:
-            return check_columns(name, self._load_classes(name, labels))
+            return self._once((name, *labels), name, self._load_classes, labels)
         return self[name].where(F.col("label").isin(*labels))
 
     def known(self, name: str) -> DataFrame:
         """Rows of a table whose measure is not missing."""
         if name not in MEASURES:
             raise KeyError(f"{name!r} has no measure that may be missing")
-        frame = check_columns(name, self._load_known(name)) if self._load_known else self[name]
+        frame = self._once((name, None), name, self._load_known) if self._load_known else self[name]
         return frame.where(F.col(MEASURES[name]).isNotNull())
 
     def check(self, *names: str) -> None:
