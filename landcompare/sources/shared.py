@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession, name: str = "landcompare") -> str:
+    """A new folder under ``spark.checkpoint.dir``, or where that is unset under the warehouse.
 
-    Without that setting a temporary folder serves local mode; on a cluster it
-    would not be shared, so there it is an error.
+    Both are shared by driver and executors on a cluster; a machine's own temporary
+    folder never is, so it is not used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/landcompare-{uuid.uuid4().hex}"
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
