@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landcompare.llm import simhash
+from landcompare.llm import linetemplates, simhash, tokencounts, urlfilter
 
 QUERIES = {
+    "op4_url_filter": urlfilter.query,
     "op6_simhash": simhash.query,
+    "op7_line_templates": linetemplates.query,
+    "op9_token_counts": tokencounts.query,
 }
 
 
@@ -18,4 +21,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_filter": urlfilter.SQL}

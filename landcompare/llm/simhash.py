@@ -324,36 +324,39 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = STAGE_SHINGLE, similari
     prints of the distinct words, 128 bits, stay near: they are indexed, so that texts sharing 7 of 16
     bytes are always met and those sharing 3 mostly. The forest follows the shingle prints, nearest first,
     and each of its links is verified on the whole texts. Of a group the row with the smallest doc_id stays
-    (nulls last, then the smallest digest of the text). Texts without words form one group. Rows repeated
+    (nulls last, then the smallest digest). Texts without words form one group. Rows repeated
     with doc_id and text stay once.
     """
-    rows = texts(docs).select("doc_id", "text", digest(F.col("text")).alias("digest"))
+    rows = texts(docs).select("doc_id", "text", _key_of_row().alias("key"))
 
     def prints_of(batches):
         for batch in batches:
             found = [word_and_shingle_prints(t, shingle) for t in batch.column("text").to_pylist()]
             arrays = [pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else ((), (), ()))]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("digest"), *arrays], ["doc_id", "digest", "w0", "w1", "s"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("key"), *arrays], ["doc_id", "key", "w0", "w1", "s"])
 
-    prints = rows.mapInArrow(prints_of, "doc_id BIGINT, digest BINARY, w0 BIGINT, w1 BIGINT, s BIGINT")
+    prints = rows.mapInArrow(prints_of, "doc_id BIGINT, key BINARY, w0 BIGINT, w1 BIGINT, s BIGINT")
     prints = stored(prints.withColumn("node", F.xxhash64("w0", "w1", "s")), "simhash-stage")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
     nodes = prints.groupBy("node").agg(F.first("w0").alias("w0"), F.first("w1").alias("w1"), F.first("s").alias("s"), F.min(order).alias("head"))
     nodes = stored(nodes, "simhash-stage-nodes")
     listed = members(nodes.drop("head"), "node", ["w0", "w1"], OF_16, block)
     near = stored(forests(listed, "node", _stage_distance, STAGE_SHINGLE_BITS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-stage-links")
     # The texts of a link's ends: one row each, the head of its node.
     ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    heads = ends.join(nodes, "node").select("node", F.col("head.doc_id").alias("head_id"), F.col("head.digest").alias("digest"))
-    found = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("head_id")) & (rows["digest"] == heads["digest"]))
-    whole = stored(found.select("node", "text").groupBy("node").agg(F.first("text").alias("text")), "simhash-stage-texts")
+    heads = ends.join(nodes, "node").select("node", F.col("head.key").alias("key"))
+    found = rows.select("key", "text").join(heads.hint("shuffle_hash"), "key")
+    whole = stored(found.groupBy("node").agg(F.first("text").alias("text")), "simhash-stage-texts")
     left = whole.select(F.col("node").alias("a"), F.col("text").alias("x"))
     right = whole.select(F.col("node").alias("b"), F.col("text").alias("y"))
     links = near.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(shingle, similarity), "a BIGINT, b BIGINT")
     groups = connected_components(links)
     kept = nodes.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("head").alias("head"))
-    kept = kept.select(F.col("head.doc_id").alias("kept_id"), F.col("head.digest").alias("kept_digest"))
-    whole_rows = packed(docs).withColumn("digest", digest(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest"))
-    stay = whole_rows.join(kept, same).select("row", "kept_id", "kept_digest").dropDuplicates(["kept_id", "kept_digest"])
-    return stay.select("row.*")
+    kept = kept.select(F.col("head.key").alias("key"))
+    stay = packed(docs).select("row", _key_of_row().alias("key")).join(kept, "key")
+    return stay.dropDuplicates(["key"]).select("row.*")
+
+
+def _key_of_row() -> Column:
+    """32 bytes for a row's id and text."""
+    return digest(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"))
