@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landcompare.llm import linetemplates, simhash, tokencounts, urlfilter
+from landcompare.llm import decontamination, licenses, linetemplates, neighbours, quality, sentencepieces, simhash, tokencounts, toxicity, urlfilter
 
 QUERIES = {
+    "op1_quality": quality.query,
+    "op2_decontamination": decontamination.query,
+    "op3_neighbours": neighbours.query,
     "op4_url_filter": urlfilter.query,
+    "op5_sentencepiece": sentencepieces.query,
     "op6_simhash": simhash.query,
     "op7_line_templates": linetemplates.query,
+    "op8_toxicity": toxicity.query,
     "op9_token_counts": tokencounts.query,
+    "op10_licenses": licenses.query,
 }
 
 
@@ -21,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": urlfilter.SQL}
+    return {"op4_url_filter": urlfilter.SQL, "op10_licenses": licenses.SQL}
