@@ -7,6 +7,8 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import SparkSession
 
+from landcompare.sources.query_text import whole_text
+
 
 @dataclass(frozen=True)
 class Dataset:
@@ -75,42 +77,15 @@ def _levels(tag: str) -> dict[str, Level]:
         "raw_acres": Scatter(study_rate, "acres_per_year"),
         "perc_eu": Scatter(study_share, share, ("no_log", "log10", "log10_plus1")),
     }
-    expansion = "Annual Crop Expansion (%)"
-    of_area = "Annual expansion (% of district area)"
-    relative = "Relative to this study (Δ percentage pts.)"
 
-    def maps(map2_title: str, third: dict[str, MapSpec]) -> dict[str, MapSpec]:
-        return {
-            "map1": MapSpec(study_share, 1.0, expansion, "RdBu"),
-            "map2": MapSpec(share, 1.0, map2_title, "RdBu"),
-            **third,
-        }
+    def maps(**third: MapSpec) -> dict[str, MapSpec]:
+        return {"map1": MapSpec(study_share, 1.0), "map2": MapSpec(share, 1.0), **third}
 
+    of_district = {"map3_diff_acres": MapSpec("diff_acres", 1.0), "map3_diff_ratio": MapSpec("diff_ratio", 20.0)}
     return {
-        "states": Level(
-            _datasets(True),
-            maps(of_area, {"map3": MapSpec("diff_acres", 1.0, relative, "RdBu")}),
-            ("map2", "map3"),
-            scatter,
-        ),
-        "districts": Level(
-            _datasets(True),
-            maps(
-                of_area,
-                {
-                    "map3_diff_acres": MapSpec("diff_acres", 1.0, relative, "RdBu"),
-                    "map3_diff_ratio": MapSpec("diff_ratio", 20.0, "diff_ratio", "RdBu"),
-                },
-            ),
-            ("map2", "map3_diff_acres"),
-            log_columns=True,
-        ),
-        "counties": Level(
-            _datasets(False),
-            maps(expansion, {"map3": MapSpec("diff_acres", 0.2, "Difference", "RdBu")}),
-            ("map2", "map3"),
-            scatter,
-        ),
+        "states": Level(_datasets(True), maps(map3=MapSpec("diff_acres", 1.0)), ("map2", "map3"), scatter),
+        "districts": Level(_datasets(True), maps(**of_district), ("map2", "map3_diff_acres"), log_columns=True),
+        "counties": Level(_datasets(False), maps(map3=MapSpec("diff_acres", 0.2)), ("map2", "map3"), scatter),
     }
 
 
@@ -159,9 +134,9 @@ def load_settings(spark: SparkSession, path: str, study_tag: str = "study", **ch
     The file may lie on any file system Spark reads. ``changes`` override other
     fields of ``Settings``, such as class labels or year spans.
     """
-    [row] = spark.read.text(path, wholetext=True).take(1)
+    text = whole_text(spark, path)
     base = replace(Settings(study_tag=study_tag), **changes)
-    levels = {name: _level_from_json(name, body, base) for name, body in json.loads(row.value).items()}
+    levels = {name: _level_from_json(name, body, base) for name, body in json.loads(text).items()}
     return replace(base, levels=levels)
 
 

@@ -14,9 +14,10 @@ INF = float("inf")
 NAN = float("nan")
 
 
-def annual(total: Column, years: int) -> Column:
+def annual(total: Column, years: int | Column) -> Column:
     """Mean change per year of a total over a span of years."""
-    return total.cast("double") / F.lit(float(years))
+    years = years if isinstance(years, Column) else F.lit(years)
+    return total.cast("double") / years.cast("double")
 
 
 def percent_of_area(rate: Column, area: Column) -> Column:

@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landcompare.config import Settings
-from landcompare.functions.expressions import log1p, safe_ratio
+from landcompare.config import Dataset, Settings
+from landcompare.functions.expressions import annual, log1p, percent_of_area, safe_ratio
 from landcompare.operators.choropleth import by_map, map_values, saturate
 from landcompare.operators.fit import fit
 from landcompare.operators.profile import DERIVED, profile
-from landcompare.operators.queries import columns, district_rates, measured, query, share_of_district, study
+from landcompare.operators.queries import columns, measured, query, share_of_district, study
+from landcompare.operators.wide import present, wide
 from landcompare.sources.tables import Tables
 
 # The column that identifies a zone.
@@ -34,7 +35,8 @@ def compare(
     if on and on != ZONE_KEYS[level]:
         frame = _joined(study(t, s, level, d.study), query(t, s, level, d.query), on)
     elif level == "districts":
-        frame = _joined(study(t, s, level, d.study), district_rates(t, s, d.query), "district_unique")
+        frame = side_by_side(wide(t, s, level, [d.study, d.query]), s, level, {dataset: d})
+        frame = frame.select("district_unique", "state_name", s.rate(d.study), "acres", "geom", s.share(d.study), s.rate(d.query))
     else:
         both = dict.fromkeys(columns(s, level, d.study) + columns(s, level, d.query))
         frame = measured(t, s, level, [d.study, d.query]).select(*both)
@@ -42,6 +44,30 @@ def compare(
     return saturate(frame, s.map(level, map_name)) if map_name else frame
 
 
+def side_by_side(frame: DataFrame, s: Settings, level: str, datasets: Mapping[str, Dataset]) -> DataFrame:
+    """A row per zone and dataset that both sides know, with rates and shares, from a wide frame."""
+
+    def side(d: Dataset) -> list[Column]:
+        pairs = [("study_", d.study), ("", d.query)]
+        return [
+            c
+            for prefix, x in pairs
+            for c in (F.col(f"total_{x}").cast("double").alias(f"{prefix}total"), F.lit(s.years[x]).alias(f"{prefix}years"))
+        ]
+
+    parts = [
+        F.struct(F.lit(name).alias("dataset"), *side(d), (present(level, d.study) & present(level, d.query)).alias("there"))
+        for name, d in datasets.items()
+    ]
+    zone = [c for c in frame.columns if not c.startswith(("total_", "rows_"))]
+    rows = frame.select(*zone, F.inline(F.array(*parts))).where("there")
+    rates = {s.rate("exp"): annual(F.col("study_total"), F.col("study_years")), s.rate("nri"): annual(F.col("total"), F.col("years"))}
+    rows = rows.withColumns(rates)
+    percent = share_of_district if level == "districts" else lambda rate: percent_of_area(rate, F.col("acres_calc"))
+    shares = {s.share(x): percent(F.col(s.rate(x))) for x in ("exp", "nri")}
+    return rows.withColumns(shares).drop("study_total", "study_years", "total", "years", "there")
+
+
 def _joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Inner join that keeps the left side's columns where names repeat.
 
@@ -94,8 +120,12 @@ def long_frame(frames: Mapping[str, DataFrame], s: Settings, level: str) -> Data
 
 
 def comparisons(t: Tables, s: Settings, level: str) -> DataFrame:
-    """All datasets of a level in one long frame."""
-    return long_frame({name: compare(t, s, level, name) for name in s.level(level).datasets}, s, level)
+    """All datasets of a level in one long frame, from one pass over the tables."""
+    datasets = s.level(level).datasets
+    sources = dict.fromkeys(x for d in datasets.values() for x in (d.study, d.query))
+    rows = differences(side_by_side(wide(t, s, level, list(sources)), s, level, datasets), s, level, "exp")
+    zone = F.col(ZONE_KEYS[level]).alias("zone")
+    return rows.select(F.lit(level).alias("level"), "dataset", zone, *common_columns(s, level))
 
 
 def comparisons_by_map(long: DataFrame, s: Settings, level: str, maps: Sequence[str] = ()) -> DataFrame:

@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+def whole_text(spark: SparkSession, path: str) -> str:
+    """Text of the one file that the path names."""
+    rows = spark.read.text(path, wholetext=True).take(2)
+    if len(rows) != 1:
+        raise ValueError(f"{path} should name one file, not {'none' if not rows else 'several'}")
+    return rows[0].value
+
+
 def read_query(spark: SparkSession, folder: str, level: str, query: str) -> str:
     """Text of ``<folder>/<level>/query_<query>.sql`` on any file system Spark reads."""
-    [row] = spark.read.text(f"{folder}/{level}/query_{query}.sql", wholetext=True).take(1)
-    return row.value.rstrip().rstrip(";")
+    return whole_text(spark, f"{folder}/{level}/query_{query}.sql").rstrip().rstrip(";")
 
 
 def run_query(

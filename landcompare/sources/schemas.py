@@ -1,7 +1,10 @@
 """The ten logical tables: columns, keys, and the checks to run at load.
 
-Measures are DOUBLE; a DECIMAL column is accepted too and keeps sums exact.
-Geometry is WKB and only carried.
+Measures are DOUBLE; a DECIMAL column is accepted too and keeps sums exact, and whole
+numbers become DECIMAL. Geometry is WKB, as bytes or as hex text, and only carried.
+``problems`` counts repeated and NULL keys and areas that are NULL, NaN or not above
+zero. Tables derived from orders leave the area of a county without orders NULL: such a
+county breaks the rule, as it has no share.
 """
 
 from __future__ import annotations
@@ -71,19 +74,22 @@ class InvalidTable(ValueError):
 
 
 def check_columns(name: str, frame: DataFrame) -> DataFrame:
-    """The frame cut to the table's columns; raises if one is missing or mistyped."""
+    """The frame cut to the table's columns, whole numbers and hex text converted; raises if one is missing or mistyped."""
+    columns = []
     for want in SPECS[name].schema:
         if want.name not in frame.columns:
             raise InvalidTable(f"{name}: column {want.name} is missing")
-        have = frame.schema[want.name].dataType
-        numeric = isinstance(want.dataType, T.DoubleType) and isinstance(
-            have, (T.DoubleType, T.FloatType, T.DecimalType)
-        )
-        if not numeric and have != want.dataType:
+        have, column = frame.schema[want.name].dataType, F.col(want.name)
+        if isinstance(want.dataType, T.DoubleType) and isinstance(have, T.IntegralType):
+            column = column.cast("decimal(20,0)").alias(want.name)
+        elif isinstance(want.dataType, T.BinaryType) and isinstance(have, T.StringType):
+            column = F.unhex(column).alias(want.name)
+        elif have != want.dataType and not (isinstance(want.dataType, T.DoubleType) and isinstance(have, T.NumericType)):
             raise InvalidTable(
                 f"{name}.{want.name}: {have.simpleString()} where {want.dataType.simpleString()} is due"
             )
-    return frame.select(*SPECS[name].schema.names)
+        columns.append(column)
+    return frame.select(*columns)
 
 
 def problems(name: str, frame: DataFrame) -> DataFrame:
@@ -96,10 +102,11 @@ def problems(name: str, frame: DataFrame) -> DataFrame:
         .select(F.lit(name).alias("table"), F.lit(f"unique {', '.join(key)}").alias("rule"), "n")
         for key in spec.keys
     ]
+    rules = {f"{column} not NULL": F.col(column).isNull() for key in spec.keys for column in key}
     if spec.area:
-        checks.append(
-            frame.agg(F.count_if(F.col(spec.area) <= 0).alias("n")).select(
-                F.lit(name).alias("table"), F.lit(f"{spec.area} above zero").alias("rule"), "n"
-            )
-        )
+        area = F.col(spec.area)
+        rules[f"{spec.area} above zero"] = area.isNull() | F.isnan(area.cast("double")) | (area <= 0)
+    counts = frame.agg(*[F.count_if(broken).alias(f"n{k}") for k, broken in enumerate(rules.values())])
+    rows = [F.struct(F.lit(name).alias("table"), F.lit(rule).alias("rule"), F.col(f"n{k}").alias("n")) for k, rule in enumerate(rules)]
+    checks.append(counts.select(F.inline(F.array(*rows))))
     return reduce(DataFrame.unionByName, checks)

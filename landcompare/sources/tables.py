@@ -23,6 +23,7 @@ class Tables:
     ``load_known``, which builds a table without the rows that lack a measure: so
     it can filter at its own scans. Otherwise the filters go on the loaded frame,
     where Catalyst pushes them into the scan or prunes partitions by them.
+    ``load_wide`` may build all sources of a level in one pass (``operators.wide``).
     """
 
     def __init__(
@@ -30,10 +31,12 @@ class Tables:
         load: Callable[[str], DataFrame],
         load_classes: Callable[[str, Sequence[str]], DataFrame] | None = None,
         load_known: Callable[[str], DataFrame] | None = None,
+        load_wide: Callable[..., DataFrame] | None = None,
     ):
         self._load = load
         self._load_classes = load_classes
         self._load_known = load_known
+        self.load_wide = load_wide
         self._frames: dict[object, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -101,10 +104,12 @@ class Tables:
     def save_parquet(self, folder: str, *names: str) -> None:
         """Store tables as Parquet, histograms partitioned by class label."""
         for name in names or SPECS:
-            writer = self[name].write.mode("overwrite")
+            frame = self[name]
             if name in HISTOGRAMS:
-                writer = writer.partitionBy("label")
-            writer.parquet(f"{folder}/{name}")
+                # By label and, against a hot label, by Spark's choice of size.
+                frame.hint("rebalance", "label").write.mode("overwrite").partitionBy("label").parquet(f"{folder}/{name}")
+            else:
+                frame.write.mode("overwrite").parquet(f"{folder}/{name}")
 
     def save_bucketed(self, names: Mapping[str, str], buckets: int) -> None:
         """Store tables in the catalog, county tables bucketed and sorted by county.
@@ -115,10 +120,12 @@ class Tables:
         for name, target in names.items():
             frame = self[name]
             key = {"district_lookup": "fips"}.get(name, "atlas_stco")
-            writer = frame.write.mode("overwrite").format("parquet")
             if key in frame.columns:
-                writer = writer.bucketBy(buckets, key).sortBy(key)
-            writer.saveAsTable(target)
+                # Dealt by bucket first: one file per bucket, however many tasks.
+                writer = frame.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+            else:
+                writer = frame.write
+            writer.mode("overwrite").format("parquet").saveAsTable(target)
 
     def register(self, names: Mapping[str, str] | None = None) -> None:
         """Make the tables visible to SQL as temporary views."""

@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landcompare.config import Settings
-from landcompare.sources.shared import shared_folder
+from landcompare.operators.wide import study_sums
+from landcompare.operators.wide import sums as wide_sums
 from landcompare.sources.tables import Tables
 
 # Codes of the test tables. F plays gain, P loss; R plays the NLCD class.
@@ -36,18 +37,16 @@ SCHEMAS = {
     "l_linestatus STRING",
 }
 
-# What is summed per county, and over which rows.
+# What is summed per county: the rows of a class. A measure with a mark is missing where no row of the class has it.
 CLASS_COLUMNS = {"orders": "o_orderstatus", "lineitem": "l_returnflag"}
-LABELS = {"orders": ("F", "O", "P"), "lineitem": ("A", "N", "R")}
-STAGED_LABELS = {"orders": (GAIN, LOSS), "lineitem": (NLCD,)}
 AMOUNTS = {"orders": "o_totalprice", "lineitem": "l_extendedprice"}
 SUMS = {
     "orders": {
-        "grown": "o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'",
-        "shrunk": "o_orderstatus = 'P' AND o_orderpriority = '5-LOW'",
-        "total": "true",
+        "grown": ("o_orderstatus = 'F'", "o_orderpriority = '1-URGENT'"),
+        "shrunk": ("o_orderstatus = 'P'", "o_orderpriority = '5-LOW'"),
+        "total": ("true", None),
     },
-    "lineitem": {"clean": "l_returnflag = 'A' AND l_linestatus = 'F' AND l_discount <= 0.01"},
+    "lineitem": {"clean": ("l_returnflag = 'A'", "l_linestatus = 'F' AND l_discount <= 0.01")},
 }
 PLACE = ("atlas_stco", "atlas_name", "state_name", "st_abbrev", "wkb_geometry")
 HISTOGRAM_OF = {"study_classes": "orders", "nlcd_classes": "lineitem"}
@@ -62,18 +61,6 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     return _tables(_Raw(spark, sf_dir))
 
 
-def staged_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """As ``tables``, but with the sums per county written once and read back.
-
-    For jobs that use the tables many times: one pass over orders and lines, then
-    columnar reads of a table with a row per county. It lies in the shared folder,
-    so a lost executor does not cost the pass again. Of the class histograms it
-    holds the classes that ``settings`` names. Nobody removes it before the folder's
-    owner does.
-    """
-    return _tables(_Staged(spark, sf_dir, shared_folder(spark)))
-
-
 class _Raw:
     """Sums per county, computed from the given tables."""
 
@@ -85,11 +72,11 @@ class _Raw:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
     def places(self) -> DataFrame:
-        """Counties with their state and district, without area."""
+        """Counties with their state and district, without area; nations know their region before customers join."""
+        nations = self.read("nation").join(self.read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         return (
             self.read("customer")
-            .join(self.read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-            .join(self.read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+            .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
             .select(
                 F.col("c_custkey").cast("string").alias("atlas_stco"),
                 F.col("c_name").alias("atlas_name"),
@@ -112,66 +99,86 @@ class _Raw:
         )
 
     def sums(self, source: str, *names: str, only: bool = False) -> DataFrame:
-        """(atlas_stco, the named sums in cents); ``only`` of counties with a row that counts."""
-        conditions = {n: SUMS[source][n] for n in names}
-        where = F.expr(" OR ".join(f"({c})" for c in conditions.values())) if only else None
-        return self._totals(source, {n: _cents(source, c) for n, c in conditions.items()}, where)
+        """(atlas_stco, the named sums in cents); ``only`` of counties with a row of one of the classes."""
+        where = F.expr(" OR ".join(f"({SUMS[source][n][0]})" for n in names)) if only else None
+        found = self._totals(source, measure_sums(source, *names), where)
+        return found.select("atlas_stco", *[measure(source, n).alias(n) for n in names])
 
     def classes(self, source: str, *labels: str) -> DataFrame:
-        """(atlas_stco, label, acres) of some labels; the filter on them reaches the scan."""
+        """(atlas_stco, label, acres); of some labels, by a filter that reaches the scan, or of all, NULL included."""
         column = CLASS_COLUMNS[source]
+        if not labels:
+            rows = self._totals(source, {"total": _cents(source, "true")}, None, F.col(column).alias("label"))
+            return rows.select("atlas_stco", "label", _acres("total").alias("acres"))
+        # Summed side by side and unfolded, so what follows finds rows dealt by county.
         where = F.col(column).isin(*labels)
         if len(labels) == 1:
             total = self._totals(source, {"total": _cents(source, "true")}, where)
             return total.select("atlas_stco", F.lit(labels[0]).alias("label"), _acres("total").alias("acres"))
-        return _unfold(self._totals(source, _class_sums(source, labels), where), labels)
+        test = {k: f"{column} = '{label}'" for k, label in enumerate(labels)}
+        sums = {f"sum_{k}": _cents(source, c) for k, c in test.items()} | {f"rows_{k}": F.count_if(F.expr(c)) for k, c in test.items()}
+        kinds = [F.struct(F.lit(x).alias("label"), _acres(f"sum_{k}").alias("acres"), F.col(f"rows_{k}").alias("n")) for k, x in enumerate(labels)]
+        return self._totals(source, sums, where).select("atlas_stco", F.inline(F.array(*kinds))).where("n > 0").select("atlas_stco", "label", "acres")
 
-    def _totals(self, source: str, sums: dict[str, Column], where: Column | None = None) -> DataFrame:
+    def _totals(self, source: str, sums: dict[str, Column], where: Column | None = None, *by: Column) -> DataFrame:
         rows = self.read(source)
         rows = rows if where is None else rows.where(where)
         owner = F.col("o_custkey").cast("string").alias("atlas_stco")
         aggregates = [column.alias(name) for name, column in sums.items()]
+        keys = ["label"] if by else []
         if source == "orders":
-            return rows.select("*", owner).groupBy("atlas_stco").agg(*aggregates)
-        per_order = rows.groupBy("l_orderkey").agg(*aggregates)
+            return rows.select("*", owner, *by).groupBy("atlas_stco", *keys).agg(*aggregates)
+        per_order = rows.select("*", *by).groupBy("l_orderkey", *keys).agg(*aggregates)
         owners = self.read("orders").select("o_orderkey", owner)
         return (
             per_order.join(owners, F.col("l_orderkey") == F.col("o_orderkey"))
-            .groupBy("atlas_stco")
+            .groupBy("atlas_stco", *keys)
             .agg(*[F.sum(name).alias(name) for name in sums])
         )
 
-
-class _Staged:
-    """The same per county, all written by one job to one table and read back."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str, path: str):
-        raw = _Raw(spark, sf_dir)
-        self.read = raw.read
-        orders, lines = (
-            raw._totals(
-                source,
-                _class_sums(source, STAGED_LABELS[source])
-                | {n: _cents(source, c) for n, c in SUMS[source].items()},
-            ).withColumn(f"has_{source}", F.lit(True))
-            for source in ("orders", "lineitem")
-        )
-        # All three have a row per county and are joined as the sums left them.
-        places = raw.places()
-        places.join(orders, "atlas_stco", "left").join(lines, "atlas_stco", "left").write.parquet(path)
-        self.stored = spark.read.parquet(path)
-
-    def counties(self) -> DataFrame:
-        return self.stored.select(*PLACE, _area())
-
-    def districts(self) -> DataFrame:
-        return self.stored.select(F.col("atlas_stco").alias("fips"), "district_unique")
-
-    def sums(self, source: str, *names: str, only: bool = False) -> DataFrame:
-        return self.stored.where(f"has_{source}").select("atlas_stco", *names)
-
-    def classes(self, source: str, *labels: str) -> DataFrame:
-        return _unfold(self.stored, labels)
+    def wide(self, s: Settings, level: str, sources: Sequence[str]) -> DataFrame:
+        """What ``operators.wide.wide`` gives, from one pass over the lines and two over the orders."""
+        study = {"gain": s.gain_label, "loss": s.loss_label}
+        labelled = {n: f"o_orderstatus = '{x}'" for n, x in study.items()}
+        orders = {n: _cents("orders", c) for n, c in labelled.items()}
+        orders |= {"gains": F.count_if(F.expr(labelled["gain"])), "losses": F.count_if(F.expr(labelled["loss"]))}
+        orders |= measure_sums("orders", "grown", "shrunk", "total") | {"rows_nass": F.count(F.lit(1))}
+        frame = self.places().join(self._totals("orders", orders), "atlas_stco")
+        if {"nlcd", "nri"} & set(sources):
+            nlcd = f"l_returnflag = '{s.nlcd_label}'"
+            lines = {"nlcd": _cents("lineitem", nlcd), "rows_nlcd": F.count_if(F.expr(nlcd)), "rows_nri": F.count(F.lit(1))}
+            frame = frame.join(self._totals("lineitem", lines | measure_sums("lineitem", "clean")), "atlas_stco", "left")
+        totals = {
+            "nass": lambda: _acres("grown", measure("orders", "grown")) - _acres("shrunk", measure("orders", "shrunk")),
+            "nlcd": lambda: _acres("nlcd"),
+            "nri": lambda: _acres("clean", measure("lineitem", "clean")),
+        }
+        frame = frame.withColumns({f"total_{x}": build() for x, build in totals.items() if x in sources} | {"gain": _acres("gain"), "loss": _acres("loss")})
+        frame = study_sums(frame.withColumn("area", _acres("total") * 4), sources)
+        figures = [f"{part}_{x}" for x in sources for part in ("total", "rows")]
+        if level == "counties":
+            return frame.select("atlas_stco", F.col("area").cast("double").alias("acres_calc"), F.col("wkb_geometry").alias("geom"), *figures)
+        keys = ["district_unique", "state_name"] if level == "districts" else ["state_name", "st_abbrev"]
+        rows = frame.groupBy(*keys).agg(*wide_sums(sources), F.sum("area").cast("double").alias("area"))
+        if level == "districts":  # each lies in one state here
+            return rows.select(*keys, F.col("area").alias("acres"), F.col("district_unique").cast("binary").alias("geom"), *figures)
+        return rows.select(F.col("state_name").alias("atlas_name"), F.col("area").alias("acres_calc"), F.col("state_name").cast("binary").alias("geom"), *figures)
+
+
+def measure_sums(source: str, *names: str) -> dict[str, Column]:
+    """The sum of each named class, and how many of its rows have the mark, if there is one."""
+    found: dict[str, Column] = {}
+    for n in names:
+        condition, mark = SUMS[source][n]
+        found[n] = _cents(source, condition)
+        if mark:
+            found[f"{n}_marks"] = F.count_if(F.expr(f"({condition}) AND ({mark})"))
+    return found
+
+
+def measure(source: str, name: str) -> Column:
+    """A class's sum, missing without a marked row."""
+    return F.when(F.col(f"{name}_marks") > 0, F.col(name)) if SUMS[source][name][1] else F.col(name)
 
 
 def _cents(source: str, condition: str) -> Column:
@@ -180,38 +187,15 @@ def _cents(source: str, condition: str) -> Column:
     return F.sum(F.when(F.expr(condition), cents))
 
 
-def _class_sums(source: str, labels: Sequence[str]) -> dict[str, Column]:
-    """Per label the sum and the number of rows: a label without rows has no class."""
-    test = {label: f"{CLASS_COLUMNS[source]} = '{label}'" for label in labels}
-    return {f"sum_{x}": _cents(source, c) for x, c in test.items()} | {
-        f"rows_{x}": F.count_if(F.expr(c)) for x, c in test.items()
-    }
-
-
-def _unfold(wide: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """A row per class from a row per county; keeps the partitioning by county."""
-    rows = [
-        F.struct(
-            F.lit(x).alias("label"), _acres(f"sum_{x}").alias("acres"), F.col(f"rows_{x}").alias("n")
-        )
-        for x in labels
-    ]
-    return (
-        wide.select("atlas_stco", F.inline(F.array(*rows)))
-        .where(F.col("n") > 0)
-        .select("atlas_stco", "label", "acres")
-    )
-
-
-def _acres(cents: str) -> Column:
-    return F.col(cents).cast("decimal(20,0)") * F.lit(Decimal("0.01"))
+def _acres(cents: str, value: Column | None = None) -> Column:
+    return (F.col(cents) if value is None else value).cast("decimal(20,0)") * F.lit(Decimal("0.01"))
 
 
 def _area() -> Column:
     return (_acres("total") * 4).alias("acres_calc")
 
 
-def _tables(source: _Raw | _Staged) -> Tables:
+def _tables(source: _Raw) -> Tables:
     read = source.read
 
     def classes(name: str, labels: Sequence[str]) -> DataFrame:
@@ -229,10 +213,11 @@ def _tables(source: _Raw | _Staged) -> Tables:
         )
 
     def nri(only: bool = False) -> DataFrame:
-        place = counties().select("atlas_stco", "st_abbrev")
+        # A left join on a key made unique: where the state is not asked for, Catalyst drops it.
+        place = source.places().groupBy("atlas_stco").agg(F.min("st_abbrev").alias("st_abbrev"))
         return (
             source.sums("lineitem", "clean", only=only)
-            .join(place, "atlas_stco")
+            .join(place, "atlas_stco", "left")
             .select("atlas_stco", "st_abbrev", _acres("clean").alias("expansion"))
         )
 
@@ -265,9 +250,9 @@ def _tables(source: _Raw | _Staged) -> Tables:
         )
 
     build = {
-        "study_classes": lambda: source.classes("orders", *LABELS["orders"]),
+        "study_classes": lambda: source.classes("orders"),
         "study_states": study_states,
-        "nlcd_classes": lambda: source.classes("lineitem", *LABELS["lineitem"]),
+        "nlcd_classes": lambda: source.classes("lineitem"),
         "nri": nri,
         "nass": nass,
         "counties": counties,
@@ -277,4 +262,4 @@ def _tables(source: _Raw | _Staged) -> Tables:
         "district_areas": district_areas,
     }
     known = {"nri": nri, "nass": nass}
-    return Tables(lambda name: build[name](), classes, lambda name: known[name](only=True))
+    return Tables(lambda name: build[name](), classes, lambda name: known[name](only=True), source.wide)

@@ -36,12 +36,14 @@ WITH o AS (
   SELECT atlas_stco, l_returnflag AS label, sum(price) AS acres FROM li GROUP BY ALL
 ), nri AS (
   SELECT li.atlas_stco, st_abbrev,
-         sum(price) FILTER (WHERE l_returnflag = 'A' AND l_linestatus = 'F' AND l_discount <= 0.01) AS expansion
+         CASE WHEN count(*) FILTER (WHERE l_returnflag = 'A' AND l_linestatus = 'F' AND l_discount <= 0.01) > 0
+              THEN sum(price) FILTER (WHERE l_returnflag = 'A') END AS expansion
   FROM li JOIN counties ON li.atlas_stco = counties.atlas_stco GROUP BY li.atlas_stco, st_abbrev
 ), nass AS (
   SELECT atlas_stco,
-         sum(price) FILTER (WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')
-         - sum(price) FILTER (WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW') AS diff
+         CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') > 0
+               AND count(*) FILTER (WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW') > 0
+              THEN sum(price) FILTER (WHERE o_orderstatus = 'F') - sum(price) FILTER (WHERE o_orderstatus = 'P') END AS diff
   FROM o GROUP BY atlas_stco
 ), study_states AS (
   SELECT state_name AS atlas_name, sum(acres) AS expansion

@@ -3,18 +3,19 @@ import glob
 import json
 import math
 import os
-import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from inline import by, tables
+from inline import by, frames, tables
 from landcompare import Settings, Tables, load_settings
 from landcompare.operators.queries import query
 from landcompare.plans.compare import compare
 from landcompare.plans.report import report
-from landcompare.sources import sinks
-from landcompare.sources.jdbc import split_predicates
-from landcompare.sources.query_text import run_query
+from landcompare.sources import sinks, testdata
+from landcompare.sources.jdbc import bounds_query, jdbc_tables, split_predicates
+from landcompare.sources.query_text import run_query, whole_text
+from landcompare.sources.schemas import InvalidTable
 from landcompare.sources.shared import shared_folder
 
 S = Settings()
@@ -145,28 +146,97 @@ def test_report(spark, tmp_path, level):
     assert results["choropleth"].where("dataset = 'NLCD'").count() == len(drawn) * len(rows)
 
 
-def test_jdbc_predicates_cover_every_key_once():
-    parts = split_predicates("fips", 3)
-    assert len(parts) == 3
-    assert parts[0] == "mod(abs(hashtext(fips)::bigint), 3) = 0 OR fips IS NULL"
-    assert parts[2] == "mod(abs(hashtext(fips)::bigint), 3) = 2"
+def test_jdbc_ranges_cover_every_key_once():
+    parts = split_predicates("fips", ["01", "0'2", "0'2"])
+    assert parts == ["fips < '01' OR fips IS NULL", "fips >= '01' AND fips < '0''2'", "fips >= '0''2'"]
+    assert split_predicates("fips", []) == ["true"]
+    query = "(SELECT unnest(percentile_disc(ARRAY[1/3.0, 2/3.0]) WITHIN GROUP (ORDER BY fips)) AS bound FROM x.lookup) b"
+    assert bounds_query("x.lookup", "fips", 3) == query
+
+
+def test_jdbc_reads_each_table_from_its_data_base(spark):
+    class Reader:
+        def __init__(self):
+            self.read, self.seen = self, []
+
+        def jdbc(self, url, table, predicates=None, properties=None):
+            self.seen.append((url, table, predicates))
+            return frames(spark)["district_areas" if "district_areas" in url else "nass"]
+
+    reader = Reader()
+    t = jdbc_tables(reader, {"nass": "jdbc:a/nass", "district_areas": "jdbc:b/district_areas"}, {"nass": "x.nass", "district_areas": "y.d"}, {}, bounds={"nass": ["02"]})
+    assert t["nass"].count() == 5 and t["district_areas"].count() == 3
+    assert reader.seen == [
+        ("jdbc:a/nass", '(SELECT "atlas_stco", "diff" FROM x.nass) q', ["atlas_stco < '02' OR atlas_stco IS NULL", "atlas_stco >= '02'"]),
+        ("jdbc:b/district_areas", '(SELECT "STASD_A", "acres", ST_AsBinary(geom) AS geom FROM y.d) q', None),
+    ]
 
 
 class Cluster:
     """Stands for a session on a cluster."""
 
-    def __init__(self, setting=None, master="yarn"):
-        self.conf = {"spark.checkpoint.dir": setting} if setting else {}
+    def __init__(self, setting=None):
+        self.conf = {"spark.sql.warehouse.dir": "hdfs://x/warehouse"} | ({"spark.checkpoint.dir": setting} if setting else {})
         self.sparkContext = self
-        self.master = master
 
     def getCheckpointDir(self):
         return None
 
 
 def test_shared_folder():
-    assert shared_folder(Cluster(master="local[8]")).startswith(f"{tempfile.gettempdir()}/landcompare-")
     a, b = (shared_folder(Cluster("hdfs://x/shared/")) for _ in range(2))
     assert a.startswith("hdfs://x/shared/landcompare-") and a != b
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        shared_folder(Cluster())
+    assert shared_folder(Cluster()).startswith("hdfs://x/warehouse/scratch/landcompare-")
+
+
+def test_whole_numbers_and_hex_geometry(spark):
+    own = frames(spark)
+    own["nass"] = own["nass"].withColumn("diff", F.col("diff").cast("bigint"))
+    own["counties"] = own["counties"].withColumn("wkb_geometry", F.hex("wkb_geometry")).withColumn("acres_calc", F.col("acres_calc").cast("int"))
+    t, plain = Tables.from_frames(own), tables(spark)
+    t.check()
+    for level in ("counties", "districts", "states"):
+        got, want = (query(x, S, level, "nass") for x in (t, plain))
+        assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("value, rule", [(None, "acres_calc above zero"), (float("nan"), "acres_calc above zero"), (0.0, "acres_calc above zero")])
+def test_areas_must_be_numbers_above_zero(spark, value, rule):
+    bad = [("01001", "Adams", "North", "NO", value, b"")]
+    with pytest.raises(InvalidTable, match=rule):
+        tables(spark, counties=bad).check("counties")
+
+
+def test_keys_must_not_be_null(spark):
+    with pytest.raises(InvalidTable, match="atlas_stco not NULL broken 1 times"):
+        tables(spark, nass=[(None, 1.0), ("01001", 2.0)]).check("nass")
+
+
+def test_one_file_per_description_and_query(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.sql").write_text("SELECT 1")
+    with pytest.raises(ValueError, match="several"):
+        whole_text(spark, f"{tmp_path}/*.sql")
+    assert whole_text(spark, f"{tmp_path}/a.sql") == "SELECT 1"
+
+
+def test_histograms_keep_every_class(spark, tmp_path):
+    """Classes beyond the ones asked for, NULL among them, are in the derived and in the stored table."""
+    for n in ("region", "nation", "customer", "lineitem"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet").write.parquet(f"{tmp_path}/{n}.parquet")
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    fourth = F.when(F.col("o_orderkey") % 5 == 0, "X").when(F.col("o_orderkey") % 7 == 0, None).otherwise(F.col("o_orderstatus"))
+    orders.withColumn("o_orderstatus", fourth).write.parquet(f"{tmp_path}/orders.parquet")
+    t = testdata.tables(spark, str(tmp_path))
+    labels = {r.label for r in t["study_classes"].select("label").distinct().collect()}
+    assert labels == {"F", "O", "P", "X", None}
+    want = spark.read.parquet(f"{tmp_path}/orders.parquet").select("o_custkey", "o_orderstatus").distinct().count()
+    assert t["study_classes"].count() == want
+
+
+def test_a_file_per_bucket(spark, tmp_path):
+    tables(spark).save_bucketed({"nass": "bucketed_nass"}, 3)
+    try:
+        assert len(spark.table("bucketed_nass").inputFiles()) <= 3
+    finally:
+        spark.sql("DROP TABLE bucketed_nass")
