@@ -289,6 +289,17 @@ def oracle_sql() -> dict[str, str]:
             )
     add("compare_counties_nlcd_by_name", _compare("counties", "NLCD", "atlas_name"))
     add("raw_districts_nass", f"SELECT * EXCLUDE (geom) FROM ({_compare('districts', 'NASS')}) x")
+    add("counties_nass_whole_acres", _county("nass").replace("FROM nass a", "FROM (SELECT atlas_stco, floor(diff) AS diff FROM nass) a"))
+    add("counties_nass_from_text", _county("nass"))
+    named = TABLES.replace("c_name AS atlas_name", "'n' || CAST(c_custkey // 2 AS VARCHAR) AS atlas_name")
+    twins["compare_counties_nlcd_namesakes"] = f"{named}\n{_compare('counties', 'NLCD', 'atlas_name')}"
+    plain = "SELECT atlas_stco, o_orderstatus AS label, sum(price) AS acres FROM o GROUP BY ALL"
+    number = "CAST(atlas_stco AS BIGINT)"
+    odd = (
+        f"SELECT atlas_stco, label, CASE WHEN {number} % 3 = 0 THEN 0 WHEN {number} % 5 = 0 THEN CAST('nan' AS DOUBLE) "
+        f"ELSE CAST(acres AS DOUBLE) END AS acres FROM ({plain}) p"
+    )
+    twins["compare_counties_nlcd_zero_and_nan"] = f"{TABLES.replace(plain, odd)}\n{_compare('counties', 'NLCD')}"
     for level in _QUERY:
         long = f"long AS ({_long(level)})"
         add(f"comparisons_{level}", _by_map(level), long)
