@@ -20,6 +20,7 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +28,7 @@ from landcompare.llm.common import table, texts
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-MEMO_WORDS = 300_000
+MEMO_WORDS = 500_000
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 # Piece and model types of the format.
@@ -145,47 +146,57 @@ class Codec:
 
         self.model = parse(data)
         self.tokenizer = rebuild(self.model)
-        self.normalise = self.tokenizer.normalizer.normalize_str
+        plain = not self.model.charsmap and not self.model.squeeze_blanks  # then blanks are all there is to do
+        self.normalise = self._marked if plain else self.tokenizer.normalizer.normalize_str
         self.bare = rebuild(self.model)
         self.bare.normalizer = None
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.words = by_words(self.model)
-        self.memo: dict[str, tuple[array, bool, bool]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.strange: set[str] = set()  # words with other ids than the library's
+        self.lost: set[str] = set()  # words that are not decoded to themselves
 
-    def encode(self, found: list[str]) -> list[tuple[array, bool, bool]]:
-        """(ids, same ids as sentencepiece's, decoded to the same text) per text."""
+    def encode(self, found: list[str]) -> list[tuple[bytes, bool, bool]]:
+        """(ids as 32-bit numbers, same ids as sentencepiece's, decoded to the same text) per text."""
         if not self.words:
-            return self._checked(found, [self.normalise(t) for t in found], [self.reference.encode(t) for t in found])
-        split = [WORDS.findall(self.normalise(t)) for t in found]
-        self._learn([w for w in set().union(*split) if w not in self.memo])
-        rows = []
-        for words in split:
-            ids, same, back = array("i"), True, True
-            for one, s, b in map(self.memo.__getitem__, words):
-                ids.extend(one)
-                same &= s
-                back &= b
-            rows.append((ids, same, back))
+            normal = [self.normalise(t) for t in found]
+            wanted = self.reference.encode(found)
+            got, again = self._rebuilt(normal)
+            rows = zip(wanted, got, again, map(self._shown, normal), strict=True)
+            return [(packed(w), g == w, a == n) for w, g, a, n in rows]
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-        return rows
+        split = [WORDS.findall(self.normalise(t)) for t in found]
+        self._learn([w for w in set().union(*split) if w not in self.memo])
+        get = self.memo.__getitem__
+        return [(b"".join(map(get, words)), self.strange.isdisjoint(words), self.lost.isdisjoint(words)) for words in split]
+
+    def _marked(self, text: str) -> str:
+        return (MARK if text and self.model.dummy_prefix else "") + text.replace(" ", MARK)
+
+    def _shown(self, normal: str) -> str:
+        """What a normalised text reads like when decoded."""
+        text = normal.replace(MARK, " ")
+        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+
+    def _rebuilt(self, normal: list[str]) -> tuple[list[list[int]], list[str]]:
+        ids = [e.ids for e in self.bare.encode_batch_fast(normal, add_special_tokens=False)]
+        return ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
     def _learn(self, new: list[str]) -> None:
         # After a letter a word stands as it does in a text, without the prefix that a text's start gets.
-        lead = self.reference.encode("x")
-        wanted = [x[len(lead) :] for x in self.reference.encode(["x" + w.replace(MARK, " ") for w in new])]
-        for word, row in zip(new, self._checked(new, new, wanted), strict=True):
-            self.memo[word] = row
-
-    def _checked(self, found: list[str], normal: list[str], wanted: list[list[int]]) -> list[tuple[array, bool, bool]]:
-        encoded = self.bare.encode_batch_fast(normal, add_special_tokens=False)
-        ids = [e.ids for e in encoded]
-        texts_again = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        start = 1 if self.model.dummy_prefix else 0
-        return [
-            (array("i", w), i == w, back == n.replace(MARK, " ")[start if n.startswith(MARK) else 0 :])
-            for i, w, back, n in zip(ids, wanted, texts_again, normal, strict=True)
-        ]
+        lead = len(self.reference.encode("x"))
+        wanted = [x[lead:] for x in self.reference.encode(["x" + w.replace(MARK, " ") for w in new])]
+        got, again = self._rebuilt(new)
+        if got != wanted:
+            self.strange.update(w for w, g, x in zip(new, got, wanted, strict=True) if g != x)
+        if again != (shown := list(map(self._shown, new))):
+            self.lost.update(w for w, a, n in zip(new, again, shown, strict=True) if a != n)
+        self.memo.update(zip(new, map(packed, wanted), strict=True))
+
+
+def packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
 
 
 def encode(docs: DataFrame, model_path: str, threads: int = 1) -> DataFrame:
@@ -209,14 +220,11 @@ def encode(docs: DataFrame, model_path: str, threads: int = 1) -> DataFrame:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 rows = codec.encode(part.column("text").to_pylist())
-                values, offsets = array("i"), [0]
-                for ids, _, _ in rows:
-                    values.extend(ids)
-                    offsets.append(len(values))
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(memoryview(values), pa.int32()) if values else pa.array([], pa.int32()))
+                sizes = np.array([len(r[0]) // 4 for r in rows], np.int64)
+                values = pa.array(np.frombuffer(b"".join(r[0] for r in rows), np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), values)
                 flags = [pa.array([r[k] for r in rows], pa.bool_()) for k in (1, 2)]
-                counts = pa.array([len(r[0]) for r in rows], pa.int64())
-                yield pa.record_batch([part.column("doc_id"), lists, counts, *flags], ["doc_id", "ids", "n_tokens", "parity", "round_trip"])
+                yield pa.record_batch([part.column("doc_id"), lists, pa.array(sizes), *flags], ["doc_id", "ids", "n_tokens", "parity", "round_trip"])
 
     return texts(docs).mapInArrow(run, "doc_id BIGINT, ids ARRAY<INT>, n_tokens BIGINT, parity BOOLEAN, round_trip BOOLEAN")
 

@@ -1,0 +1,139 @@
+"""Every operator and stage over nulls, empty and long texts, repeats, empty tables and clashing columns."""
+
+import public_tokenizers
+import pytest
+from frames import DOCS, clashing, documents, frame, prose, rows_of
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from landcompare.llm import decontamination, licenses, linetemplates, neighbours, quality, sentencepieces, simhash, tokencounts, toxicity, urlfilter
+from landcompare.sources.shared import shared_folder
+
+LABELS = [(1, 1, 0), (3, 1, 1), (4, None, 1), (8, 0, 0), (8, 1, 0), (None, 1, 1), (99, 1, None)]
+ITEMS = [(1, prose(25, 1)), (1, prose(25, 1)), (2, None), (3, ""), (None, "one two"), (4, "…")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return frame(spark, documents()).cache()
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame(LABELS, "doc_id BIGINT, quality INT, toxic INT")
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    return spark.createDataFrame(ITEMS, "item_id BIGINT, text STRING")
+
+
+def counted(docs):
+    path = public_tokenizers.path(tokencounts.TOKENIZER)
+    return tokencounts.count_tokens(docs, path, shared_folder(docs.sparkSession, "test-cache"))
+
+
+def encoded(docs):
+    return sentencepieces.encode(docs, public_tokenizers.path(sentencepieces.MODEL))
+
+
+OPERATORS = {
+    "quality": lambda d, marks, items: quality.score(d, quality.fit(d, quality.ratings_of(marks))),
+    "toxicity": lambda d, marks, items: toxicity.score(d, toxicity.fit(d, marks)),
+    "leaks": lambda d, marks, items: decontamination.leaks(d, items),
+    "encode": lambda d, marks, items: encoded(d),
+    "simhash": lambda d, marks, items: simhash.near_duplicates(d),
+    "counts": lambda d, marks, items: counted(d),
+    "licenses": lambda d, marks, items: licenses.scan(licenses.files_of(d)),
+    "lines": lambda d, marks, items: linetemplates.drop_recurring_lines(d.select("doc_id", "text"), counts=True),
+}
+STAGES = {
+    "drop_toxic": lambda d, marks, items: toxicity.drop_toxic(d, marks),
+    "drop_lines": lambda d, marks, items: linetemplates.drop_recurring_lines(d),
+    "drop_near": lambda d, marks, items: simhash.drop_near_duplicates(d),
+    "drop_leaking": lambda d, marks, items: decontamination.drop_leaking(d, items),
+}
+PER_ROW = ("quality", "toxicity", "encode", "simhash", "counts", "licenses", "lines")
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_rows_of_all_kinds(docs, labels, items, name):
+    plain = OPERATORS[name](docs, labels, items)
+    found = rows_of(plain)
+    if name in PER_ROW:
+        assert len(found) == docs.count()
+        ids = [r[0] for r in plain.select("doc_id").collect()]
+        assert sorted(map(str, ids)) == sorted(str(d[0]) for d in documents())
+        assert len({r for r in found if "doc_id=8," in r}) == 1  # repeated rows, one result
+    assert rows_of(OPERATORS[name](clashing(docs), labels, items)) == found
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_no_rows(spark, docs, labels, items, name):
+    empty = docs.limit(0)
+    assert OPERATORS[name](empty, labels, items).count() == 0
+    assert OPERATORS[name](empty, labels.limit(0), items.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_stages_keep_columns(spark, docs, labels, items, name):
+    found = STAGES[name](docs, labels, items)
+    assert found.dtypes == docs.dtypes
+    more = clashing(docs)
+    again = STAGES[name](more, labels, items)
+    assert again.columns == more.columns
+    assert rows_of(again.select(docs.columns)) == rows_of(found)
+    assert STAGES[name](docs.limit(0), labels, items).count() == 0
+
+
+def test_no_labels_no_items(docs, labels, items):
+    assert toxicity.drop_toxic(docs, labels.limit(0)).count() == docs.count()
+    assert {r[0] for r in toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).select("score").collect()} == {0.5}
+    grades = {round(r[0], 6) for r in quality.score(docs, quality.fit(docs, quality.ratings_of(labels.limit(0)))).select("expected_grade").collect()}
+    assert grades == {1.0}
+    assert decontamination.leaks(docs, items.limit(0)).count() == 0
+    assert decontamination.drop_leaking(docs, items.limit(0)).count() == docs.count()
+
+
+def test_urls_of_all_kinds(spark):
+    rows = [(1, None, None), (2, "", ""), (3, "no scheme", "<link rel=canonical href=/x>"), (None, "http://A.ORG", None), (5, "http://example.org/es/1", "x" * 200_000), (5, "http://example.org/es/1", "x" * 200_000)]
+    pages = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")
+    rules = urlfilter.rule_table(spark, urlfilter.RULES)
+    found = urlfilter.judge(pages, rules).drop("class_id")
+    assert rows_of(found) == sorted(
+        map(
+            repr,
+            spark.createDataFrame(
+                [("", 1, "", None, "allow"), ("", 2, "", None, "allow"), ("", 3, "", None, "allow"), ("a.org", None, "", None, "allow")]
+                + [("example.org", 5, "/es/1", "example.org/es/", "block")] * 2,
+                "host STRING, page_id BIGINT, path STRING, rule STRING, verdict STRING",
+            ).collect(),
+        )
+    )
+    more = pages.select("*", *[F.lit("x").alias(c) for c in ("host", "path", "rule", "action", "node", "verdict", "component", "best", "fitting", "class_id")])
+    assert rows_of(urlfilter.judge(more, rules).drop("class_id")) == rows_of(found)
+    assert urlfilter.judge(pages.limit(0), rules).count() == 0
+    assert {r.verdict for r in urlfilter.judge(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_vectors_of_all_kinds(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, [1.0, nan]), (5, [inf, 1.0]), (6, None), (7, []), (8, [1.0, None]), (9, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<FLOAT>")
+    vectors = neighbours.usable(table)
+    found = neighbours.nearest(vectors, vectors.where("vec_id = 0"))
+    assert [tuple(r) for r in found.orderBy("rank").collect()] == [(0, 1, 1, 1.0), (0, 2, 2, 0.0)]
+    more = table.select("*", *[F.lit(1).alias(c) for c in ("vector", "part", "parts", "score", "rank", "h", "n")])
+    assert rows_of(neighbours.nearest(neighbours.usable(more), neighbours.usable(more).where("vec_id = 0"))) == rows_of(found)
+    none = neighbours.usable(table.limit(0))
+    assert neighbours.nearest(none, none).count() == 0
+
+
+def test_pipeline_of_all_kinds(spark, docs, labels, items, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = sorted(r.doc_id for r in found if r.doc_id is not None)
+    assert 2 not in kept and 4 not in kept and kept.count(8) <= 1
+    assert all(r.parity for r in found)
