@@ -263,13 +263,14 @@ def _distinct(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _best(who: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, count: int):
     """The ``count`` nearest of each query; ids ascend, so a stable sort settles ties."""
     scores = q @ x.T
+    # A little more than the exact cut, by what sums in another order can differ.
+    slack = 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max() * x.shape[1]
     scores[who[:, None] == ids[None, :]] = -np.inf
     for k in range(len(who)):
         row = scores[k]
-        # A little more than the exact cut, then sums in a fixed order, the same for equal vectors.
-        cut = np.partition(row, len(row) - count)[len(row) - count] - 1e-9 if len(row) > count else -np.inf
+        cut = np.partition(row, len(row) - count)[len(row) - count] - slack[k] if len(row) > count else -np.inf
         at = np.flatnonzero((row >= cut) & (row > -np.inf))
-        exact = (x[at] * q[k]).sum(1)
+        exact = (x[at] * q[k]).sum(1)  # in a fixed order, the same for equal vectors
         top = np.lexsort((ids[at], -exact))[:count]
         yield [np.full(len(top), who[k], np.int64), ids[at][top], exact[top]]
 
