@@ -74,11 +74,12 @@ def postings_of(items: DataFrame) -> DataFrame:
 
     counts = items.mapInArrow(run, "item BIGINT, word STRING, n BIGINT, length BIGINT")
     counts = stored(counts, "bm25-counts")
-    whole = counts.groupBy("item").agg(F.first("length").alias("length")).agg(F.count("*").alias("items"), F.avg("length").alias("mean"))
+    whole = counts.groupBy("item").agg(F.first("length").alias("length")).agg(F.count("*").alias("items"), F.avg("length").alias("mean")).first()
+    n_items, mean = F.lit(whole["items"]), F.lit(whole["mean"] or 1.0)
     df = counts.groupBy("word").agg(F.count("*").alias("df"))
-    rows = counts.join(df, "word").crossJoin(F.broadcast(whole))  # one row of totals
-    idf = F.log(1 + (F.col("items") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    rows = counts.join(df, "word")
+    idf = F.log(1 + (n_items - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("length") / mean))
     rows = rows.select("item", "word", "length", weight.alias("raw"))
     total = rows.groupBy("item").agg(F.sum("raw").alias("total"))
     return rows.join(total, "item").select("item", "word", (F.col("raw") / F.col("total")).alias("weight"), "length")
