@@ -19,7 +19,7 @@ def report(
 
     Below ``folder/level``: a ``_raw`` CSV per dataset and map, at levels with log
     columns a ``_qaqc`` CSV of ranges, and as Parquet ``frames/<dataset>``,
-    ``choropleth`` and ``fits``. Each comparison is computed once and written;
+    ``profiles``, ``choropleth`` and ``fits``. Each comparison is computed once and written;
     all else reads it back, so a lost executor costs no second computation.
     Returns the written frames by name.
     """
@@ -37,10 +37,12 @@ def report(
             write_csv(saturate(frame, s.map(level, m)), csv_path(folder, level, name, m, "raw"))
     long = long_frame(frames, s, level)
     if plan.log_columns:
+        profiles(long, s, level).write.mode("overwrite").parquet(f"{target}/profiles")
+        ranges = spark.read.parquet(f"{target}/profiles")
         for name in frames:
-            ranges = profiles(long.where(long["dataset"] == name), s, level).drop("level", "dataset")
+            own = ranges.where(ranges["dataset"] == name).drop("level", "dataset")
             for m in plan.drawn:  # the profiled columns are the same for every map
-                write_csv(ranges, csv_path(folder, level, name, m, "qaqc"))
+                write_csv(own, csv_path(folder, level, name, m, "qaqc"))
     results = {"choropleth": choropleth(long, s, level), "fits": axis_labels(fits(long, s, level))}
     for name, frame in results.items():
         frame.write.mode("overwrite").parquet(f"{target}/{name}")
