@@ -83,7 +83,23 @@ def thousands(x: Column) -> Column:
     return F.format_number(x, 0)
 
 
-TRANSFORMS = {"log1p": log1p, "identity": lambda x: x.cast("double")}
+def log10(x: Column) -> Column:
+    """Decimal logarithm, -Inf at 0 and NaN below, NULL and NaN pass through."""
+    x = x.cast("double")
+    return (
+        F.when(x.isNull() | F.isnan(x), x)
+        .when(x > 0, F.log10(x))
+        .when(x == 0, F.lit(-INF))
+        .otherwise(F.lit(NAN))
+    )
+
+
+TRANSFORMS = {
+    "log1p": log1p,
+    "identity": lambda x: x.cast("double"),
+    "log10": log10,
+    "log10_plus1": lambda x: log10(x.cast("double") + 1),
+}
 
 
 def transform(name: str, x: Column) -> Column:

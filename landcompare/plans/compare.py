@@ -147,6 +147,22 @@ def fits(long: DataFrame, s: Settings, level: str) -> DataFrame:
     return fit(long, s.rate("exp"), s.rate("nri"), spaces, by=("level", "dataset"))
 
 
+def scatter_fits(long: DataFrame, s: Settings, level: str) -> DataFrame:
+    """Per dataset, scatter plot of the level's description and transform the scatter statistics."""
+    kinds = [
+        F.struct(
+            F.lit(name).alias("scatter"),
+            F.lit({"no_log": "identity"}.get(trans, trans)).alias("space"),
+            F.col(plot.x).cast("double").alias("x"),
+            F.col(plot.y).cast("double").alias("y"),
+        )
+        for name, plot in s.level(level).scatterplots.items()
+        for trans in plot.log_trans or ("no_log",)
+    ]
+    rows = long.select("level", "dataset", F.inline(F.array(*kinds)))
+    return fit(rows, "x", "y", F.col("space"), by=("level", "dataset", "scatter"))
+
+
 def profiles(long: DataFrame, s: Settings, level: str) -> DataFrame:
     """Per dataset the ranges of shares and derived columns."""
     wanted = [s.share("exp"), s.share("nri"), *[c for c in DERIVED if c in long.columns]]

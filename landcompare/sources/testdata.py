@@ -37,16 +37,17 @@ SCHEMAS = {
     "l_linestatus STRING",
 }
 
-# What is summed per county: the rows of a class. A measure with a mark is missing where no row of the class has it.
+# What is summed per county: (the rows of a class; a mark; the class of the marked rows). A measure with a mark is
+# missing where no row of the latter class has it.
 CLASS_COLUMNS = {"orders": "o_orderstatus", "lineitem": "l_returnflag"}
 AMOUNTS = {"orders": "o_totalprice", "lineitem": "l_extendedprice"}
 SUMS = {
     "orders": {
-        "grown": ("o_orderstatus = 'F'", "o_orderpriority = '1-URGENT'"),
-        "shrunk": ("o_orderstatus = 'P'", "o_orderpriority = '5-LOW'"),
-        "total": ("true", None),
+        "grown": ("o_orderstatus = 'F'", "o_orderpriority = '1-URGENT'", "o_orderstatus = 'F'"),
+        "shrunk": ("o_orderstatus = 'O'", "o_orderpriority = '5-LOW'", "o_orderstatus = 'P'"),
+        "total": ("true", None, "true"),
     },
-    "lineitem": {"clean": ("l_returnflag = 'A'", "l_linestatus = 'F' AND l_discount <= 0.01")},
+    "lineitem": {"clean": ("l_returnflag = 'A'", "l_linestatus = 'F' AND l_discount <= 0.01", "l_returnflag = 'A'")},
 }
 PLACE = ("atlas_stco", "atlas_name", "state_name", "st_abbrev", "wkb_geometry")
 HISTOGRAM_OF = {"study_classes": "orders", "nlcd_classes": "lineitem"}
@@ -100,7 +101,8 @@ class _Raw:
 
     def sums(self, source: str, *names: str, only: bool = False) -> DataFrame:
         """(atlas_stco, the named sums in cents); ``only`` of counties with a row of one of the classes."""
-        where = F.expr(" OR ".join(f"({SUMS[source][n][0]})" for n in names)) if only else None
+        classes = dict.fromkeys(c for n in names for c in (SUMS[source][n][0], SUMS[source][n][2]))
+        where = F.expr(" OR ".join(f"({c})" for c in classes)) if only else None
         found = self._totals(source, measure_sums(source, *names), where)
         return found.select("atlas_stco", *[measure(source, n).alias(n) for n in names])
 
@@ -166,13 +168,13 @@ class _Raw:
 
 
 def measure_sums(source: str, *names: str) -> dict[str, Column]:
-    """The sum of each named class, and how many of its rows have the mark, if there is one."""
+    """The sum of each named class, and how many rows have its mark, if there is one."""
     found: dict[str, Column] = {}
     for n in names:
-        condition, mark = SUMS[source][n]
+        condition, mark, of = SUMS[source][n]
         found[n] = _cents(source, condition)
         if mark:
-            found[f"{n}_marks"] = F.count_if(F.expr(f"({condition}) AND ({mark})"))
+            found[f"{n}_marks"] = F.count_if(F.expr(f"({of}) AND ({mark})"))
     return found
 
 

@@ -43,7 +43,7 @@ WITH o AS (
   SELECT atlas_stco,
          CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') > 0
                AND count(*) FILTER (WHERE o_orderstatus = 'P' AND o_orderpriority = '5-LOW') > 0
-              THEN sum(price) FILTER (WHERE o_orderstatus = 'F') - sum(price) FILTER (WHERE o_orderstatus = 'P') END AS diff
+              THEN sum(price) FILTER (WHERE o_orderstatus = 'F') - sum(price) FILTER (WHERE o_orderstatus = 'O') END AS diff
   FROM o GROUP BY atlas_stco
 ), study_states AS (
   SELECT state_name AS atlas_name, sum(acres) AS expansion
@@ -223,17 +223,48 @@ def _choropleth(level: str) -> str:
     )
 
 
-def _fits() -> str:
+_POINTS = f"""
+    SELECT level, dataset, acres_study_per_year AS x, acres_per_year AS y,
+           CASE WHEN dataset = 'NASS' THEN 'identity' ELSE 'log1p' END AS transform,
+           CASE WHEN dataset = 'NASS' THEN acres_study_per_year ELSE {_log1p('acres_study_per_year')} END AS tx,
+           CASE WHEN dataset = 'NASS' THEN acres_per_year ELSE {_log1p('acres_per_year')} END AS ty
+    FROM long"""
+
+
+def _log10(x: str) -> str:
+    return (
+        f"CASE WHEN {x} > 0 THEN log10({x}) WHEN {x} = 0 THEN -CAST('inf' AS DOUBLE) "
+        f"WHEN {x} < 0 THEN CAST('nan' AS DOUBLE) END"
+    )
+
+
+def _scatter_fits() -> str:
+    acres, share = ("acres_study_per_year", "acres_per_year"), ("acres_study_per_year_per_eu", "acres_per_year_per_eu")
+    kinds = [
+        ("raw_acres", "identity", acres, "{}"),
+        ("perc_eu", "identity", share, "{}"),
+        ("perc_eu", "log10", share, _log10("{}")),
+        ("perc_eu", "log10_plus1", share, _log10("({} + 1)")),
+    ]
+    points = " UNION ALL ".join(
+        f"SELECT level, dataset, '{name}' AS scatter, '{t}' AS transform, {x} AS x, {y} AS y, "
+        f"{change.replace('{}', x)} AS tx, {change.replace('{}', y)} AS ty FROM long"
+        for name, t, (x, y), change in kinds
+    )
+    return f"SELECT * EXCLUDE (min_label, max_label) FROM ({_fits(points, 'scatter, ')}) s"
+
+
+def _fits(points: str = _POINTS, more: str = "") -> str:
     finite = "isfinite(tx) AND isfinite(ty)"
     return f"""
-SELECT level, dataset, n, n_dropped, min_val, max_val,
+SELECT level, dataset, {more}n, n_dropped, min_val, max_val,
        round(CASE WHEN spread THEN slope END, 6) AS slope,
        round(CASE WHEN spread THEN intercept END, 3) AS intercept,
        round(CASE WHEN spread AND min_y < max_y THEN r2 END, 8) AS r2, transform,
        format('{{:,}}', CAST(round_even(min_val, 0) AS BIGINT)) AS min_label,
        format('{{:,}}', CAST(round_even(max_val, 0) AS BIGINT)) AS max_label
 FROM (
-  SELECT level, dataset, transform,
+  SELECT level, dataset, {more}transform,
          count(*) FILTER (WHERE coalesce({finite}, false)) AS n,
          count(*) FILTER (WHERE NOT coalesce({finite}, false)) AS n_dropped,
          least(min(x), min(y)) AS min_val, greatest(max(x), max(y)) AS max_val,
@@ -242,12 +273,7 @@ FROM (
          regr_r2(ty, tx) FILTER (WHERE {finite}) AS r2,
          min(tx) FILTER (WHERE {finite}) < max(tx) FILTER (WHERE {finite}) AS spread,
          min(ty) FILTER (WHERE {finite}) AS min_y, max(ty) FILTER (WHERE {finite}) AS max_y
-  FROM (
-    SELECT level, dataset, acres_study_per_year AS x, acres_per_year AS y,
-           CASE WHEN dataset = 'NASS' THEN 'identity' ELSE 'log1p' END AS transform,
-           CASE WHEN dataset = 'NASS' THEN acres_study_per_year ELSE {_log1p('acres_study_per_year')} END AS tx,
-           CASE WHEN dataset = 'NASS' THEN acres_per_year ELSE {_log1p('acres_per_year')} END AS ty
-    FROM long
+  FROM ({points}
   ) p GROUP BY ALL
 ) f"""
 
@@ -289,6 +315,8 @@ def oracle_sql() -> dict[str, str]:
             )
     add("compare_counties_nlcd_by_name", _compare("counties", "NLCD", "atlas_name"))
     add("raw_districts_nass", f"SELECT * EXCLUDE (geom) FROM ({_compare('districts', 'NASS')}) x")
+    for level in ("counties", "states"):
+        add(f"scatter_fits_{level}", _scatter_fits(), f"long AS ({_long(level)})")
     add("counties_nass_whole_acres", _county("nass").replace("FROM nass a", "FROM (SELECT atlas_stco, floor(diff) AS diff FROM nass) a"))
     add("counties_nass_from_text", _county("nass"))
     named = TABLES.replace("c_name AS atlas_name", "'n' || CAST(c_custkey // 2 AS VARCHAR) AS atlas_name")
