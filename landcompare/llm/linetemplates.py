@@ -35,34 +35,40 @@ COPY_SHARE, COPY_LINES = 0.5, 3
 FIELD = "<*>"
 
 
-def masked(line: Column) -> Column:
-    """A line with single blanks between its tokens, those with a digit as a variable field."""
-    line = F.trim(F.regexp_replace(line, r"[\x09-\x0D\x20]+", " "))
-    return F.regexp_replace(line, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", FIELD)
+def masked(text: Column) -> Column:
+    """The lines of a text, with single blanks between their tokens and those with a digit as a variable field.
+
+    Both patterns run once over the whole text; each token is looked at once.
+    """
+    text = F.regexp_replace(text, r"[\x09\x0B-\x0D\x20]+", " ")
+    text = F.regexp_replace(text, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*", FIELD)
+    return F.transform(F.split(text, "\n"), lambda line: F.trim(line))
 
 
 def lines_of(docs: DataFrame, min_tokens: int) -> DataFrame:
-    """(doc_id, digest, line, masked, n, leaf, exact): every line of at least ``min_tokens`` tokens."""
+    """(doc_id, digest, line, masked, n, leaf, exact, place): every line of at least ``min_tokens`` tokens."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    rows = rows.select("doc_id", F.xxhash64("text").alias("digest"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    rows = rows.select("doc_id", "digest", "line", masked(F.col("content")).alias("masked"))
+    # The generator keeps the lines from being computed anew in every column.
+    rows = rows.select("doc_id", F.xxhash64("text").alias("digest"), F.posexplode(masked(F.col("text"))).alias("line", "masked"))
     rows = rows.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1).where(F.col("n") >= min_tokens)
     leaf = F.xxhash64("n", F.substring_index("masked", " ", LEADING))
-    return rows.select("*", leaf.alias("leaf"), F.xxhash64("n", "masked").alias("exact"))
+    return rows.select("*", leaf.alias("leaf"), F.xxhash64("n", "masked").alias("exact"), F.xxhash64("doc_id", "digest", "line").alias("place"))
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, share: float = CONSTANT_SHARE) -> tuple[DataFrame, DataFrame]:
     """All lines (doc_id, digest, line, n, leaf, exact), and (leaf, exact, template) of those whose template recurs."""
     lines = lines_of(docs, min_tokens)
     fields = (F.length("masked") - F.length(F.replace("masked", F.lit(FIELD)))) / len(FIELD)
-    keyed = stored(lines.select("doc_id", "digest", "line", "n", "leaf", "exact", fields.cast("int").alias("fields")), "line-keys")
-    # One row per line and text, then per line.
-    kinds = keyed.select("leaf", "exact", "n", "fields", "digest").distinct().groupBy("leaf", "exact", "n", "fields").agg(F.count("*").alias("texts"))
-    kinds = stored(kinds.where(F.col("fields") <= (1 - share) * F.col("n")).drop("fields"), "line-kinds")
-    # Leaves that hold several lines are taken apart into tokens, each line once.
+    keyed = stored(lines.select("doc_id", "digest", "line", "n", "leaf", "exact", "place", fields.cast("int").alias("fields")), "line-keys")
+    # One row per line and text, then per line, each with one of its places.
+    kinds = keyed.groupBy("leaf", "exact", "n", "fields", "digest").agg(F.min("place").alias("place"))
+    kinds = kinds.groupBy("leaf", "exact", "n", "fields").agg(F.count("*").alias("texts"), F.min("place").alias("place"))
+    kinds = stored(kinds.where(F.col("n") - F.col("fields") >= share * F.col("n")).drop("fields"), "line-kinds")
+    # Leaves that hold several lines are taken apart into tokens, each line once, from one place.
     leaves = kinds.groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1").select("leaf")
-    once = lines.select("leaf", "exact", "masked").join(leaves.hint("shuffle_hash"), "leaf", "left_semi").groupBy("leaf", "exact").agg(F.first("masked").alias("masked"))
-    parts = once.join(kinds, ["leaf", "exact"]).select("leaf", "exact", "n", "texts", F.posexplode(F.split("masked", " ")).alias("at", "token"))
+    wanted = kinds.join(leaves, "leaf", "left_semi")
+    once = lines.select("place", "masked").join(wanted.hint("shuffle_hash"), "place").dropDuplicates(["place"])
+    parts = once.select("leaf", "exact", "n", "texts", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     parts = parts.where(F.col("token") != FIELD).select("leaf", "exact", "n", "texts", F.xxhash64("at", "token").alias("token"), (F.col("at") < LEADING).alias("leads"))
     parts = stored(parts, "line-tokens")
     # A leading token is the same in all of a leaf; the others are counted.
