@@ -7,8 +7,8 @@ constants that are left are the line's template; one with enough constants that
 across documents is dropped from all of them but the first.
 
 Documents with one text count once, whatever their number. A document of which more than
-half of the tokens, in three lines or more, recurs elsewhere is a copy and not a bearer
-of boilerplate: it is left whole for near-duplicate removal.
+half of the tokens, in three lines or more, or four fifths in any recurs elsewhere is a
+copy and not a bearer of boilerplate: it is left whole for near-duplicate removal.
 
 Hot lines: documents are counted per line after a distinct over line and text, which
 spreads a line that stands in a third of all rows over all tasks; only lines in leaves
@@ -31,7 +31,7 @@ MIN_DOCS = 2  # distinct texts in which a template recurs
 MIN_TOKENS = 5  # shorter lines are never dropped
 LEADING = 3
 CONSTANT_SHARE = 0.8
-COPY_SHARE, COPY_LINES = 0.5, 3
+COPY_SHARE, COPY_LINES, WHOLE_SHARE = 0.5, 3, 0.8
 FIELD = "<*>"
 
 
@@ -95,7 +95,9 @@ def dropped(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOK
     id_ = F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0))
     same = ["digest", "no_id", "some_id"]
     totals, again = (x.select("digest", id_[0].alias("no_id"), id_[1].alias("some_id"), *more) for x, more in ((totals, ["tokens"]), (again, ["again", "lines"])))
-    copies = again.join(totals, same).where((F.col("again") > COPY_SHARE * F.col("tokens")) & (F.col("lines") >= COPY_LINES)).select(*same)
+    share = F.col("again") / F.col("tokens")
+    copy = (share > COPY_SHARE) & (F.col("lines") >= COPY_LINES) | (share >= WHOLE_SHARE)
+    copies = again.join(totals, same).where(copy).select(*same)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest", "line")
     first = found.groupBy("template").agg(F.min(place).alias("first"))
     later = found.withColumn("place", place).join(first, "template").where("place <> first")

@@ -174,6 +174,8 @@ def fit(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTS) -> dict:
 
     # One task for a sample of bounded size, in an order that depends on the vectors alone.
     got = rows.repartition(1).sortWithinPartitions("h").mapInArrow(learn, "k DOUBLE, numbers ARRAY<DOUBLE>").collect()
+    if not got:  # no vectors
+        return {"scale": 1.0, "probes": 1, "weights": [np.zeros((1, HIDDEN)), np.zeros(HIDDEN), np.zeros((HIDDEN, 1)), np.zeros(1)]}
     scale, *weights, probes = (np.array(r["numbers"]) for r in sorted(got))
     n = len(weights[3])
     return {"scale": float(scale[0]), "probes": int(probes[0]), "weights": [weights[0].reshape(-1, HIDDEN), weights[1], weights[2].reshape(HIDDEN, n), weights[3]]}

@@ -147,6 +147,8 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int = GRADES, max_rows: i
     model = sample.select("label", "text").mapInArrow(learn, "bucket INT, weight DOUBLE").toPandas().sort_values("bucket")
     cuts = model[model.bucket < 0].weight.to_numpy()[::-1]
     model = model[model.bucket >= 0]
+    if not len(cuts):  # no ratings: all grades alike
+        cuts = np.log(np.arange(1, n_grades) / np.arange(n_grades - 1, 0, -1))
     return model.bucket.to_numpy(), model.weight.to_numpy(), cuts
 
 
