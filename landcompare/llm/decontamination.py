@@ -40,6 +40,7 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6  # of the score that an item's own text gets
 SHINGLE, OVERLAP = 5, 0.8
 BLOCK_ITEMS = 8
+PASSAGES = 512  # of a long text at a time
 SHARD_POSTINGS = 100_000  # distinct words of items, counted per item, in one broadcast
 
 WORD = re.compile(r"\w+")
@@ -107,9 +108,9 @@ class Index:
         weights = np.array([x for _, _, x in postings])
         order = np.lexsort((owners, rows))
         rows, self.owners, self.weights = rows[order], owners[order], weights[order]
-        self.starts = np.searchsorted(rows, np.arange(len(self.words) + 1))
-        blocks = -(-len(items) // BLOCK_ITEMS)
-        self.bounds = np.zeros((len(self.words), blocks), np.float32)
+        self.blocks = -(-len(items) // BLOCK_ITEMS)
+        self.places = rows * self.blocks + self.owners // BLOCK_ITEMS  # of postings by word and block, ascending
+        self.bounds = np.zeros((len(self.words), self.blocks), np.float32)
         np.maximum.at(self.bounds, (rows, self.owners // BLOCK_ITEMS), self.weights)
         parts = [parts_of(t) for t in found]
         self.parts = [tuple(self._runs(p) for p in (q, a, words_of(t))) for (q, a), t in zip(parts, found, strict=True)]
@@ -125,37 +126,44 @@ class Index:
 
     def search(self, ids: np.ndarray) -> dict[int, tuple]:
         """Per item the best verified passage of a text: (overlap, score, -first word, question's and answer's share)."""
-        size, best = self.longest, {}
-        known = np.flatnonzero(ids >= 0)
-        if not len(known):
-            return best
-        # Bounds of stretches of `size` words; a passage is two of them.
-        stretch = known // size
-        first = np.flatnonzero(np.append(True, stretch[1:] != stretch[:-1]))
-        sums = np.zeros((int(stretch[-1]) + 2, self.bounds.shape[1]), np.float32)
-        sums[stretch[first]] = np.add.reduceat(self.bounds[ids[known]], first, axis=0)
-        for k, block in zip(*np.nonzero(sums[:-1] + sums[1:] >= THRESHOLD - 1e-4), strict=True):
-            self._open(int(k), int(block), ids[k * size : (k + 2) * size], best)
+        best: dict[int, tuple] = {}
+        step = self.longest * PASSAGES
+        for start in range(0, len(ids), step):
+            self._search(ids[start : start + step + self.longest], start, best)
         return best
 
-    def _open(self, k: int, block: int, passage: np.ndarray, best: dict[int, tuple]) -> None:
-        terms = np.unique(passage[passage >= 0])
-        if self.bounds[terms, block].sum() < THRESHOLD - 1e-4:
-            return  # the bound counted repeated words
-        low, high = block * BLOCK_ITEMS, (block + 1) * BLOCK_ITEMS
-        spans = [np.arange(a, b) for a, b in zip(self.starts[terms], self.starts[terms + 1], strict=True)]
-        at = np.concatenate(spans)
-        at = at[(self.owners[at] >= low) & (self.owners[at] < high)]
-        scores = np.bincount(self.owners[at] - low, self.weights[at], BLOCK_ITEMS)
-        hits = np.flatnonzero(scores >= THRESHOLD)
-        if len(hits):
-            ids = passage.tolist()
-            runs: dict[int, set] = {}
-            for hit in hits.tolist():
-                shares = [self._share(part, ids, runs) for part in self.parts[low + hit]]
-                row = (shares[2], float(scores[hit]), -k * self.longest, shares[0], shares[1])
-                if shares[2] >= OVERLAP and row > best.get(low + hit, (0.0,)):
-                    best[low + hit] = row
+    def _search(self, ids: np.ndarray, start: int, best: dict[int, tuple]) -> None:
+        size, known = self.longest, np.flatnonzero(ids >= 0)
+        if not len(known):
+            return
+        # Distinct words by passage; a word lies in the passage that starts at its stretch and in the one before.
+        stretch, wide = known // size, len(self.words)
+        at = np.unique(np.concatenate([stretch * wide + ids[known], ((stretch - 1) * wide + ids[known])[stretch > 0]]))
+        passage, word = at // wide, at % wide
+        first = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
+        bounds = np.add.reduceat(self.bounds[word], first, axis=0)
+        row, block = np.nonzero(bounds >= THRESHOLD - 1e-4)
+        if not len(row):
+            return
+        # The postings that the passages' words have in the blocks to be opened.
+        sizes = np.diff(np.append(first, len(word)))
+        pair, offset = _ranges(first[row], sizes[row])
+        words, blocks = word[offset], block[pair]
+        held = self.bounds[words, blocks] > 0
+        pair, place = pair[held], words[held] * self.blocks + blocks[held]
+        low, high = np.searchsorted(self.places, place, "left"), np.searchsorted(self.places, place, "right")
+        of, posting = _ranges(low, high - low)
+        scores = np.bincount(pair[of] * BLOCK_ITEMS + self.owners[posting] % BLOCK_ITEMS, self.weights[posting], len(row) * BLOCK_ITEMS)
+        for hit in np.flatnonzero(scores >= THRESHOLD).tolist():
+            k, item = int(passage[first[row[hit // BLOCK_ITEMS]]]), int(block[hit // BLOCK_ITEMS]) * BLOCK_ITEMS + hit % BLOCK_ITEMS
+            self._verify(item, ids[k * size : (k + 2) * size].tolist(), float(scores[hit]), start + k * size, best)
+
+    def _verify(self, item: int, passage: list[int], score: float, first: int, best: dict[int, tuple]) -> None:
+        runs: dict[int, set] = {}
+        question, answer, both = (self._share(part, passage, runs) for part in self.parts[item])
+        row = (both, score, -first, question, answer)
+        if both >= OVERLAP and row > best.get(item, (0.0,)):
+            best[item] = row
 
     @staticmethod
     def _share(part: frozenset, ids: list[int], runs: dict[int, set]) -> float:
@@ -167,6 +175,12 @@ class Index:
         return len(part & runs[n]) / len(part)
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which range, and which number, of all numbers in the ranges."""
+    which = np.repeat(np.arange(len(starts)), sizes)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[which]
+
+
 def _search(texts_of_batch: list[str], index: Index) -> list[list[tuple]]:
     rows = []
     for text in texts_of_batch:
