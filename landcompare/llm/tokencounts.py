@@ -24,7 +24,7 @@ from landcompare.sources.shared import shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 16 << 20
 CACHED = "digest BINARY, n_tokens BIGINT"
 
 
@@ -52,7 +52,7 @@ def word_counter(tokenizer_json: str):
     def count(found: list[str]) -> list[int]:
         nonlocal held
         split = [t.encode().split() for t in found]
-        new = list(set().union(*split) - memo.keys())
+        new = [w for w in set().union(*split) if w not in memo]
         encoded = tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
         memo.update(zip(new, (len(e.ids) for e in encoded), strict=True))
         held += sum(map(len, new))
