@@ -93,7 +93,15 @@ def test_thousands(spark):
 
 def test_unknown_transform():
     with pytest.raises(KeyError, match="identity"):
-        E.transform("log10", None)
+        E.transform("log2", None)
+
+
+def test_log10(spark):
+    rows = spark.createDataFrame([(x,) for x in (100.0, 1.0, 0.0, -0.5, -1.0, -2.0, float("nan"), None)], "x DOUBLE")
+    got = [tuple(map(str, r)) for r in rows.select(E.transform("log10", F.col("x")), E.transform("log10_plus1", F.col("x"))).collect()]
+    assert got[0][0] == "2.0" and abs(float(got[0][1]) - math.log10(101)) < 1e-12
+    assert [a for a, _ in got[1:]] == ["0.0", "-inf", "nan", "nan", "nan", "nan", "None"]
+    assert [b for _, b in got[2:]] == ["0.0", str(math.log10(0.5)), "-inf", "nan", "nan", "None"]
 
 
 numbers = st.one_of(st.none(), st.floats(width=64), st.sampled_from([0.0, -1.0, 1.0, 0.2, -0.2]))
