@@ -73,52 +73,67 @@ def weights(templates: list[tuple[str, str]]) -> tuple[dict[str, float], float]:
 def _words(text: Column) -> Column:
     """Distinct runs of a-z and 0-9, after lower-casing A-Z."""
     plain = F.trim(F.regexp_replace(lower_ascii(text), "[^a-z0-9]+", " "))
-    return F.array_distinct(F.split(plain, " "))
+    return F.array_remove(F.array_distinct(F.split(plain, " ")), "")
 
 
-def best_match(text: Column, templates: list[tuple[str, str]], threshold: float) -> tuple[Column, Column]:
-    """Structs (score, license, line) or null: of the best line, the text as a whole being line -1; and of the whole text."""
+def matches(rows: DataFrame, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """``rows`` with best and whole in place of text: structs (score, license, line) or null.
+
+    ``best`` is of the best line, the text as a whole being line -1, ``whole`` of the whole text. Each step is a
+    column of its own, so that nothing is computed twice.
+    """
     idf, other = weights(templates)
     vocabulary = F.array(*map(F.lit, idf))
     squares = F.create_map(*[F.lit(x) for w, v in idf.items() for x in (w, v * v)])
-    lengths = [math.sqrt(sum(idf[w] ** 2 for w in words_in(t))) for _, t in templates]
     kinds = F.array(
-        *[F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, words_in(t))).alias("words"), F.lit(n).alias("length")) for (name, t), n in zip(templates, lengths, strict=True)]
+        *[
+            F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, words_in(t))).alias("words"), F.lit(math.sqrt(sum(idf[w] ** 2 for w in words_in(t)))).alias("length"))
+            for name, t in templates
+        ]
     )
+    end = 1 << 30  # the whole text's place among the lines
 
     def mass(words: Column) -> Column:
         return F.aggregate(words, F.lit(0.0), lambda a, w: a + squares[w])
 
-    def matched(words: Column, line: Column) -> Column:
-        known = F.array_intersect(words, vocabulary)
-        rest = (F.size(words) - F.size(known)) * other**2
-        unit = F.struct(known.alias("known"), mass(known).alias("mass"), rest.alias("rest"), line.alias("line"))
-        return unit
+    def known(words: Column, line: Column) -> Column:
+        return F.struct(F.array_intersect(words, vocabulary).alias("known"), F.size(words).alias("n"), line.alias("line"))
 
-    def scored(unit: Column) -> Column:
-        length = F.sqrt(unit["mass"] + unit["rest"])
-        scores = F.transform(
-            kinds, lambda k: F.struct(F.round(mass(F.array_intersect(unit["known"], k["words"])) / (length * k["length"]), 6).alias("score"), (-unit["line"]).alias("above"), k["license"].alias("license"))
-        )
-        return F.filter(scores, lambda s: s["score"] >= threshold)
+    def weighed(u: Column) -> Column:
+        return F.struct(u["known"].alias("known"), mass(u["known"]).alias("mass"), ((u["n"] - F.size(u["known"])) * other**2).alias("rest"), u["line"].alias("line"))
 
     # A cosine is at most the square root of the share of known words' mass: what is below is left out unscored.
-    def near(unit: Column) -> Column:
-        return unit["mass"] >= (threshold - 1e-6) ** 2 * (unit["mass"] + unit["rest"])
+    def near(u: Column) -> Column:
+        return u["mass"] >= (threshold - 1e-6) ** 2 * (u["mass"] + u["rest"])
+
+    def scored(u: Column) -> Column:
+        def one(k: Column) -> Column:
+            score = F.round(mass(F.array_intersect(u["known"], k["words"])) / (F.sqrt(u["mass"] + u["rest"]) * k["length"]), 6)
+            return F.struct(score.alias("score"), (-u["line"]).alias("above"), k["license"].alias("license"))
+
+        return F.filter(F.transform(kinds, one), lambda s: s["score"] >= threshold)
 
-    lines = F.transform(F.split(text, "\n"), lambda t, k: matched(_words(t), k))
-    whole = matched(_words(text), F.lit(1 << 30))
-    of_lines = F.flatten(F.transform(F.filter(lines, near), scored))
-    of_whole = F.flatten(F.transform(F.filter(F.array(whole), near), scored))
-    return _first(F.concat(of_lines, of_whole)), _first(of_whole)
+    kept = [c for c in rows.columns if c != "text"]
+    rows = rows.select(*kept, F.transform(F.split("text", "\n"), _words).alias("words"))
+    rows = rows.select(*kept, "words", F.array_distinct(F.flatten("words")).alias("all_words"))
+    units = F.concat(F.transform("words", known), F.array(known(F.col("all_words"), F.lit(end))))
+    rows = rows.select(*kept, F.filter(units, lambda u: F.size(u["known"]) > 0).alias("units"))
+    rows = rows.select(*kept, F.filter(F.transform("units", weighed), near).alias("units"))
+    rows = rows.select(*kept, F.flatten(F.transform("units", scored)).alias("found"))
+    rows = rows.select(*kept, "found", F.filter("found", lambda s: s["above"] == -end).alias("of_whole"))
+    return rows.select(*kept, _first("found", end).alias("best"), _first("of_whole", end).alias("whole"))
 
 
-def _first(found: Column) -> Column:
+def _first(found: str, end: int) -> Column:
     """Highest score, then earliest line, then smallest name."""
-    top = F.array_max(F.transform(found, lambda s: F.struct(s["score"].alias("score"), s["above"].alias("above"))))
-    names = F.filter(found, lambda s: (s["score"] == top["score"]) & (s["above"] == top["above"]))
-    line = F.when(top["above"] == -(1 << 30), -1).otherwise(-top["above"])
-    return F.when(F.size(found) > 0, F.struct(top["score"].alias("score"), F.array_min(F.transform(names, lambda s: s["license"])).alias("license"), line.alias("line")))
+
+    def above(a: Column, b: Column) -> Column:
+        tie = a["score"] == b["score"]
+        return (a["score"] > b["score"]) | (tie & (a["above"] > b["above"])) | (tie & (a["above"] == b["above"]) & (a["license"] < b["license"]))
+
+    best = F.try_element_at(F.array_sort(F.col(found), lambda a, b: F.when(above(a, b), -1).when(above(b, a), 1).otherwise(0)), F.lit(1))
+    line = F.when(best["above"] == -end, -1).otherwise(-best["above"])
+    return F.when(F.size(found) > 0, F.struct(best["score"].alias("score"), best["license"].alias("license"), line.alias("line")))
 
 
 def folder_of(path: Column) -> Column:
@@ -129,8 +144,8 @@ def folder_of(path: Column) -> Column:
 def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, path, license, score, line, license_file, inherited, inherited_from, effective) of every (doc_id, path, text)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    line, whole = best_match(text, templates, threshold)
-    rows = files.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("path").cast("string").alias("path"), line.alias("best"), whole.alias("whole"))
+    rows = files.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("path").cast("string").alias("path"), text.alias("text"))
+    rows = matches(rows, templates, threshold)
     named = F.coalesce(F.col("path").rlike(LICENSE_NAMES), F.lit(False))
     rows = rows.select(
         "doc_id",
@@ -150,6 +165,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
     folders = rows.select("folder").where("folder IS NOT NULL").distinct().select("folder", F.explode(above).alias("ancestor"))
     nearest = folders.join(owners, "ancestor").groupBy("folder").agg(F.max(F.struct(F.length("ancestor").alias("depth"), "inherited", "inherited_from")).alias("up"))
     nearest = nearest.select("folder", F.col("up.inherited").alias("from_above"), F.col("up.inherited_from").alias("file_above"))
+    nearest = stored(nearest, "license-folders")  # read plainly, so that Spark may split the join where a folder is hot
     own = F.col("license").isNotNull()
     found = rows.join(nearest, "folder", "left").withColumns({"inherited": F.when(~own, F.col("from_above")), "inherited_from": F.when(~own, F.col("file_above"))})
     return found.select("doc_id", "path", "license", "score", "line", "license_file", "inherited", "inherited_from", F.coalesce("license", "inherited").alias("effective"))
