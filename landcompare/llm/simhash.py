@@ -12,7 +12,8 @@ verified by their differing bits.
 No list is taken whole. Lists are dealt in blocks of hashed members, and a task sees
 two blocks at most. It returns a spanning forest of the links it finds, nearest first,
 in place of all pairs, so a group of n near copies gives a multiple of n rows, and
-connected components come out as they would from all links.
+connected components come out as they would from all links. Where candidates have yet
+to be verified, those that lie between the resulting components are all compared.
 
 Rows: null text counts as empty, null ids are kept but never chosen as a
 representative where a group has another; repeated rows get the same result; an empty
@@ -293,21 +294,22 @@ def _stage_distance(part: dict[str, np.ndarray]) -> np.ndarray:
     return shingles
 
 
+def _shingles(text: str, shingle: int) -> np.ndarray:
+    found = list(shingle_hashes(text.encode().lower(), shingle))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
 def _similar(shingle: int, similarity: float):
     """Keeps the links whose texts have that Jaccard similarity in distinct shingles."""
 
-    def shingles(text: str) -> np.ndarray:
-        found = list(shingle_hashes(text.encode().lower(), shingle))
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-
     def run(batches):
         last, of_last = None, None
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 if x != last:
-                    last, of_last = x, shingles(x)
-                other = shingles(y)
+                    last, of_last = x, _shingles(x, shingle)
+                other = _shingles(y, shingle)
                 both = len(np.intersect1d(of_last, other, assume_unique=True))
                 keep.append(both >= similarity * (len(of_last) + len(other) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -315,6 +317,89 @@ def _similar(shingle: int, similarity: float):
     return run
 
 
+def _apart(part: dict[str, np.ndarray], first: np.ndarray) -> np.ndarray:
+    """Distances of the candidates between components, each pair under the first of its keys only; else 255."""
+    found = _distances(part, _stage_distance)
+    size, shared = len(found), np.zeros((len(found), len(found)), np.int64)
+    for name in ("w0", "w1"):
+        x = part[name].astype(">i8").view(np.uint8).reshape(size, 8)
+        for k in range(8):
+            shared = shared << 1 | (x[:, None, k] == x[None, :, k])
+    found[(part["component"][:, None] == part["component"][None, :]) | (first[shared] != int(part["key"][0]) >> 24)] = FAR
+    found[found > STAGE_SHINGLE_BITS] = FAR
+    return found
+
+
+def _first_keys() -> np.ndarray:
+    """For every set of shared positions of 16, as bits with position 0 highest, the first triple it holds, or 255."""
+    first = np.full(1 << 16, FAR, np.int64)
+    for k, positions in reversed(list(enumerate(OF_16))):
+        mask = sum(1 << 15 - p for p in positions)
+        first[np.arange(1 << 16) & mask == mask] = k
+    return first
+
+
+def _runs(batches) -> Iterator[dict[str, np.ndarray]]:
+    for columns in whole_runs(batches):
+        starts = np.flatnonzero(_changes(columns))
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(columns["key"])], strict=True):
+            if e - s > 1:
+                yield {name: x[s:e] for name, x in columns.items()}
+
+
+def _jaccard(sets: list[np.ndarray]) -> np.ndarray:
+    """The similarities of all pairs of sorted sets."""
+    sizes, n = np.array([len(x) for x in sets], np.int64), len(sets)
+    owners = np.repeat(np.arange(n), sizes)
+    _, at, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owners, at = owners[held[at] > 1], (np.cumsum(held > 1) - 1)[at[held[at] > 1]]
+    order = np.argsort(at, kind="stable")
+    owners, at, both = owners[order], at[order], np.zeros((n, n), np.int64)
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+        s, e = np.searchsorted(at, [low, low + 4096])
+        holds = np.zeros((n, 4096), np.float32)
+        holds[owners[s:e], at[s:e] - low] = 1
+        both += (holds @ holds.T).astype(np.int64)
+    np.fill_diagonal(both, sizes)
+    return both / np.maximum(sizes[:, None] + sizes[None, :] - both, 1)
+
+
+def _links_between(nodes: DataFrame, whole: DataFrame, shingle: int, similarity: float, block: int) -> DataFrame:
+    """(a, b): links between the components of ``nodes`` (node, w0, w1, s, component), from all candidates between them.
+
+    A list's block pair gets the shingles of those of its members that stand in such a candidate, and compares them all.
+    """
+    listed = members(nodes, "node", ["w0", "w1"], OF_16, block)
+    names = listed.columns
+    first = _first_keys()
+
+    def open_members(batches):
+        for part in _runs(batches):
+            open_ = (_apart(part, first) < FAR).any(1)
+            if open_.any():
+                yield pa.record_batch([pa.array(part[c][open_]) for c in names], names)
+
+    def sets(batches):
+        for batch in batches:
+            found = [_shingles(t, shingle).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("node"), pa.array(found, pa.binary())], ["node", "shingles"])
+
+    def links(batches):
+        for part in _runs(batches):
+            apart = _apart(part, first)
+            apart[_jaccard([np.frombuffer(x, np.uint64) for x in part["shingles"]]) < similarity] = FAR
+            found = list(spanning(apart, STAGE_SHINGLE_BITS))
+            if found:
+                ends = [pa.array(part["node"][[pair[k] for pair in found]]) for k in (0, 1)]
+                yield pa.record_batch(ends, ["a", "b"])
+
+    dealt = listed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    left = stored(dealt.mapInArrow(open_members, listed.schema), "simhash-stage-open")
+    hashed = whole.join(left.select("node").distinct(), "node").mapInArrow(sets, "node BIGINT, shingles BINARY")
+    dealt = left.join(stored(hashed, "simhash-stage-shingles"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(links, "a BIGINT, b BIGINT")
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs``, one of each group of near-duplicates.
 
@@ -322,8 +407,9 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = STAGE_SHINGLE, similari
     A-Z; fewer words: the whole sequence) have a Jaccard similarity of at least ``similarity``. At that
     similarity shingle prints are 10 of 64 bits apart, too far for bytes to be shared for certain, while
     prints of the distinct words, 128 bits, stay near: they are indexed, so that texts sharing 7 of 16
-    bytes are always met and those sharing 3 mostly. The forest follows the shingle prints, nearest first,
-    and each of its links is verified on the whole texts. Of a group the row with the smallest doc_id stays
+    bytes are always met and those sharing 3 mostly. A forest that follows the shingle prints, nearest first,
+    is verified on the whole texts; then all candidates between the components of its true links are compared
+    on their sets of shingles, so that no true link is lost to a false one. Of a group the row with the smallest doc_id stays
     (nulls last, then the smallest digest). Texts without words form one group. Rows repeated
     with doc_id and text stay once.
     """
@@ -350,7 +436,12 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = STAGE_SHINGLE, similari
     left = whole.select(F.col("node").alias("a"), F.col("text").alias("x"))
     right = whole.select(F.col("node").alias("b"), F.col("text").alias("y"))
     links = near.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(shingle, similarity), "a BIGINT, b BIGINT")
+    links = stored(links, "simhash-stage-true")
     groups = connected_components(links)
+    # Who has a candidate at all stands in the forest.
+    met = nodes.drop("head").join(ends, "node", "left_semi").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = stored(_links_between(met, whole, shingle, similarity, block), "simhash-stage-more")
+    groups = connected_components(links.unionByName(more)) if more.take(1) else groups
     kept = nodes.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("head").alias("head"))
     kept = kept.select(F.col("head.key").alias("key"))
     stay = packed(docs).select("row", _key_of_row().alias("key")).join(kept, "key")

@@ -116,6 +116,33 @@ def test_near_duplicate_stage(spark):
     assert kept == [*clean, 1000, 1002]
 
 
+@pytest.mark.parametrize("block", [40, 512])
+@pytest.mark.parametrize("most", [3, 6])
+def test_near_duplicate_stage_in_a_dense_group(spark, most, block):
+    """150 variants of one text against all pairs that the prints make candidates, verified one by one."""
+    own, base, rows = random.Random(9), words(150, 77), []
+    for k in range(150):
+        text = list(base)
+        for at in own.sample(range(150), own.randint(1, most)):
+            text[at] = f"{text[at]}{own.randrange(1000)}"
+        rows.append((k, " ".join(text)))
+    prints = np.array([simhash.word_and_shingle_prints(t, 5) for _, t in rows], np.int64)
+    apart = simhash._stage_distance(dict(zip(("w0", "w1", "s"), prints.T.copy(), strict=True))) <= simhash.STAGE_SHINGLE_BITS
+    positions = prints[:, :2].astype(">i8").view(np.uint8).reshape(150, 16)
+    parts = [set(zip(*[iter(t.split()[k:]) for k in range(5)])) for _, t in rows]
+
+    def met(a, b):
+        same = set(np.flatnonzero(positions[a] == positions[b]).tolist())
+        return apart[a, b] and any(same.issuperset(t) for t in simhash.OF_16)
+
+    true = [(a, b) for a, b in combinations(range(150), 2) if len(parts[a] & parts[b]) >= 0.8 * len(parts[a] | parts[b])]
+    want = groups(range(150), [x for x in true if met(*x)])
+    found = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), block=block)
+    kept = sorted(r[0] for r in found.select("doc_id").collect())
+    assert kept == sorted(set(want.values()))
+    assert len(kept) <= len(set(groups(range(150), true).values())) + 3
+
+
 # Token counts
 
 
