@@ -5,8 +5,8 @@ dummy prefix), the metaspace marker, unigram scores or the merges that the score
 BPE model imply, and byte fallback. Where no piece has the marker after another
 character, which is checked on the vocabulary, a text's pieces never cross the start of
 a marked word: its words are then encoded in multithreaded batches, each distinct word
-once, and remembered. Every word that is encoded is also given to the sentencepiece
-library, and its ids are compared and decoded again.
+once, and remembered. The ids that come out are those of the rebuilt model, and they are
+decoded again. Every word is also given to the sentencepiece library, but only to compare.
 
 Rows: null text counts as empty and has no ids, null ids of documents stay, repeated
 rows each get their ids, an empty table gives an empty result, other columns are ignored.
@@ -163,7 +163,7 @@ class Codec:
             wanted = self.reference.encode(found)
             got, again = self._rebuilt(normal)
             rows = zip(wanted, got, again, map(self._shown, normal), strict=True)
-            return [(packed(w), g == w, a == n) for w, g, a, n in rows]
+            return [(packed(g), g == w, a == n) for w, g, a, n in rows]
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         split = [WORDS.findall(self.normalise(t)) for t in found]
@@ -192,20 +192,21 @@ class Codec:
             self.strange.update(w for w, g, x in zip(new, got, wanted, strict=True) if g != x)
         if again != (shown := list(map(self._shown, new))):
             self.lost.update(w for w, a, n in zip(new, again, shown, strict=True) if a != n)
-        self.memo.update(zip(new, map(packed, wanted), strict=True))
+        self.memo.update(zip(new, map(packed, got), strict=True))
 
 
 def packed(ids: list[int]) -> bytes:
     return array("i", ids).tobytes()
 
 
-def encode(docs: DataFrame, model_path: str, threads: int = 1) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, threads: int | None = None) -> DataFrame:
     """(doc_id, ids ARRAY<INT>, n_tokens, parity, round_trip) of every row.
 
-    ``ids`` are those of the sentencepiece library without begin or end; ``parity`` says whether the rebuilt
-    tokenizer gave the same, ``round_trip`` whether its decoder gives the normalised text again. ``threads``
-    of the batch encoder per task should not exceed the task's cores.
+    ``ids`` are those of the rebuilt tokenizer without begin or end; ``parity`` says whether the sentencepiece
+    library gives the same, ``round_trip`` whether decoding the ids gives the normalised text again. ``threads``
+    of the batch encoder per task are the task's cores if not given.
     """
+    threads = threads or int(docs.sparkSession.conf.get("spark.task.cpus", "1"))
     with open(model_path, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())  # one file, below a MB here
 

@@ -219,6 +219,24 @@ def test_unigram_model():
         assert np.frombuffer(ids, np.int32).tolist() == library.encode(text) and same and back
 
 
+@pytest.mark.parametrize("words", [True, False])
+def test_ids_are_those_of_the_rebuilt_model(monkeypatch, words):
+    """A rebuilt model without merges shows in the ids, not only in the parity flag."""
+    import sentencepiece
+
+    path = public_tokenizers.path(sentencepieces.MODEL)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    monkeypatch.setattr(sentencepieces, "by_words", lambda model: words)
+    with open(path, "rb") as file:
+        data = file.read()
+    text = "the words of a text"
+    ids, same, back = sentencepieces.Codec(data).encode([text])[0]
+    assert np.frombuffer(ids, np.int32).tolist() == library.encode(text) and same and back
+    monkeypatch.setattr(sentencepieces, "merges", lambda model: [])
+    ids, same, back = sentencepieces.Codec(data).encode([text])[0]
+    assert len(ids) // 4 > len(library.encode(text)) and not same and back
+
+
 # Toxicity and quality
 
 
