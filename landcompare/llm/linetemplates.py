@@ -6,9 +6,10 @@ stands at its position in enough documents, else it is one more variable field.
 constants that are left are the line's template; one with enough constants that recurs
 across documents is dropped from all of them but the first.
 
-Documents with one text count once, whatever their number. A document of which more than
-half of the tokens, in three lines or more, or four fifths in any recurs elsewhere is a
-copy and not a bearer of boilerplate: it is left whole for near-duplicate removal.
+Documents with one text count once, whatever their number. A text is a copy of another one
+if of the tokens of both, lines of five tokens and more, four fifths stand in lines that the
+other is the first to hold, or more than half, in three lines or more that no third text
+holds: those lines stay, for near-duplicate removal. Lines of other texts go from copies too.
 
 Hot lines: documents are counted per line after a distinct over line and text, which
 spreads a line that stands in a third of all rows over all tasks; only lines in leaves
@@ -89,20 +90,25 @@ def dropped(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOK
     """(doc_id, digest, drops ARRAY<INT>): the lines to drop of each row, by number from 0."""
     keyed, templates = recurring(docs, min_docs, min_tokens)
     found = stored(keyed.join(templates, ["leaf", "exact"]).select("doc_id", "digest", "line", "n", "template"), "line-recurring")
-    # Copies, by row: shares of the tokens of all lines long enough.
-    totals = keyed.groupBy("digest", "doc_id").agg(F.sum("n").alias("tokens"))
-    again = found.groupBy("digest", "doc_id").agg(F.sum("n").alias("again"), F.count("*").alias("lines"))
-    id_ = F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0))
-    same = ["digest", "no_id", "some_id"]
-    totals, again = (x.select("digest", id_[0].alias("no_id"), id_[1].alias("some_id"), *more) for x, more in ((totals, ["tokens"]), (again, ["again", "lines"])))
-    share = F.col("again") / F.col("tokens")
-    copy = (share > COPY_SHARE) & (F.col("lines") >= COPY_LINES) | (share >= WHOLE_SHARE)
-    copies = again.join(totals, same).where(copy).select(*same)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest", "line")
-    first = found.groupBy("template").agg(F.min(place).alias("first"))
-    later = found.withColumn("place", place).join(first, "template").where("place <> first")
-    later = later.select("digest", id_[0].alias("no_id"), id_[1].alias("some_id"), "line").join(copies, same, "left_anti")
-    return later.groupBy(*same).agg(F.sort_array(F.collect_set("line")).alias("drops"))
+    bearers = stored(found.groupBy("template", "digest").agg(F.min(place).alias("first"), F.first("n").alias("n")), "line-bearers")
+    firsts = bearers.groupBy("template").agg(F.min("first").alias("first"), F.count("*").alias("texts")).withColumn("holder", F.col("first.digest"))
+    # Tokens of a text: its other lines, and each recurring template once. A text counts once, whatever its rows.
+    others = keyed.select("digest", "line", "n").unionByName(found.select("digest", "line", F.lit(0).alias("n")))
+    others = others.groupBy("digest", "line").agg(F.min("n").alias("n")).where("n > 0").groupBy("digest").agg(F.sum("n").alias("tokens"))
+    own = others.unionByName(bearers.groupBy("digest").agg(F.sum("n").alias("tokens"))).groupBy("digest").agg(F.sum("tokens").alias("tokens"))
+    # Copies, by text and the first holder of lines.
+    pairs = bearers.select("template", "digest", "n").join(firsts.drop("first"), "template").groupBy("digest", "holder")
+    pairs = pairs.agg(F.sum("n").alias("again"), F.count("*").alias("lines"), F.max("texts").alias("texts"))
+    pairs = pairs.join(own, "digest").join(own.select(F.col("digest").alias("holder"), F.col("tokens").alias("held")), "holder")
+    share = F.col("again") / (F.col("tokens") + F.col("held") - F.col("again"))
+    copy = (share > COPY_SHARE) & (F.col("lines") >= COPY_LINES) & (F.col("texts") == 2) | (share >= WHOLE_SHARE)
+    copies = pairs.where(copy).select("digest", "holder")
+    later = found.withColumn("place", place).join(firsts, "template").where("place <> first")
+    same = F.col("holder").eqNullSafe(F.col("digest")) & F.col("first.doc_id").eqNullSafe(F.col("doc_id"))  # repeats within a row always go
+    later = later.select("digest", "doc_id", "line", F.when(~same, F.col("holder")).alias("holder")).join(copies, ["digest", "holder"], "left_anti")
+    id_ = F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("some_id")
+    return later.select("digest", *id_, "line").groupBy("digest", "no_id", "some_id").agg(F.sort_array(F.collect_set("line")).alias("drops"))
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, counts: bool = False) -> DataFrame:

@@ -474,6 +474,24 @@ def test_templates(spark):
     assert all(found[i] == texts[i] for i in (30, 31, 32, 40, 41))
 
 
+def test_shared_passages_are_no_copies(spark):
+    """Passages that fill most of several texts go from all but the first; copies of one text keep its lines, but not those of others."""
+    passage, parts, menu = prose(60, 51), [prose(20, 52 + k) for k in range(3)], prose(9, 55)
+    rows = [(k, passage + "\n" + prose(15, 400 + k)) for k in range(4)]
+    rows += [(10 + k, "\n".join([*parts, prose(30, 410 + k)])) for k in range(4)]
+    rows += [(20, menu + "\n" + prose(80, 420))]
+    copy = [prose(20, 430 + k) for k in range(5)]
+    rows += [(30, "\n".join([menu, *copy, "the first one ends like this"])), (31, "\n".join([menu, *copy, "while another one ends here"]))]
+    rows += [(40, "\n".join([passage, passage, prose(70, 440)]))]
+    found = {r.doc_id: r.text for r in linetemplates.drop_recurring_lines(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
+    texts = dict(rows)
+    assert all(found[i] == texts[i] for i in (0, 10, 20))
+    assert all(found[k] == prose(15, 400 + k) for k in range(1, 4))
+    assert all(found[10 + k] == prose(30, 410 + k) for k in range(1, 4))
+    assert all(found[i] == texts[i].split("\n", 1)[1] for i in (30, 31))
+    assert found[40] == prose(70, 440)
+
+
 # Licenses
 
 
