@@ -1,7 +1,10 @@
 """License scan: TF-IDF cosine to templates, then nearest-ancestor inheritance, in DataFrame operations only.
 
-Every line of a file (a header can stand anywhere) and its whole text are compared with
-license templates. A text is the set of its words, each weighing its inverse document
+Every line of a file (a header can stand anywhere), its whole text, and its runs of
+neighbouring sentences, which end at line ends too, are compared with license templates:
+so a notice may be wrapped, or stand among others on a line. Runs are as long as a text
+near the longest template can be, and are built only where the whole text holds enough of
+a template for any part of it to be near; they begin and end with a word of such a one. A text is the set of its words, each weighing its inverse document
 frequency among the templates; words in no template weigh most, so prose that merely
 shares common words stays far from every template. All of that is within a row, without
 a shuffle; the templates are a short list.
@@ -14,7 +17,7 @@ with their directories, so a directory with a third of all files is joined once.
 Rows: null text counts as empty and has no license, a null path has no directory, null
 ids stay, repeated rows each get their result, an empty table gives an empty result,
 other columns are ignored. Ties: the higher cosine, then the earlier line (the whole text
-last), then the smaller name; of several license files in a directory the smallest path.
+last), then the smaller name; a run counts as its first line; of several license files in a directory the smallest path.
 """
 
 from __future__ import annotations
@@ -70,6 +73,9 @@ def weights(templates: list[tuple[str, str]]) -> tuple[dict[str, float], float]:
     return {w: math.log((1 + n) / (1 + d)) + 1 for w, d in sorted(df.items())}, math.log(1 + n) + 1
 
 
+SENTENCE_END = r"(?<=[.!?;:])[\x09\x0B-\x0D\x20]+"
+
+
 def _words(text: Column) -> Column:
     """Distinct runs of a-z and 0-9, after lower-casing A-Z."""
     plain = F.trim(F.regexp_replace(lower_ascii(text), "[^a-z0-9]+", " "))
@@ -96,6 +102,28 @@ def matches(rows: DataFrame, templates: list[tuple[str, str]], threshold: float)
     def mass(words: Column) -> Column:
         return F.aggregate(words, F.lit(0.0), lambda a, w: a + squares[w])
 
+    def possible(words: Column) -> Column:
+        # A part's cosine is at most the square root of the share of a template's mass that the text holds.
+        return F.filter(kinds, lambda k: mass(F.array_intersect(words, k["words"])) >= ((threshold - 1e-6) * k["length"]) ** 2)
+
+    longest = math.ceil(max((len(re.findall("[a-z0-9]+", t.lower())) for _, t in templates), default=0) / threshold**2)
+
+    def sentences(text: Column, wanted: Column) -> Column:
+        def of_line(line: Column, k: Column) -> Column:
+            parts = F.transform(F.split(line, SENTENCE_END), _words)
+            return F.transform(parts, lambda w: F.struct(w.alias("words"), F.arrays_overlap(w, wanted).alias("holds"), k.alias("line")))
+
+        return F.filter(F.flatten(F.transform(F.split(text, "\n"), of_line)), lambda x: F.size(x["words"]) > 0)
+
+    def runs(parts: Column, before: Column) -> Column:
+        def from_(start: Column) -> Column:
+            ends = F.sequence(start, F.least(start + longest, F.size(parts)))
+            ends = F.filter(ends, lambda end: parts[end - 1]["holds"] & ((end == start) | (before[end] - before[start - 1] <= longest)))
+            return F.transform(ends, lambda end: known(F.array_distinct(F.flatten(F.slice(parts["words"], start, end - start + 1))), parts[start - 1]["line"]))
+
+        starts = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda start: parts[start - 1]["holds"])
+        return F.when(F.size(parts) > 0, F.flatten(F.transform(starts, from_)))
+
     def known(words: Column, line: Column) -> Column:
         return F.struct(F.array_intersect(words, vocabulary).alias("known"), F.size(words).alias("n"), line.alias("line"))
 
@@ -114,9 +142,15 @@ def matches(rows: DataFrame, templates: list[tuple[str, str]], threshold: float)
         return F.filter(F.transform(kinds, one), lambda s: s["score"] >= threshold)
 
     kept = [c for c in rows.columns if c != "text"]
-    rows = rows.select(*kept, F.transform(F.split("text", "\n"), _words).alias("words"))
-    rows = rows.select(*kept, "words", F.array_distinct(F.flatten("words")).alias("all_words"))
-    units = F.concat(F.transform("words", known), F.array(known(F.col("all_words"), F.lit(end))))
+    rows = rows.select(*kept, "text", F.transform(F.split("text", "\n"), _words).alias("words"))
+    rows = rows.select(*kept, "text", "words", F.array_distinct(F.flatten("words")).alias("all_words"))
+    rows = rows.select(*kept, "text", "words", "all_words", F.array_distinct(F.flatten(possible(F.col("all_words"))["words"])).alias("wanted"))
+    parts = F.when(F.size("wanted") > 0, sentences(F.col("text"), F.col("wanted")))
+    rows = rows.select(*kept, "words", "all_words", parts.alias("parts"))
+    before = F.aggregate("parts", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.size(x["words"]))))
+    rows = rows.select(*kept, "words", "all_words", "parts", before.alias("before"))
+    rows = rows.select(*kept, "words", "all_words", runs(F.col("parts"), F.col("before")).alias("runs"))
+    units = F.concat(F.transform("words", known), F.array(known(F.col("all_words"), F.lit(end))), F.coalesce("runs", F.array()))
     rows = rows.select(*kept, F.filter(units, lambda u: F.size(u["known"]) > 0).alias("units"))
     rows = rows.select(*kept, F.filter(F.transform("units", weighed), near).alias("units"))
     rows = rows.select(*kept, F.flatten(F.transform("units", scored)).alias("found"))

@@ -511,3 +511,25 @@ def test_inheritance(spark):
     assert {i: r.effective for i, r in found.items()} == {1: "Apache-2.0", 2: "Apache-2.0", 3: "GPL-3.0", 4: "GPL-3.0", 5: "MIT", 6: "Apache-2.0", 7: None, 8: "BSD-3-Clause"}
     assert {i: r.inherited_from for i, r in found.items() if r.inherited_from} == {2: "LICENSE", 4: "src/lib/COPYING", 6: "LICENSE"}
     assert [found[i].line for i in (1, 5, 8)] == [1, 0, 1]
+
+
+def test_wrapped_and_inline_notices(spark):
+    import textwrap
+
+    code = prose(300, 47)
+    mit = next(t for name, t in licenses.TEMPLATES if name == "MIT" and len(t) > 300)
+    apache = licenses.TEMPLATES[1][1]
+    block = "\n".join(" * " + x for x in textwrap.wrap(mit + ":", 77))
+    rows = [
+        (1, "a/a.c", f"/*\n{block}\n */\n{code}"),
+        (2, "b/b.c", f"{code}\n{block}\n{code}"),
+        (3, "c/c.c", f"Copyright 2020 Foo Inc. All rights reserved.\n{code}"),
+        (4, "d/d.c", f"{prose(12, 48)}. {licenses.TEMPLATES[0][1]} {prose(15, 49)}.\n{code}"),
+        (5, "e/e.c", code + "\n" + "\n".join("# " + x for x in textwrap.wrap(f"{prose(9, 50)}. {apache} {prose(20, 51)}.", 40))),
+        (6, "f/f.c", f"{code}\nall of this is under a license, reserved to the rights of others, version 2\n{code}"),
+        (7, "g/g.c", code),
+    ]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id BIGINT, path STRING, text STRING")).collect()}
+    assert {i: r.license for i, r in found.items()} == {1: "MIT", 2: "MIT", 3: "Proprietary", 4: "Apache-2.0", 5: "Apache-2.0", 6: None, 7: None}
+    assert [found[i].line for i in (1, 2, 3, 4)] == [1, 1, 0, 0]
+    assert not any(r.license_file for r in found.values())
