@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landcompare.llm import decontamination, licenses, linetemplates, neighbours, quality, sentencepieces, simhash, tokencounts, toxicity, urlfilter
+from landcompare.llm import (
+    conversations,
+    decontamination,
+    licenses,
+    linetemplates,
+    neighbours,
+    quality,
+    sentencepieces,
+    setjoin,
+    simhash,
+    tokencounts,
+    toxicity,
+    urlfilter,
+)
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -19,6 +32,8 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_token_counts": tokencounts.query,
     "op10_licenses": licenses.query,
+    "op11_conversation_repair": conversations.query,
+    "op13_set_join": setjoin.query,
 }
 
 
@@ -27,4 +42,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": urlfilter.SQL, "op10_licenses": licenses.SQL}
+    return {"op4_url_filter": urlfilter.SQL, "op10_licenses": licenses.SQL, "op11_conversation_repair": conversations.SQL, "op13_set_join": setjoin.SQL}
