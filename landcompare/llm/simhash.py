@@ -61,18 +61,18 @@ def words_of(data: bytes, more: int = 0) -> Iterator[list[bytes]]:
 
 def shingle_hashes(data: bytes, n: int) -> Iterator[np.ndarray]:
     """XXH64 of every run of n words joined by a blank, or of all words if they are fewer; in pieces."""
-    xxh64, few = xxhash.xxh64_intdigest, None
+    xxh64, few, some = xxhash.xxh64_intdigest, None, False
     for words in words_of(data, n - 1):
         if len(words) < n:
-            few = words  # the whole text, or what a piece ends on: seen before
+            few = words  # the whole text, unless there was a shingle before
             continue
         line = b" ".join(words)
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         starts = (ends[: len(words) - n + 1] - np.fromiter(map(len, words[: len(words) - n + 1]), np.int64) - 1).tolist()
         found = [xxh64(line[a:b], 42) for a, b in zip(starts, (ends[n - 1 :] - 1).tolist(), strict=True)]
-        few = []
+        some = True
         yield np.array(found, np.uint64)
-    if few:
+    if few and not some:
         yield np.array([xxh64(b" ".join(few), 42)], np.uint64)
 
 
