@@ -16,6 +16,7 @@ from landcompare.llm import (
     sentencepieces,
     setjoin,
     simhash,
+    spelling,
     tokencounts,
     toxicity,
     urlfilter,
@@ -33,6 +34,7 @@ QUERIES = {
     "op9_token_counts": tokencounts.query,
     "op10_licenses": licenses.query,
     "op11_conversation_repair": conversations.query,
+    "op12_spelling": spelling.query,
     "op13_set_join": setjoin.query,
 }
 
@@ -42,4 +44,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": urlfilter.SQL, "op10_licenses": licenses.SQL, "op11_conversation_repair": conversations.SQL, "op13_set_join": setjoin.SQL}
+    return {"op4_url_filter": urlfilter.SQL, "op10_licenses": licenses.SQL, "op11_conversation_repair": conversations.SQL, "op12_spelling": spelling.SQL, "op13_set_join": setjoin.SQL}

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landcompare.llm.common import stored, table, texts
+from landcompare.llm.common import GOLDEN, mixed, stored, table, texts
 from landcompare.llm.components import connected_components
 from landcompare.llm.simhash import whole_runs, words_of
 
@@ -50,17 +50,6 @@ SPARE, FEW = 1, 6  # parts more than needed, where k is no smaller than FEW
 BLOCK = 512
 SKETCH_SHARE = 0.5  # bits per element, at least; a power of two
 
-GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * MIX_A
-    x = (x ^ (x >> np.uint64(27))) * MIX_B
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_set(text: str, n: int) -> np.ndarray:
     """The sorted hashes of a text's distinct shingles, A-Z lower-cased; each word is hashed once, a shingle from its words."""
     found, few = [], None

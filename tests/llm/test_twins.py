@@ -12,7 +12,7 @@ from landcompare.llm import registry
 def test_twin(spark, name, sf):
     folder = f"/root/testdata/{sf}"
     con = duckdb.connect()
-    for n in ("documents", "pages"):
+    for n in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {n} AS SELECT * FROM '{folder}/{n}.parquet'")
     result = con.execute(registry.oracle_sql()[name])
     columns = [d[0] for d in result.description]
@@ -21,4 +21,4 @@ def test_twin(spark, name, sf):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in registry.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in registry.queries()] == [f"op{k}" for k in range(1, 14)]
