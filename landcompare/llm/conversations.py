@@ -12,8 +12,9 @@ letters behind the shorter would be insertions that lead back to the same state.
 
 A conversation's rows are sorted by Spark, spilling where they must, and pass through its
 task as a stream, each once: of the past only four integers, four running hashes and the
-letters are held. Letters that all four paths share leave the integers, which therefore
-stay short however long a conversation is. The hash of a whole repaired conversation has
+letters are held. When the integers are full, the letters that all paths have reached move
+into a list, and a single leading digit keeps the order of what the four paths left there:
+the integers stay short however long a conversation is. The hash of a whole repaired conversation has
 to see its rows one after the other, so a conversation is not split over tasks; repeated
 rows are found within the same partitioning, without a further shuffle.
 
@@ -98,8 +99,10 @@ class Paths:
     """The least path into each state so far: its weight, its number of letters, and the hash of what it keeps."""
 
     def __init__(self) -> None:
-        self.width, self.settled = WIDTH, []
-        self.weights, self.lengths = [0, None, None, None], [0, 0, 0, 0]
+        self.width = WIDTH
+        # The first digit is the order of the letters left behind, none at first.
+        self.weights, self.lengths = [1 << BITS * (WIDTH - 1), None, None, None], [1, 0, 0, 0]
+        self.behind: list[tuple | None] = [None] * 4  # (what was left before, letters)
         self.hashes = [hashlib.sha256(), None, None, None]
         self.spent = 0  # cost common to all paths, taken out of the weights
 
@@ -118,6 +121,7 @@ class Paths:
                 if self.weights[after] is None or weight < self.weights[after]:
                     self.hashes[after] = self._kept(state, NEXT[state][0].encode() + b":")
                     self.weights[after], self.lengths[after] = weight, self.lengths[state] + 1
+                    self.behind[after] = self.behind[state]
 
     def row(self, role: str, text: str, fault: str | None) -> None:
         self.insert()
@@ -140,31 +144,33 @@ class Paths:
         hashes, lengths = self.hashes, self.lengths
         self.hashes = [None if e is None else hashes[e[2]] if e[3] is None else self._kept(e[2], e[3].encode() + data) for e in best]
         self.lengths = [0 if e is None else lengths[e[2]] + 1 for e in best]
+        self.behind = [None if e is None else self.behind[e[2]] for e in best]
         self.weights = [None if e is None else e[0] for e in best]
         if max(self.lengths) + 4 > self.width:
             self.settle()
 
     def settle(self) -> None:
-        """Forgets paths too dear to win, takes out what the others share, and widens what is left if it must."""
+        """Leaves behind as many letters as the shortest path has, and widens the integers if the others have many more."""
         low = BITS * self.width
-        costs = [None if w is None else w >> low for w in self.weights]
-        # What follows "none yet" or s can follow a too, for 3 more at most (an s deleted instead of kept).
+        # What may follow "none yet" or s may follow a too, for 3 more at most (an s deleted instead of kept): dearer paths can't win.
         for state, more in ((NONE, DELETE), (SYSTEM, 0)):
-            if costs[state] is not None and costs[ASSISTANT] is not None and costs[state] > costs[ASSISTANT] + more:
-                self.weights[state] = costs[state] = None
-                self.lengths[state] = 0
+            weights = self.weights[state], self.weights[ASSISTANT]
+            if None not in weights and weights[0] >> low > (weights[1] >> low) + more:
+                self.weights[state], self.lengths[state], self.behind[state], self.hashes[state] = None, 0, None, None
         alive = [s for s in range(4) if self.weights[s] is not None]
-        mask, least = (1 << low) - 1, min(costs[s] for s in alive)
-        digits = {s: self.weights[s] & mask for s in alive}
-        apart = max((digits[s] ^ digits[alive[0]]).bit_length() for s in alive)
-        shared = min((low - apart) // BITS, *(self.lengths[s] for s in alive)) if len(alive) > 1 else self.lengths[alive[0]]
-        self.settled.append(letters(digits[alive[0]], self.width, shared))
-        self.spent += least
-        wider = max(0, max(self.lengths) - shared + WIDTH // 2 - self.width)
+        least = min(self.weights[s] >> low for s in alive)
+        reached = min(self.lengths[s] for s in alive)
+        digits = {s: self.weights[s] & (1 << low) - 1 for s in alive}
+        left = {s: digits[s] >> low - BITS * reached for s in alive}
+        order = {x: k for k, x in enumerate(sorted(set(left.values())), 1)}
+        wider = max(0, max(self.lengths) - reached + WIDTH // 2 - self.width)
         for s in alive:
-            rest = (digits[s] << BITS * shared & mask) << BITS * wider
-            self.weights[s] = (costs[s] - least << BITS * (self.width + wider)) + rest
-            self.lengths[s] -= shared
+            self.behind[s] = self.behind[s], letters(left[s], reached, reached)[1:]
+            rest = (digits[s] & (1 << low - BITS * reached) - 1) << BITS * (reached - 1)
+            cost = (self.weights[s] >> low) - least
+            self.weights[s] = ((cost << low) + (order[left[s]] << low - BITS) + rest) << BITS * wider
+            self.lengths[s] -= reached - 1
+        self.spent += least
         self.width += wider
 
     def end(self) -> tuple[int, str, str]:
@@ -172,8 +178,12 @@ class Paths:
         self.insert()
         state = min((s for s in (NONE, ASSISTANT) if self.weights[s] is not None), key=lambda s: self.weights[s])
         low = BITS * self.width
-        audit = letters(self.weights[state] & (1 << low) - 1, self.width, self.lengths[state])
-        return self.spent + (self.weights[state] >> low), "".join([*self.settled, audit]), self.hashes[state].hexdigest()
+        audit = [letters(self.weights[state] & (1 << low) - 1, self.width, self.lengths[state])[1:]]
+        behind = self.behind[state]
+        while behind is not None:
+            behind, part = behind
+            audit.append(part)
+        return self.spent + (self.weights[state] >> low), "".join(reversed(audit)), self.hashes[state].hexdigest()
 
 
 def letters(digits: int, width: int, n: int) -> str:
