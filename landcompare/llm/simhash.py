@@ -12,8 +12,7 @@ verified by their differing bits.
 No list is taken whole. Lists are dealt in blocks of hashed members, and a task sees
 two blocks at most. It returns a spanning forest of the links it finds, nearest first,
 in place of all pairs, so a group of n near copies gives a multiple of n rows, and
-connected components come out as they would from all links. Where candidates have yet
-to be verified, those that lie between the resulting components are all compared.
+connected components come out as they would from all links.
 
 Rows: null text counts as empty, null ids are kept but never chosen as a
 representative where a group has another; repeated rows get the same result; an empty
@@ -96,29 +95,15 @@ def simhash(text: str, n: int = SHINGLE) -> int:
     return int.from_bytes(majority(map(big_endian, shingle_hashes(data, n)), 8), "big", signed=True)
 
 
-def word_and_shingle_prints(text: str, n: int) -> tuple[int, int, int]:
-    """128 bits over the distinct words, as two numbers, and 64 bits over the distinct shingles."""
-    data = text.encode().lower()
-    seen: set[bytes] = set()
-    for words in words_of(data):
-        seen.update(words)
-    rows = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, seen)), np.uint8).reshape(-1, 16)
-    wide = majority(iter([rows]), 16)
-    found = [np.unique(p) for p in shingle_hashes(data, n)]
-    shingles = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-    narrow = majority(iter([big_endian(shingles)]), 8)
-    return tuple(int.from_bytes(x, "big", signed=True) for x in (wide[:8], wide[8:], narrow))
-
-
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fingerprint BIGINT) of every row."""
+    """(doc_id, key BINARY, fingerprint BIGINT) of every row; the key stands for id and text."""
 
     def run(batches):
         for batch in batches:
-            found = [simhash(t, shingle) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fingerprint"])
+            found = pa.array([simhash(t, shingle) for t in batch.column("text").to_pylist()], pa.int64())
+            yield pa.record_batch([batch.column("doc_id"), batch.column("key"), found], ["doc_id", "key", "fingerprint"])
 
-    return texts(docs).mapInArrow(run, "doc_id BIGINT, fingerprint BIGINT")
+    return texts(docs).withColumn("key", _key_of_row()).mapInArrow(run, "doc_id BIGINT, key BINARY, fingerprint BIGINT")
 
 
 # Index
@@ -130,15 +115,12 @@ def triples(parts: list[list[int]]) -> list[tuple[int, ...]]:
     With three parts of eight positions every four positions hold one of them.
     """
     found = [t for part in parts for t in combinations(part, 3)]
-    if sum(map(len, parts)) <= 8:
-        following = parts[1:] + parts[:1]
-        found += [(*two, one) for part, after in zip(parts, following, strict=True) for two in combinations(part, 2) for one in after]
-    return found
+    following = parts[1:] + parts[:1]
+    return found + [(*two, one) for part, after in zip(parts, following, strict=True) for two in combinations(part, 2) for one in after]
 
 
 # Every set of as many positions as the minimum holds one of the triples (tests try them all).
 OF_8, SHARED_OF_8 = triples([[0, 1, 2], [3, 4, 5], [6, 7]]), 4
-OF_16, SHARED_OF_16 = triples([[0, 1, 2, 3, 4, 5], [6, 7, 8, 9, 10], [11, 12, 13, 14, 15]]), 7
 
 
 def _byte(numbers: list[str], position: int) -> Column:
@@ -252,22 +234,28 @@ def tallied(numbers: list[str], shared: int, bits: int):
 # Operator
 
 
+def groups_of(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+    """(fingerprint, component) of every distinct fingerprint that is linked at ``max_bits`` (4 at most) differing bits or fewer."""
+    if max_bits > 8 - SHARED_OF_8:
+        raise ValueError("the index holds pairs of 4 differing bits or fewer")
+    nodes = stored(prints.select("fingerprint").distinct(), "simhash-nodes")
+    listed = members(nodes, "fingerprint", ["fingerprint"], OF_8, block)
+    links = forests(listed, "fingerprint", tallied(["fingerprint"], 8 - max_bits, max_bits), max_bits)
+    return connected_components(links).withColumnRenamed("node", "fingerprint")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
     """(doc_id, fingerprint 16 hex digits, component_id) of every row.
 
     Fingerprints of runs of ``shingle`` words link at ``max_bits`` (4 at most) differing bits or fewer;
     a component's id is its smallest doc_id that isn't null. Texts without words share the fingerprint zero.
     """
-    if max_bits > 8 - SHARED_OF_8:
-        raise ValueError("the index holds pairs of 4 differing bits or fewer")
-    prints = stored(fingerprints(docs, shingle), "simhash")
-    nodes = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    listed = members(nodes.select("fingerprint"), "fingerprint", ["fingerprint"], OF_8, block)
-    links = forests(listed, "fingerprint", tallied(["fingerprint"], 8 - max_bits, max_bits), max_bits)
-    groups = connected_components(links).withColumnRenamed("node", "fingerprint")
-    ids = groups.join(nodes, "fingerprint").groupBy("component").agg(F.min("first_id").alias("linked_id"))
-    named = groups.join(ids, "component").select("fingerprint", "linked_id")
-    named = nodes.join(named, "fingerprint", "left").select("fingerprint", F.coalesce("linked_id", "first_id").alias("component_id"))
+    prints = stored(fingerprints(docs, shingle).drop("key"), "simhash")
+    groups = groups_of(prints, max_bits, block)
+    nodes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
+    named = nodes.join(groups, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
+    ids = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = named.join(ids, "component").select("fingerprint", "component_id")
     hexed = F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint")
     return prints.join(named, "fingerprint").select("doc_id", hexed, "component_id")
 
@@ -278,173 +266,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Pipeline stage
 
-STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
-STAGE_WORD_BITS = 24  # of 128: distinct words of texts of that similarity differ far less
-STAGE_SHINGLE_BITS = 18  # of 64: what texts of that similarity reach with a wide margin
-
-
-def _stage_distance(part: dict[str, np.ndarray]) -> np.ndarray:
-    """Differing bits of the shingles' prints, for pairs which share bytes enough for their words' prints to be near."""
-    size = len(part["w0"])
-    apart = [part[n].view(np.uint64)[:, None] ^ part[n].view(np.uint64)[None, :] for n in ("w0", "w1", "s")]
-    words = np.bitwise_count(apart[0]).astype(np.int64) + np.bitwise_count(apart[1])
-    shingles = np.bitwise_count(apart[2]).astype(np.int64)
-    shared = sum((x.view(np.uint8).reshape(size, size, 8) == 0).sum(2) for x in apart[:2])
-    shingles[(shared < 3) | (words > STAGE_WORD_BITS)] = FAR
-    return shingles
-
-
-def _shingles(text: str, shingle: int) -> np.ndarray:
-    found = list(shingle_hashes(text.encode().lower(), shingle))
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs``, one of each group that ``near_duplicates`` finds with the same shingles and bits.
 
-def _similar(shingle: int, similarity: float):
-    """Keeps the links whose texts have that Jaccard similarity in distinct shingles."""
-
-    def run(batches):
-        last, of_last = None, None
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                if x != last:
-                    last, of_last = x, _shingles(x, shingle)
-                other = _shingles(y, shingle)
-                both = len(np.intersect1d(of_last, other, assume_unique=True))
-                keep.append(both >= similarity * (len(of_last) + len(other) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def _apart(part: dict[str, np.ndarray], first: np.ndarray) -> np.ndarray:
-    """Distances of the candidates between components, each pair under the first of its keys only; else 255."""
-    found = _distances(part, _stage_distance)
-    size, shared = len(found), np.zeros((len(found), len(found)), np.int64)
-    for name in ("w0", "w1"):
-        x = part[name].astype(">i8").view(np.uint8).reshape(size, 8)
-        for k in range(8):
-            shared = shared << 1 | (x[:, None, k] == x[None, :, k])
-    found[(part["component"][:, None] == part["component"][None, :]) | (first[shared] != int(part["key"][0]) >> 24)] = FAR
-    found[found > STAGE_SHINGLE_BITS] = FAR
-    return found
-
-
-def _first_keys() -> np.ndarray:
-    """For every set of shared positions of 16, as bits with position 0 highest, the first triple it holds, or 255."""
-    first = np.full(1 << 16, FAR, np.int64)
-    for k, positions in reversed(list(enumerate(OF_16))):
-        mask = sum(1 << 15 - p for p in positions)
-        first[np.arange(1 << 16) & mask == mask] = k
-    return first
-
-
-def _runs(batches) -> Iterator[dict[str, np.ndarray]]:
-    for columns in whole_runs(batches):
-        starts = np.flatnonzero(_changes(columns))
-        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(columns["key"])], strict=True):
-            if e - s > 1:
-                yield {name: x[s:e] for name, x in columns.items()}
-
-
-def _jaccard(sets: list[np.ndarray]) -> np.ndarray:
-    """The similarities of all pairs of sorted sets."""
-    sizes, n = np.array([len(x) for x in sets], np.int64), len(sets)
-    owners = np.repeat(np.arange(n), sizes)
-    _, at, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owners, at = owners[held[at] > 1], (np.cumsum(held > 1) - 1)[at[held[at] > 1]]
-    order = np.argsort(at, kind="stable")
-    owners, at, both = owners[order], at[order], np.zeros((n, n), np.int64)
-    for low in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
-        s, e = np.searchsorted(at, [low, low + 4096])
-        holds = np.zeros((n, 4096), np.float32)
-        holds[owners[s:e], at[s:e] - low] = 1
-        both += (holds @ holds.T).astype(np.int64)
-    np.fill_diagonal(both, sizes)
-    return both / np.maximum(sizes[:, None] + sizes[None, :] - both, 1)
-
-
-def _links_between(nodes: DataFrame, whole: DataFrame, shingle: int, similarity: float, block: int) -> DataFrame:
-    """(a, b): links between the components of ``nodes`` (node, w0, w1, s, component), from all candidates between them.
-
-    A list's block pair gets the shingles of those of its members that stand in such a candidate, and compares them all.
+    Of a group the row with the smallest doc_id stays (nulls last, then the smallest digest). Texts without
+    words form one group. Rows repeated with doc_id and text stay once.
     """
-    listed = members(nodes, "node", ["w0", "w1"], OF_16, block)
-    names = listed.columns
-    first = _first_keys()
-
-    def open_members(batches):
-        for part in _runs(batches):
-            open_ = (_apart(part, first) < FAR).any(1)
-            if open_.any():
-                yield pa.record_batch([pa.array(part[c][open_]) for c in names], names)
-
-    def sets(batches):
-        for batch in batches:
-            found = [_shingles(t, shingle).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("node"), pa.array(found, pa.binary())], ["node", "shingles"])
-
-    def links(batches):
-        for part in _runs(batches):
-            apart = _apart(part, first)
-            apart[_jaccard([np.frombuffer(x, np.uint64) for x in part["shingles"]]) < similarity] = FAR
-            found = list(spanning(apart, STAGE_SHINGLE_BITS))
-            if found:
-                ends = [pa.array(part["node"][[pair[k] for pair in found]]) for k in (0, 1)]
-                yield pa.record_batch(ends, ["a", "b"])
-
-    dealt = listed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    left = stored(dealt.mapInArrow(open_members, listed.schema), "simhash-stage-open")
-    hashed = whole.join(left.select("node").distinct(), "node").mapInArrow(sets, "node BIGINT, shingles BINARY")
-    dealt = left.join(stored(hashed, "simhash-stage-shingles"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(links, "a BIGINT, b BIGINT")
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs``, one of each group of near-duplicates.
-
-    Groups are the components of links between texts whose sets of ``shingle``-word shingles (lower-cased
-    A-Z; fewer words: the whole sequence) have a Jaccard similarity of at least ``similarity``. At that
-    similarity shingle prints are 10 of 64 bits apart, too far for bytes to be shared for certain, while
-    prints of the distinct words, 128 bits, stay near: they are indexed, so that texts sharing 7 of 16
-    bytes are always met and those sharing 3 mostly. A forest that follows the shingle prints, nearest first,
-    is verified on the whole texts; then all candidates between the components of its true links are compared
-    on their sets of shingles, so that no true link is lost to a false one. Of a group the row with the smallest doc_id stays
-    (nulls last, then the smallest digest). Texts without words form one group. Rows repeated
-    with doc_id and text stay once.
-    """
-    rows = texts(docs).select("doc_id", "text", _key_of_row().alias("key"))
-
-    def prints_of(batches):
-        for batch in batches:
-            found = [word_and_shingle_prints(t, shingle) for t in batch.column("text").to_pylist()]
-            arrays = [pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else ((), (), ()))]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("key"), *arrays], ["doc_id", "key", "w0", "w1", "s"])
-
-    prints = rows.mapInArrow(prints_of, "doc_id BIGINT, key BINARY, w0 BIGINT, w1 BIGINT, s BIGINT")
-    prints = stored(prints.withColumn("node", F.xxhash64("w0", "w1", "s")), "simhash-stage")
+    prints = stored(fingerprints(docs, shingle), "simhash-stage")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
-    nodes = prints.groupBy("node").agg(F.first("w0").alias("w0"), F.first("w1").alias("w1"), F.first("s").alias("s"), F.min(order).alias("head"))
-    nodes = stored(nodes, "simhash-stage-nodes")
-    listed = members(nodes.drop("head"), "node", ["w0", "w1"], OF_16, block)
-    near = stored(forests(listed, "node", _stage_distance, STAGE_SHINGLE_BITS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-stage-links")
-    # The texts of a link's ends: one row each, the head of its node.
-    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    heads = ends.join(nodes, "node").select("node", F.col("head.key").alias("key"))
-    found = rows.select("key", "text").join(heads.hint("shuffle_hash"), "key")
-    whole = stored(found.groupBy("node").agg(F.first("text").alias("text")), "simhash-stage-texts")
-    left = whole.select(F.col("node").alias("a"), F.col("text").alias("x"))
-    right = whole.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    links = near.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(shingle, similarity), "a BIGINT, b BIGINT")
-    links = stored(links, "simhash-stage-true")
-    groups = connected_components(links)
-    # Who has a candidate at all stands in the forest.
-    met = nodes.drop("head").join(ends, "node", "left_semi").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = stored(_links_between(met, whole, shingle, similarity, block), "simhash-stage-more")
-    groups = connected_components(links.unionByName(more)) if more.take(1) else groups
-    kept = nodes.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("head").alias("head"))
-    kept = kept.select(F.col("head.key").alias("key"))
-    stay = packed(docs).select("row", _key_of_row().alias("key")).join(kept, "key")
+    heads = prints.groupBy("fingerprint").agg(F.min(order).alias("head"))
+    kept = heads.join(groups_of(prints, max_bits, block), "fingerprint", "left")
+    kept = kept.groupBy(F.coalesce("component", "fingerprint").alias("component")).agg(F.min("head").alias("head"))
+    stay = packed(docs).select("row", _key_of_row().alias("key")).join(kept.select(F.col("head.key").alias("key")), "key")
     return stay.dropDuplicates(["key"]).select("row.*")
 
 
