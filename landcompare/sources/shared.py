@@ -1,10 +1,10 @@
-"""The folder all executors share, for tables which cut a long lineage."""
+"""The folder all executors share, and tables there which cut a long lineage."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str = "landcompare") -> str:
@@ -16,3 +16,14 @@ def shared_folder(spark: SparkSession, name: str = "landcompare") -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     base = base or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """The frame written once to the shared folder and read back.
+
+    Cuts the lineage: a lost executor costs no recomputation of what is stored.
+    """
+    spark = frame.sparkSession
+    path = shared_folder(spark, name)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
