@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landcompare.sources.shared import shared_folder
+from landcompare.sources.shared import stored  # noqa: F401  the operators take it from here
 
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -24,15 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """The frame written once to the shared folder and read back.
-
-    Cuts the lineage: a lost executor costs no recomputation of what is stored.
-    """
-    spark = frame.sparkSession
-    path = shared_folder(spark, name)
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 256):
+    """Rows that hold whole texts or sets reach Python in batches of few, for jobs that run within the block."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def texts(docs: DataFrame) -> DataFrame:

@@ -14,12 +14,12 @@ be shared by all who have it; it is given only where a set has so many such part
 link could rest on them alone (``SPARE`` parts more than needed make that rare).
 
 Search. Sets of one content count once. A list holds the sets that share a signature.
-First every member is compared with the list's smallest; then, for what did not become
-connected that way, all members of different components, in blocks of a bounded size. There a
-sketch comes first: the parity of the elements under a hash into some bits differs in at most
-as many bits as the sets have differing elements, so it rejects no link. Both comparisons
-end in the exact intersection. A pair within a component is skipped, as it can't change the
-result: no link between different texts is lost.
+First every member is compared with the list's smallest. Lists that still hold several
+components make families of sets, and all members of a family that are in different components
+are compared, in blocks of a bounded size. There a sketch comes first: the parity of the
+elements under a hash into some bits differs in at most as many bits as the sets have differing
+elements, so it rejects no link. Both comparisons end in the exact intersection. A pair within
+a component is skipped, as it can't change the result: no link between different texts is lost.
 
 A third of all rows may have one text: a task gives the signatures of a set once, and
 streams through a sorted list, holding two rows of it.
@@ -40,14 +40,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landcompare.llm.common import GOLDEN, mixed, stored, table, texts
-from landcompare.llm.components import connected_components
+from landcompare.llm.common import GOLDEN, mixed, small_batches, stored, table, texts
+from landcompare.operators.components import connected_components
 from landcompare.llm.simhash import whole_runs, words_of
 
 SHINGLE, PERCENT = 3, 90
 CELLS = 3  # of a part; each two of them make a signature
 SPARE, FEW = 1, 6  # parts more than needed, where k is no smaller than FEW
-BLOCK = 512
+BLOCK, BLOCK_ELEMENTS = 512, 1 << 20  # sets, and their elements, that a task compares with as many others
 SKETCH_SHARE = 0.5  # bits per element, at least; a power of two
 
 def shingle_set(text: str, n: int) -> np.ndarray:
@@ -232,27 +232,31 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return whole.where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
 
 
-def open_pairs(listed: DataFrame, percent: int, block: int) -> DataFrame:
-    """(a, b): pairs of one list and different components that sizes and sketches admit.
+def links_within(members: DataFrame, percent: int, block: int) -> DataFrame:
+    """(a, b): links that connect components of one family, no more of them than a block has members.
 
-    ``listed`` has (signature, node, component, n, sketch). Lists are dealt in blocks of hashed members, a task compares two blocks at a time.
+    ``members`` has (family, node, component, n, sketch, elements). Families are dealt in blocks of hashed members, also by their
+    elements, and a task compares two blocks at a time: sizes and sketches first, then, nearest first, the elements of what isn't
+    connected by then.
     """
-    sizes = listed.groupBy("signature").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    dealt = listed.join(sizes, "signature").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    weight = F.greatest(F.count("*") / block, F.sum("n") / BLOCK_ELEMENTS)
+    sizes = members.groupBy("family").agg(F.ceil(weight).alias("blocks"))
+    dealt = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    columns = [F.col("signature").alias("key"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block"]
-    dealt = dealt.select(*columns, "node", "component", "n", "sketch")
+    columns = [F.col("family").alias("key"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block"]
+    dealt = dealt.select(*columns, "node", "component", "n", "sketch", "elements")
 
     def compared(part: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that sizes and sketches admit, nearest first."""
         n, size = part["n"], len(part["n"])
-        same = part["component"][:, None] == part["component"][None, :]
-        may = ~same & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+        may = part["component"][:, None] != part["component"][None, :]
+        may &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
         if part["i"][0] != part["j"][0]:
             may &= part["block"][:, None] != part["block"][None, :]
         a, b = np.nonzero(np.triu(may, 1))
         words = np.array([len(x) // 8 for x in part["sketch"]])
         least = np.minimum(words[a], words[b])
-        keep = np.zeros(len(a), bool)
+        apart = np.zeros(len(a), np.int64)
         for w in np.unique(least):
             rows = np.zeros((size, w), np.uint64)
             for k in np.flatnonzero(words >= w):
@@ -260,23 +264,42 @@ def open_pairs(listed: DataFrame, percent: int, block: int) -> DataFrame:
             at = np.flatnonzero(least == w)
             for low in range(0, len(at), 1 << 14):
                 s = at[low : low + (1 << 14)]
-                apart = np.bitwise_count(rows[a[s]] ^ rows[b[s]]).sum(1, dtype=np.int64)
-                keep[s] = (100 + percent) * apart <= (100 - percent) * (n[a[s]] + n[b[s]])
-        return a[keep], b[keep]
+                apart[s] = np.bitwise_count(rows[a[s]] ^ rows[b[s]]).sum(1, dtype=np.int64)
+        keep = (100 + percent) * apart <= (100 - percent) * (n[a] + n[b])
+        order = np.argsort(apart[keep], kind="stable")
+        return a[keep][order], b[keep][order]
+
+    def forest(part: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+        root = {c: c for c in part["component"].tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        found, component, elements = [], part["component"], part["elements"]
+        for x, y in zip(*(e.tolist() for e in compared(part)), strict=True):
+            p, q = find(int(component[x])), find(int(component[y]))
+            if p != q:
+                both = len(np.intersect1d(elements[x], elements[y], assume_unique=True))
+                if 100 * both >= percent * (len(elements[x]) + len(elements[y]) - both):
+                    root[p] = q
+                    found.append((int(part["node"][x]), int(part["node"][y])))
+        return found
 
     def run(batches):
         for columns in whole_runs(batches):
             new = np.append(True, np.any([columns[c][1:] != columns[c][:-1] for c in ("key", "i", "j")], axis=0))
             starts = np.flatnonzero(new).tolist()
             for s, e in zip(starts, [*starts[1:], len(new)], strict=True):
-                if e - s > 1:
-                    part = {name: x[s:e] for name, x in columns.items()}
-                    a, b = compared(part)
-                    ends = part["node"][a], part["node"][b]
-                    yield pa.record_batch([pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends))], ["a", "b"])
+                found = forest({name: x[s:e] for name, x in columns.items()}) if e - s > 1 else []
+                if found:
+                    yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
 
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a BIGINT, b BIGINT").distinct()
+    with small_batches(members.sparkSession):
+        return stored(dealt.mapInArrow(run, "a BIGINT, b BIGINT"), "setjoin-more")
 
 
 # Operator
@@ -295,14 +318,14 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block:
     tried = stored(listed.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "setjoin-tried")
     links = stored(verified(tried, whole, percent), "setjoin-links")
     groups = connected_components(links)
-    # Lists that still hold several components.
-    placed = listed.select("signature", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # Lists that still hold several components, and the families of sets that such lists connect.
+    placed = listed.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = stored(placed, "setjoin-placed")
     several = placed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("signature")
-    still = placed.join(several, "signature").join(whole.select("node", "n", "sketch"), "node")
-    more = open_pairs(still, percent, block).join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(stored(more, "setjoin-open"), whole, percent))
-    groups = connected_components(stored(links, "setjoin-links"))
+    still = stored(placed.join(several, "signature").select("node", "head", "component").distinct(), "setjoin-open")
+    families = connected_components(still.select(F.col("node").alias("a"), F.col("head").alias("b"))).select("node", F.col("component").alias("family"))
+    members = still.select("node", "component").distinct().join(families, "node").join(whole.drop("digest"), "node")
+    groups = connected_components(links.unionByName(links_within(members, percent, block)))
     # A component is named by its smallest id; a set by its digest, of which a node is half.
     first = sets.where("n > 0").groupBy("digest", "node").agg(F.min("doc_id").alias("first_id"))
     named = first.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))

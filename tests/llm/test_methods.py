@@ -11,8 +11,9 @@ import xxhash
 from frames import frame, prose, words
 from pyspark.sql import functions as F
 
-from landcompare.llm import components, decontamination, licenses, linetemplates, neighbours, quality, sentencepieces, simhash, tokencounts, toxicity, urlfilter
+from landcompare.llm import decontamination, licenses, linetemplates, neighbours, quality, sentencepieces, simhash, tokencounts, toxicity, urlfilter
 from landcompare.llm.common import table
+from landcompare.operators import components
 from landcompare.sources.shared import shared_folder
 
 SF = "/root/testdata/sf0.001"

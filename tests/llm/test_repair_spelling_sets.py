@@ -323,7 +323,7 @@ def test_linked_sets_share_a_signature():
             shared = (n + m - differ) // 2 + (n + m - differ) % 2
             pool = own.integers(0, 1 << 63, n + m, dtype=np.uint64) * np.uint64(2)
             a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:shared], pool[n : n + m - shared]]))
-            if 100 * shared < 90 * (n + m - shared) or len(b) != m:
+            if shared > n or 100 * shared < 90 * (n + m - shared) or len(b) != m:
                 continue
             of = [next(k for k, (_, high) in enumerate(limits) if len(x) <= high) for x in (a, b)]
             marks = [set(setjoin.both_signatures(x, k, limits, 90).tolist()) for x, k in zip((a, b), of, strict=True)]
