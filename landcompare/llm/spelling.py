@@ -40,6 +40,7 @@ NOISE = 31  # one in so many runs of a document loses a letter
 SHORTEST = 2  # letters of a gram
 SHARE = 4096  # a gram is frequent if it occurs more often than a word in so many: the dictionary keeps some 10 * SHARE for each length
 LIST, LISTS = 4096, 1000  # words of a list compared at once: so many, or one in so many of all words
+FEW, TILE = 12, 512  # rows of a run whose pairs are listed; rows tallied together in a longer one
 HELD = 100_000  # words counted in a task before they are handed on
 
 
@@ -222,6 +223,8 @@ class Rows:
         self.moved[long, :-1] = self.grams[long, 1:]
         short = np.arange(width) >= np.fromiter(map(len, words), np.int64, size)[:, None] - SHORTEST + 1
         self.grams_short = np.where(short, np.uint32(3), self.grams)  # a short word's padding equals nothing
+        self.lengths = np.fromiter(map(len, words), np.int64, size) - SHORTEST + 1
+        self.by_position = np.ascontiguousarray(self.grams.T)
 
     def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Of pairs that reached the count: those one letter apart, a being no longer than b."""
@@ -240,18 +243,20 @@ class Rows:
             found = np.where(both, np.minimum(found, key), found)
         return found
 
-    def merge(self, key: np.ndarray, run: np.ndarray, block: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Near pairs of rows of the same run, short words first, each under its first key; where a run isn't of ``one`` block, from different blocks."""
+    def merge(self, key: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Near pairs of the rows of each run, short words first, each under its first key; where a run isn't of ``one`` block, from different blocks."""
+        run = np.repeat(np.arange(len(starts)), ends - starts)
+        few = np.repeat(ends - starts <= FEW, ends - starts)
         found: list[np.ndarray] = []
-        for d in range(1, len(run)):
-            met = (run[d:] == run[:-d]) & ~self.long[:-d]
-            if not (run[d:] == run[:-d]).any():
+        for d in range(1, FEW):
+            at = np.flatnonzero((run[d:] == run[:-d]) & few[d:] & ~self.long[:-d] & (one[d:] | (block[d:] != block[:-d])))
+            if not len(at):
                 break
-            met &= one[d:] | (block[d:] != block[:-d])
-            shared = ((self.grams_short[:-d] == self.grams[d:]) | (self.grams_short[:-d] == self.moved[d:])).sum(1)
-            at = np.flatnonzero(met & (shared >= np.maximum(self.least[:-d], self.least[d:])))
-            if len(at):
-                found.append(np.stack([at, at + d]))
+            shared = ((self.grams_short[at] == self.grams[at + d]) | (self.grams_short[at] == self.moved[at + d])).sum(1)
+            at = at[shared >= np.maximum(self.least[at], self.least[at + d])]
+            found.append(np.stack([at, at + d]))
+        for k in np.flatnonzero(ends - starts > FEW).tolist():
+            found += self._tiles(int(starts[k]), int(ends[k]), block, bool(one[starts[k]]))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         a, b = np.concatenate(found, axis=1)
@@ -260,6 +265,33 @@ class Rows:
         keep = self.first_key(a, b) == key[a]
         return a[keep], b[keep]
 
+    def _tiles(self, start: int, end: int, block: np.ndarray, one: bool) -> list[np.ndarray]:
+        """The pairs of a long run that reach the count, tallied position by position."""
+        short = end - int(self.long[start:end].sum())  # long words come last
+        positions = int(self.lengths[start])
+        found = []
+        for low in range(start, short, TILE):
+            a = slice(low, min(low + TILE, short))
+            for begin, stop, moved in ((low, short, False), (short, end, True)):
+                for left in range(begin, stop, TILE):
+                    b = slice(left, min(left + TILE, stop))
+                    shared = np.zeros((a.stop - a.start, b.stop - b.start), np.uint8)
+                    for p in range(positions):
+                        mine = self.by_position[p, a][:, None]
+                        same = mine == self.by_position[p, b]
+                        if moved:
+                            same |= mine == self.by_position[p + 1, b]
+                        shared += same
+                    reached = shared >= np.maximum(self.least[a][:, None], self.least[b][None, :])
+                    if left == low and not moved:
+                        reached = np.triu(reached, 1)
+                    if not one:
+                        reached &= block[a][:, None] != block[b][None, :]
+                    x, y = np.nonzero(reached)
+                    if len(x):
+                        found.append(np.stack([x + low, y + left]))
+        return found
+
 
 def near_words(words: DataFrame, min_length: int = MIN_LENGTH, share: int = SHARE, list_size: int = LIST) -> DataFrame:
     """(word, near, n): both directions of every pair of near words, n being that of ``near``."""
@@ -279,15 +311,14 @@ def near_words(words: DataFrame, min_length: int = MIN_LENGTH, share: int = SHAR
     def run(batches):
         for columns in whole_runs(batches):
             new = np.append(True, np.any([columns[c][1:] != columns[c][:-1] for c in ("key", "i", "j")], axis=0))
-            group = np.cumsum(new) - 1
-            sizes = np.bincount(group)
-            small = np.flatnonzero((sizes[group] > 1) & (sizes[group] <= 64))
-            parts = [small] if len(small) else []
-            parts += [np.flatnonzero(group == g) for g in np.flatnonzero(sizes > 64)]
-            for at in parts:
+            starts = np.flatnonzero(new)
+            sizes = np.diff(np.append(starts, len(new)))
+            at = np.flatnonzero(np.repeat(sizes > 1, sizes))
+            if len(at):
                 part = {name: x[at] for name, x in columns.items()}
                 rows = Rows(part["word"].tolist(), part["long"].astype(bool), dictionary.value, longest)
-                a, b = rows.merge(part["key"], group[at], part["block"], part["i"] == part["j"])
+                ends = np.cumsum(sizes[sizes > 1])
+                a, b = rows.merge(part["key"], ends - sizes[sizes > 1], ends, part["block"], part["i"] == part["j"])
                 a, b = np.concatenate([a, b]), np.concatenate([b, a])
                 word = part["word"]
                 yield pa.record_batch([pa.array(word[a], pa.string()), pa.array(word[b], pa.string()), pa.array(part["n"][b])], ["word", "near", "n"])
