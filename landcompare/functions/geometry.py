@@ -188,7 +188,8 @@ def write_wkb(geometry: Column) -> Column:
 
     def whole(g: Column) -> Column:
         text = F.concat(F.lit("0000000006"), _count_hex(F.size(g)), F.array_join(F.transform(g, polygon), ""))
-        bad = F.exists(F.flatten(F.flatten(g)), lambda p: F.coalesce(F.abs(p["x"]) + F.abs(p["y"]), F.lit(float("inf"))).isin(float("inf"), float("nan")))
+        odd = [float("inf"), float("-inf"), float("nan")]
+        bad = F.exists(F.flatten(F.flatten(g)), lambda p: F.coalesce(p["x"].isin(odd) | p["y"].isin(odd), F.lit(True)))
         return F.when(~bad, F.unhex(text))
 
     return _let(geometry, whole)

@@ -334,4 +334,60 @@ def oracle_sql() -> dict[str, str]:
         add(f"choropleth_{level}", _choropleth(level), long)
         add(f"fits_{level}", _fits(), long)
         add(f"profiles_{level}", _profiles(level), long)
+    twins.update(GEOMETRY)
     return twins
+
+
+# The map of zones: unit squares, known by their column and row.
+_MAP = """
+WITH RECURSIVE zones AS (
+  SELECT c_custkey AS zone, c_nationkey::BIGINT AS district, n_regionkey::BIGINT AS state, c_custkey % 10 = 0 AS lake, c_custkey % 7 = 0 AS far,
+    1 - CASE WHEN c_custkey % 10 = 0 THEN 0.25 ELSE 0 END + CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END AS size
+  FROM customer JOIN nation ON c_nationkey = n_nationkey
+), squares AS (
+  SELECT zone, district, state, lake, zone % 64 AS x, zone // 64 AS y FROM zones
+  UNION ALL SELECT zone, district, state, false, zone % 64, zone // 64 + 100000 FROM zones WHERE far
+), sides AS (
+  SELECT a.*, b.zone AS zone_b, b.district AS district_b, b.state AS state_b, b.x AS xb, b.y AS yb
+  FROM squares a JOIN squares b ON (a.x = b.x AND abs(a.y - b.y) = 1) OR (a.y = b.y AND abs(a.x - b.x) = 1)
+)"""
+
+
+def _dissolved(level: str) -> str:
+    return f"""{_MAP}, joined AS (SELECT * FROM sides WHERE {level} = {level}_b
+), reach AS (
+  SELECT {level}, x, y, x + 64 * y AS piece FROM squares
+), firsts AS (
+  SELECT x, y, x AS rx, y AS ry FROM squares UNION SELECT f.x, f.y, j.xb, j.yb FROM firsts f JOIN joined j ON j.x = f.rx AND j.y = f.ry
+), pieces AS (
+  SELECT {level}, count(DISTINCT piece) AS n_pieces
+  FROM (SELECT s.{level}, s.x, s.y, min(f.rx + 64 * f.ry) AS piece FROM squares s JOIN firsts f USING (x, y) GROUP BY ALL) GROUP BY {level}
+), inner_sides AS (SELECT {level}, count(*) AS n FROM joined GROUP BY {level})
+SELECT s.{level}, n_pieces, (sum(CASE WHEN lake THEN 8 ELSE 4 END) - coalesce(any_value(i.n), 0))::BIGINT AS n_edges,
+  round(sum(CASE WHEN lake THEN 0.75::DOUBLE ELSE 1 END), 6) AS area
+FROM squares s JOIN pieces p USING ({level}) LEFT JOIN inner_sides i USING ({level}) GROUP BY s.{level}, n_pieces"""
+
+
+def _borders(level: str) -> str:
+    return f"""{_MAP} SELECT {level} AS zone, {level}_b AS neighbour, count(*) AS n_edges, count(*)::DOUBLE AS length
+FROM sides WHERE {level} < {level}_b GROUP BY ALL"""
+
+
+GEOMETRY = {
+    "geometry_counties": f"""{_MAP} SELECT zone, 1 + far::INT AS n_polygons, 1 + far::INT + lake::INT AS n_rings,
+  (5 * (1 + far::INT + lake::INT))::INT AS n_points, size::DOUBLE AS area FROM zones""",
+    "dissolve_districts": _dissolved("district"),
+    "dissolve_states": _dissolved("state"),
+    "borders_counties": _borders("zone"),
+    "borders_states": _borders("state"),
+    "areas_off": f"{_MAP} SELECT zone, 2 * size::DOUBLE AS stored, size::DOUBLE AS computed FROM zones WHERE zone % 13 = 0",
+    "zones_of_points": f"""{_MAP}, places AS (
+  SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 3 = 0 THEN 21 ELSE o_orderkey % 64 END + (o_orderkey % 16) / 16 + 1 / 64 AS x,
+    CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE o_orderkey // 37 % 40 END + (o_orderkey % 11) / 16 + 1 / 64 AS y
+  FROM orders
+)
+SELECT s.zone, count(*) AS n_orders, min(order_id) AS first_order
+FROM places p LEFT JOIN squares s ON s.x = floor(p.x) AND s.y = floor(p.y)
+  AND NOT (s.lake AND p.x - s.x BETWEEN 0.25 AND 0.75 AND p.y - s.y BETWEEN 0.25 AND 0.75)
+GROUP BY s.zone""",
+}
