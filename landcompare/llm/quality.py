@@ -37,9 +37,10 @@ GRADES, SELECTED_GRADE, THRESHOLD = 3, 1, 0.5
 MAX_ROWS = 12_000
 BUCKETS = 1 << 18
 EPOCHS, RATE, BATCH, L2 = 8, 0.5, 64, 1e-6
-MEMO = 1 << 18
+MEMO, ENTRY = 24 << 20, 64  # letters remembered, each token counting for some more
 
-RUNS = [(re.compile(r"[^\W\d_]*[A-ZÀ-Þ][^\W\d_]*"), "A"), (re.compile(r"[^\W\d_A]+"), "a"), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1+"), r"\1\1")]
+LETTERS, CAPITAL = re.compile(r"[^\W\d_]+"), re.compile("[A-ZÀ-Þ]")
+RUNS = [(LETTERS, lambda run: "A" if CAPITAL.search(run[0]) else "a"), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1+"), r"\1\1")]
 
 
 class Features:
@@ -47,11 +48,14 @@ class Features:
 
     def __init__(self):
         self.memo: dict[str, tuple[int, int]] = {}
+        self.held = 0
 
     def _of(self, token: str) -> tuple[int, int]:
-        if len(self.memo) > MEMO:
+        self.held += len(token) + ENTRY
+        if self.held > MEMO:
             self.memo.clear()
-        shape = "AA" if token.isupper() and len(token) > 1 else token[:64]
+            self.held = len(token) + ENTRY
+        shape = "AA" if token.isupper() and len(token) > 1 else token
         for pattern, run in RUNS:
             shape = pattern.sub(run, shape)
         found = _bucket("w", token.lower()), _bucket("s", shape)
