@@ -27,7 +27,7 @@ from landcompare.operators.components import connected_components
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 LINK_TAG = r"(?i)<link\s[^>]*>"
-CANONICAL = r"(?i)\srel\s*=\s*[\"']?canonical[\"'\s/>]"
+CANONICAL = r"(?i)\srel\s*=\s*(?:\"(?:[^\"]*\s)?canonical[\"\s]|'(?:[^']*\s)?canonical['\s]|canonical[\s/>])"  # any token of rel
 HREF = r"(?i)\shref\s*=\s*[\"']?([^\"'\s>]+)"
 META_TAG = r"(?i)<meta\s[^>]*>"
 REFRESH = r"(?i)\shttp-equiv\s*=\s*[\"']?refresh[\"'\s/>]"
@@ -60,10 +60,25 @@ def resolved(base: Column, href: Column) -> Column:
         .when(href.startswith("//"), F.concat(F.substring_index(scheme, "//", 1), href))
         .when(href.startswith("/"), F.concat(root, href))
         .when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | (href == "") | href.startswith("#"), F.lit(None))
+        .when(href.startswith("?"), F.concat(F.regexp_extract(base, r"(?s)^([^?#]*)", 1), href))
         .otherwise(F.concat(folder, href))
     )
 
 
+def straight(url: Column) -> Column:
+    """The url without the segments ``.`` and ``..`` of its path."""
+    root, path, rest = (F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)([^?#]*)(.*)$", k) for k in (1, 2, 3))
+    segments = F.split(F.substr(path, F.lit(2)), "/")
+
+    def step(done: Column, segment: Column) -> Column:
+        back = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(segment == ".", done).when(segment == "..", back).otherwise(F.concat(done, F.array(segment)))
+
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    kept = F.when(path.rlike(r"/\.\.?$"), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(root, F.lit("/"), F.array_join(kept, "/"), rest)).otherwise(url)
+
+
 def links(pages: DataFrame) -> DataFrame:
     """(url, target) of every canonical link and refresh of the pages."""
     tags = pages.select(
@@ -76,7 +91,7 @@ def links(pages: DataFrame) -> DataFrame:
         F.transform("refresh", lambda t: F.regexp_extract(t, TARGET, 1)),
     )
     found = tags.where("size(canonical) > 0 OR size(refresh) > 0").select("url", F.explode(hrefs).alias("href"))
-    return found.where("url LIKE '%://%'").select("url", resolved(F.col("url"), F.col("href")).alias("target")).where("target LIKE '%://%'")
+    return found.where("url LIKE '%://%'").select("url", straight(resolved(F.col("url"), F.col("href"))).alias("target")).where("target LIKE '%://%'")
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
@@ -153,9 +168,18 @@ targets AS (
     WHEN starts_with(href, '//') THEN split_part(url, '//', 1) || href
     WHEN starts_with(href, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || href
     WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') OR href = '' OR starts_with(href, '#') THEN NULL
+    WHEN starts_with(href, '?') THEN regexp_extract(url, '(?s)^([^?#]*)', 1) || href
     ELSE rtrim(regexp_extract(url, '(?s)^(.*?://[^/?#]*(?:[^?#]*/)?)', 1), '/') || '/' || href END AS target
   FROM (SELECT url, replace(trim(href), '&amp;', '&') AS href FROM hrefs) WHERE url LIKE '%://%'),
-ends AS (SELECT url, target, {_NODE.format(u="url")} AS a, {_NODE.format(u="target")} AS b FROM targets WHERE target LIKE '%://%'),
+steps AS (
+  SELECT url, target, regexp_extract(target, '(?s)^(.*?://[^/?#]*)', 1) AS root, {_PATH.format(u="target")} AS path,
+    regexp_extract(target, '(?s)^.*?://[^?#]*(.*)$', 1) AS rest FROM targets),
+straight AS (
+  SELECT url, CASE WHEN regexp_matches(path, '/\\.\\.?(/|$)') THEN root || '/' || array_to_string(list_concat(
+      list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(path[2:], '/'), lambda p: [p])),
+        lambda done, p: CASE p[1] WHEN '.' THEN done WHEN '..' THEN done[1 : len(done) - 1] ELSE list_concat(done, p) END),
+      CASE WHEN regexp_matches(path, '/\\.\\.?$') THEN [''] ELSE [] END), '/') || rest ELSE target END AS target FROM steps),
+ends AS (SELECT url, target, {_NODE.format(u="url")} AS a, {_NODE.format(u="target")} AS b FROM straight WHERE target LIKE '%://%'),
 pairs AS (SELECT a, b FROM ends UNION SELECT b, a FROM ends),
 reach(node, other) AS (SELECT a, a FROM pairs UNION SELECT r.node, p.b FROM reach r JOIN pairs p ON r.other = p.a),
 nodes AS (SELECT DISTINCT node, {_HOST.format(u="url")} AS host, {_PATH.format(u="url")} AS path
