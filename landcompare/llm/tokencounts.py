@@ -25,6 +25,7 @@ from landcompare.sources.shared import shared_folder
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
 MEMO_BYTES = 16 << 20
+FEW, FEW_OF = 50_000, 100  # so many missing digests at most, a few MB, and no more than one row in a hundred, are broadcast
 CACHED = "digest BINARY, n_tokens BIGINT"
 
 
@@ -65,6 +66,20 @@ def word_counter(tokenizer_json: str):
     return count
 
 
+def misses_of(rows: DataFrame, missing: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(digest, text) of the rows (doc_id, digest, text) that ``missing`` (digest, some_id) names.
+
+    Where few are missing, by number and as a share of all, their digests go to the texts, and no text moves but
+    theirs; else both are dealt by digest.
+    """
+    n = missing.count()
+    few = n <= FEW and n * FEW_OF <= keyed.count()
+    missing = missing.withColumnRenamed("digest", "missing")
+    missing = F.broadcast(missing) if few else missing.hint("shuffle_hash")
+    same = F.col("doc_id").eqNullSafe(F.col("some_id")) & (F.col("digest") == F.col("missing"))
+    return rows.join(missing, same).select("digest", "text")
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row; new counts are appended under ``cache_path``."""
     spark = docs.sparkSession
@@ -79,9 +94,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     missing = keyed.groupBy("digest").agg(some_row)
     if (known := cached(spark, folder)) is not None:
         missing = missing.join(known, "digest", "left_anti")
-    missing = missing.withColumnRenamed("digest", "missing")
-    same = F.col("doc_id").eqNullSafe(F.col("some_id")) & (F.col("digest") == F.col("missing"))
-    misses = rows.join(missing.hint("shuffle_hash"), same).select("digest", "text")
+    misses = misses_of(rows, stored(missing, "token-missing"), keyed)
     shared = spark.sparkContext.broadcast(content.decode())  # one file, a few MB
 
     def run(batches):
