@@ -57,9 +57,15 @@ def settings() -> Settings:
     return Settings(gain_label=GAIN, loss_label=LOSS, nlcd_label=NLCD)
 
 
-def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The logical tables as lazy plans over the Parquet files of ``sf_dir``."""
-    return _tables(_Raw(spark, sf_dir))
+def tables(spark: SparkSession, sf_dir: str, one_pass: bool = True) -> Tables:
+    """The logical tables as lazy plans over the Parquet files of ``sf_dir``.
+
+    With ``one_pass`` comparisons are summed straight from the files; else they go through the logical tables, as with any other source.
+    """
+    found = _tables(_Raw(spark, sf_dir))
+    if not one_pass:
+        found.load_wide = None
+    return found
 
 
 class _Raw:
