@@ -12,6 +12,7 @@ from landcompare.config import Dataset, Settings
 from landcompare.functions.expressions import annual, log1p, percent_of_area, safe_ratio
 from landcompare.operators.choropleth import by_map, map_values, saturate
 from landcompare.operators.fit import fit
+from landcompare.operators.hexbins import BINS, hexbins
 from landcompare.operators.profile import DERIVED, profile
 from landcompare.operators.queries import columns, measured, query, share_of_district, study
 from landcompare.operators.wide import present, wide
@@ -141,10 +142,16 @@ def choropleth(long: DataFrame, s: Settings, level: str, maps: Sequence[str] = (
 
 def fits(long: DataFrame, s: Settings, level: str) -> DataFrame:
     """Per dataset the scatter statistics, each in the dataset's own space."""
-    spaces = F.coalesce(
-        *[F.when(F.col("dataset") == n, F.lit(d.transform)) for n, d in s.level(level).datasets.items()]
-    )
-    return fit(long, s.rate("exp"), s.rate("nri"), spaces, by=("level", "dataset"))
+    return fit(long, s.rate("exp"), s.rate("nri"), _spaces(s, level), by=("level", "dataset"))
+
+
+def hexagons(long: DataFrame, s: Settings, level: str, bins: int = BINS) -> DataFrame:
+    """Per dataset the scatter plot's points counted by hexagons, each in the dataset's own space."""
+    return hexbins(long, s.rate("exp"), s.rate("nri"), _spaces(s, level), ("level", "dataset"), bins)
+
+
+def _spaces(s: Settings, level: str) -> Column:
+    return F.coalesce(*[F.when(F.col("dataset") == n, F.lit(d.transform)) for n, d in s.level(level).datasets.items()])
 
 
 def scatter_fits(long: DataFrame, s: Settings, level: str) -> DataFrame:

@@ -293,6 +293,61 @@ def _profiles(level: str) -> str:
     )
 
 
+def _hexbins() -> str:
+    near = [f"CAST(floor(({c} + 1000000000) / 2000000000.0::DOUBLE) AS BIGINT)" for c in ("cq", "cr", "cs")]
+    return f"""
+SELECT level, dataset, q, r, count(*) AS n, round(any_value(low) + (q + r / 2) * (any_value(width) / 35), 6) AS x,
+       round(any_value(low) + r * sqrt(3.0::DOUBLE) / 2 * (any_value(width) / 35), 6) AS y
+FROM (
+  SELECT *, CASE WHEN mq >= mr AND mq = ms THEN least(nq, -nr - ns) WHEN mq >= mr AND mq >= ms THEN -nr - ns ELSE nq END AS q,
+         CASE WHEN NOT (mq >= mr AND mq >= ms) AND mr >= ms THEN -nq - ns ELSE nr END AS r
+  FROM (SELECT *, abs(nq * 2000000000 - cq) AS mq, abs(nr * 2000000000 - cr) AS mr, abs(ns * 2000000000 - cs) AS ms
+  FROM (SELECT *, {near[0]} AS nq, {near[1]} AS nr, {near[2]} AS ns
+  FROM (SELECT *, 2 * u - v AS cq, 2 * v AS cr, -2 * u - v AS cs
+  FROM (SELECT level, dataset, low, width,
+          CASE WHEN width > 0 THEN CAST(round((tx - low) / width * 35 * 1000000000) AS BIGINT) ELSE 0 END AS u,
+          CASE WHEN width > 0 THEN CAST(round((ty - low) / width * 35 / (sqrt(3.0::DOUBLE) / 2) * 1000000000) AS BIGINT) ELSE 0 END AS v
+  FROM (SELECT *, least(min(tx) FILTER (WHERE isfinite(tx)) OVER w, min(ty) FILTER (WHERE isfinite(ty)) OVER w) AS low,
+          greatest(max(tx) FILTER (WHERE isfinite(tx)) OVER w, max(ty) FILTER (WHERE isfinite(ty)) OVER w) - low AS width
+        FROM ({_POINTS}) p WINDOW w AS (PARTITION BY level, dataset)) l
+  WHERE isfinite(tx) AND isfinite(ty)) a) b) c) d
+) e GROUP BY level, dataset, q, r"""
+
+
+# Colours between the knots of the ramp, by way of Lab space.
+_RAMP = """knots AS (
+  SELECT k, 116 * fy - 16 AS l, 500 * (fx - fy) AS a, 200 * (fy - fz) AS b FROM (
+    SELECT k, """ + ", ".join(f"CASE WHEN {t} > 216.0 / 24389 THEN pow({t}, 1.0 / 3) ELSE {t} * 841 / 108 + 4.0 / 29 END AS f{t}" for t in "xyz") + """ FROM (
+      SELECT k, (0.4124564 * r + 0.3575761 * g + 0.1804375 * u) / 0.95047 AS x, 0.2126729 * r + 0.7151522 * g + 0.0721750 * u AS y,
+        (0.0193339 * r + 0.1191920 * g + 0.9503041 * u) / 1.08883 AS z FROM (
+        SELECT k, """ + ", ".join(f"CASE WHEN {c} <= 0.04045 * 255 THEN {c} / 255 / 12.92 ELSE pow(({c} / 255 + 0.055) / 1.055, 2.4) END AS {c}" for c in "rgu") + """
+        FROM (VALUES (0, 0::DOUBLE, 60::DOUBLE, 48::DOUBLE), (1, 1, 102, 94), (2, 53, 151, 143), (3, 128, 205, 193), (4, 199, 234, 229),
+          (5, 253, 219, 199), (6, 244, 165, 130), (7, 214, 96, 77), (8, 178, 24, 43), (9, 103, 0, 31)) v(k, r, g, u)))))"""
+
+
+def _colours(level: str) -> str:
+    cube = ", ".join(f"CASE WHEN {t} > 6.0 / 29 THEN {t} * {t} * {t} ELSE ({t} - 4.0 / 29) * 108 / 841 END * {w} AS {t}" for t, w in zip("xyz", (0.95047, 1, 1.08883), strict=True))
+    rows = ((3.2404542, -1.5371385, -0.4985314), (-0.9692660, 1.8760108, 0.0415560), (0.0556434, -0.2040259, 1.0572252))
+    light = ", ".join(f"{m[0]} * x + {m[1]} * y + {m[2]} * z AS {c}" for m, c in zip(rows, "rgu", strict=True))
+    levels = ", ".join(
+        f"CAST(floor(least(greatest(CASE WHEN {c} <= 0.0031308 THEN 12.92 * {c} ELSE 1.055 * pow(greatest({c}, 0), 1 / 2.4) - 0.055 END, 0), 1) * 255 + 0.5) AS INT)"
+        for c in "rgu"
+    )
+    return f"""
+SELECT level, dataset, zone, map, CASE WHEN place IS NULL THEN '#7f7f7f' ELSE printf('#%02x%02x%02x', {levels}) END AS colour
+FROM (SELECT *, {light} FROM (SELECT * EXCLUDE (x, y, z), {cube}
+FROM (SELECT p.*, (f.l * (1 - part) + t.l * part + 16) / 116 AS y, y + (f.a * (1 - part) + t.a * part) / 500 AS x, y - (f.b * (1 - part) + t.b * part) / 200 AS z
+FROM (SELECT level, dataset, zone, map, CASE WHEN isfinite(fill_pos) THEN round(fill_pos, 2) * 9 END AS place,
+        least(CAST(floor(place) AS INT), 8) AS knot, place - knot AS part FROM ({_choropleth(level)}) c) p
+LEFT JOIN knots f ON f.k = knot LEFT JOIN knots t ON t.k = knot + 1) lab) xyz) rgb"""
+
+
+# Charges lie between 2**-20 and 2**40, so times 2**60 each is a whole number, as is their sum.
+_EXACT = """
+SELECT l_suppkey::BIGINT AS supplier, round(sum(CAST(charge * 1152921504606846976 AS HUGEINT))::DOUBLE / 1152921504606846976, 6) AS total
+FROM (SELECT l_suppkey, l_extendedprice::DOUBLE * (1 - l_discount::DOUBLE) * (1 + l_tax::DOUBLE) AS charge FROM lineitem) c GROUP BY l_suppkey"""
+
+
 def oracle_sql() -> dict[str, str]:
     twins: dict[str, str] = {}
 
@@ -334,6 +389,9 @@ def oracle_sql() -> dict[str, str]:
         add(f"choropleth_{level}", _choropleth(level), long)
         add(f"fits_{level}", _fits(), long)
         add(f"profiles_{level}", _profiles(level), long)
+        add(f"colours_{level}", _colours(level), long, _RAMP)
+        add(f"hexbins_{level}", _hexbins(), long)
+    twins["exact_charges"] = _EXACT
     twins.update(GEOMETRY)
     return twins
 
