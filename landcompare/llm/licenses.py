@@ -16,8 +16,10 @@ with their directories, so a directory with a third of all files is joined once.
 
 Rows: null text counts as empty and has no license, a null path has no directory, null
 ids stay, repeated rows each get their result, an empty table gives an empty result,
-other columns are ignored. Ties: the higher cosine, then the earlier line (the whole text
-last), then the smaller name; a run counts as its first line; of several license files in a directory the smallest path.
+other columns are ignored. Of several templates near a file the one that shares most of its
+weight with it counts, so a notice or title with its version goes before a short line, and
+``LAST`` only where nothing else is near. Ties: the higher cosine, then the earlier line (the
+whole text last), then the smaller name; a run counts as its first line; of several license files in a directory the smallest path.
 """
 
 from __future__ import annotations
@@ -33,8 +35,9 @@ from landcompare.llm.common import lower_ascii, stored, table
 THRESHOLD = 0.75
 LICENSE_NAMES = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 
-# Short notices by which licenses are named in files, and the text of a short license.
+# Notices and titles by which licenses are named in files, and telling parts of short licenses.
 TEMPLATES = [
+    ("Apache-2.0", "Apache License. Version 2.0, January 2004"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
@@ -51,13 +54,53 @@ TEMPLATES = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    *[
+        (f"GPL-{version}.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by"
+        f" the Free Software Foundation; either version {version} of the License, or (at your option) any later version.")
+        for version in (1, 2, 3)
+    ],
+    ("GPL-1.0", "GNU General Public License. Version 1, February 1989"),
+    ("GPL-2.0", "GNU General Public License. Version 2, June 1991"),
+    ("GPL-3.0", "GNU General Public License. Version 3, 29 June 2007"),
+    ("LGPL-2.0", "GNU Library General Public License. Version 2, June 1991"),
+    (
+        "LGPL-2.0",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by"
+        " the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    ("LGPL-2.1", "GNU Lesser General Public License. Version 2.1, February 1999"),
+    (
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by"
+        " the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    ("LGPL-3.0", "GNU Lesser General Public License. Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License. Version 3, 19 November 2007"),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    ),
+    (
+        "BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from"
+        " this software without specific prior written permission",
+    ),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-1.1", "Mozilla Public License Version 1.1"),
+    (
+        "MPL-1.1",
+        "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in"
+        " compliance with the License.",
+    ),
+    ("CC0-1.0", "Creative Commons Legal Code. CC0 1.0 Universal"),
     ("Proprietary", "All rights reserved."),
 ]
+LAST = "Proprietary"  # only where no license is near: its words stand in most license files
 
 
 def words_in(text: str) -> list[str]:
@@ -119,7 +162,8 @@ def matches(rows: DataFrame, templates: list[tuple[str, str]], threshold: float)
         def from_(start: Column) -> Column:
             ends = F.sequence(start, F.least(start + longest, F.size(parts)))
             ends = F.filter(ends, lambda end: parts[end - 1]["holds"] & ((end == start) | (before[end] - before[start - 1] <= longest)))
-            return F.transform(ends, lambda end: known(F.array_distinct(F.flatten(F.slice(parts["words"], start, end - start + 1))), parts[start - 1]["line"]))
+            # Sliced before its words are taken: else all of the text's sentences are gone through at each end.
+            return F.transform(ends, lambda end: known(F.array_distinct(F.flatten(F.slice(parts, start, end - start + 1)["words"])), parts[start - 1]["line"]))
 
         starts = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda start: parts[start - 1]["holds"])
         return F.when(F.size(parts) > 0, F.flatten(F.transform(starts, from_)))
@@ -136,10 +180,12 @@ def matches(rows: DataFrame, templates: list[tuple[str, str]], threshold: float)
 
     def scored(u: Column) -> Column:
         def one(k: Column) -> Column:
-            score = F.round(mass(F.array_intersect(u["known"], k["words"])) / (F.sqrt(u["mass"] + u["rest"]) * k["length"]), 6)
-            return F.struct(score.alias("score"), (-u["line"]).alias("above"), k["license"].alias("license"))
+            shared = mass(F.array_intersect(u["known"], k["words"]))
+            score = F.round(shared / (F.sqrt(u["mass"] + u["rest"]) * k["length"]), 6)
+            last = (k["license"] == LAST).alias("last")
+            return F.struct(last, (-F.round(shared, 6)).alias("less"), (-score).alias("lower"), u["line"].alias("line"), k["license"].alias("license"))
 
-        return F.filter(F.transform(kinds, one), lambda s: s["score"] >= threshold)
+        return F.filter(F.transform(kinds, one), lambda s: s["lower"] <= -threshold)
 
     kept = [c for c in rows.columns if c != "text"]
     rows = rows.select(*kept, "text", F.transform(F.split("text", "\n"), _words).alias("words"))
@@ -147,27 +193,35 @@ def matches(rows: DataFrame, templates: list[tuple[str, str]], threshold: float)
     rows = rows.select(*kept, "text", "words", "all_words", F.array_distinct(F.flatten(possible(F.col("all_words"))["words"])).alias("wanted"))
     parts = F.when(F.size("wanted") > 0, sentences(F.col("text"), F.col("wanted")))
     rows = rows.select(*kept, "words", "all_words", parts.alias("parts"))
-    before = F.aggregate("parts", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.size(x["words"]))))
+    before = _sums_before(F.col("parts"), lambda x: F.size(x["words"]))
     rows = rows.select(*kept, "words", "all_words", "parts", before.alias("before"))
     rows = rows.select(*kept, "words", "all_words", runs(F.col("parts"), F.col("before")).alias("runs"))
     units = F.concat(F.transform("words", known), F.array(known(F.col("all_words"), F.lit(end))), F.coalesce("runs", F.array()))
     rows = rows.select(*kept, F.filter(units, lambda u: F.size(u["known"]) > 0).alias("units"))
     rows = rows.select(*kept, F.filter(F.transform("units", weighed), near).alias("units"))
     rows = rows.select(*kept, F.flatten(F.transform("units", scored)).alias("found"))
-    rows = rows.select(*kept, "found", F.filter("found", lambda s: s["above"] == -end).alias("of_whole"))
+    rows = rows.select(*kept, "found", F.filter("found", lambda s: s["line"] == end).alias("of_whole"))
     return rows.select(*kept, _first("found", end).alias("best"), _first("of_whole", end).alias("whole"))
 
 
-def _first(found: str, end: int) -> Column:
-    """Highest score, then earliest line, then smallest name."""
+def _sums_before(parts: Column, size, chunk: int = 256) -> Column:
+    """0, then the running sums of the parts' sizes; in chunks, as every step of a fold copies the array it grows."""
 
-    def above(a: Column, b: Column) -> Column:
-        tie = a["score"] == b["score"]
-        return (a["score"] > b["score"]) | (tie & (a["above"] > b["above"])) | (tie & (a["above"] == b["above"]) & (a["license"] < b["license"]))
+    def sums(numbers: Column) -> Column:
+        return F.aggregate(numbers, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
 
-    best = F.try_element_at(F.array_sort(F.col(found), lambda a, b: F.when(above(a, b), -1).when(above(b, a), 1).otherwise(0)), F.lit(1))
-    line = F.when(best["above"] == -end, -1).otherwise(-best["above"])
-    return F.when(F.size(found) > 0, F.struct(best["score"].alias("score"), best["license"].alias("license"), line.alias("line")))
+    places = F.sequence(F.lit(0), F.floor(F.size(parts) / chunk).cast("int"))
+    chunks = F.transform(places, lambda k: sums(F.transform(F.slice(parts, k * chunk + 1, chunk), size)))
+    starts = F.slice(sums(F.transform(chunks, lambda c: F.element_at(c, -1))), F.lit(1), F.size(places))
+    # All but a full chunk's last sum, which is the next one's first.
+    return F.flatten(F.zip_with(chunks, starts, lambda c, s: F.transform(F.slice(c, 1, chunk), lambda n: n + s)))
+
+
+def _first(found: str, end: int) -> Column:
+    """Most shared weight, then highest score, earliest line and smallest name."""
+    best = F.array_min(found)
+    line = F.when(best["line"] == end, -1).otherwise(best["line"])
+    return F.when(F.size(found) > 0, F.struct((-best["lower"]).alias("score"), best["license"].alias("license"), line.alias("line")))
 
 
 def folder_of(path: Column) -> Column:
@@ -232,9 +286,9 @@ units AS (
 words AS (SELECT r, line, unnest({words.format(t="t")}) AS word FROM units),
 lengths AS (SELECT r, line, sqrt(sum(power(coalesce(idf, {other!r}), 2))) AS length FROM words LEFT JOIN idf USING (word) GROUP BY r, line),
 dots AS (SELECT r, line, kind, sum(idf * idf) AS dot FROM words JOIN idf USING (word) JOIN holds USING (word) GROUP BY r, line, kind),
-scores AS (SELECT r, line, license, round(dot / (l.length * k.length), 6) AS score FROM dots JOIN lengths l USING (r, line) JOIN kinds k USING (kind)),
+scores AS (SELECT r, line, license, round(dot, 6) AS shared, round(dot / (l.length * k.length), 6) AS score FROM dots JOIN lengths l USING (r, line) JOIN kinds k USING (kind)),
 good AS (SELECT * FROM scores WHERE score >= {THRESHOLD}),
-best AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, line, license) = 1),
+best AS (SELECT * FROM good QUALIFY row_number() OVER (PARTITION BY r ORDER BY license = '{LAST}', shared DESC, score DESC, line, license) = 1),
 owners AS (SELECT folder, min(path) AS inherited_from, arg_min(license, path) AS inherited
   FROM files JOIN best USING (r) WHERE r IN (SELECT r FROM good WHERE line = {1 << 30}) GROUP BY folder),
 above AS (SELECT folder, arg_max(inherited, length(o.folder)) AS inherited, arg_max(inherited_from, length(o.folder)) AS inherited_from

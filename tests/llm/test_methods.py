@@ -1,8 +1,10 @@
 """Each operator against brute force, the library it rebuilds, or what it should find."""
 
 import random
+import time
 from collections import defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -576,3 +578,38 @@ def test_wrapped_and_inline_notices(spark):
     assert {i: r.license for i, r in found.items()} == {1: "MIT", 2: "MIT", 3: "Proprietary", 4: "Apache-2.0", 5: "Apache-2.0", 6: None, 7: None}
     assert [found[i].line for i in (1, 2, 3, 4)] == [1, 1, 0, 0]
     assert not any(r.license_file for r in found.values())
+
+
+def test_running_sums_in_chunks(spark):
+    for n in (0, 1, 3, 4, 5, 8, 11):
+        [(got,)] = spark.range(1).select(licenses._sums_before(F.sequence(F.lit(1), F.lit(n)) if n else F.array().cast("array<int>"), lambda x: x, chunk=4)).collect()
+        assert got == [k * (k + 1) // 2 for k in range(n + 1)]
+
+
+def test_many_sentences_take_time_in_proportion(spark):
+    frame = spark.createDataFrame([(1, "a.c", "Prose goes on. " * 40_000 + licenses.TEMPLATES[1][1])], "doc_id BIGINT, path STRING, text STRING")
+    start = time.perf_counter()
+    [row] = licenses.scan(frame).collect()
+    assert row.license == "Apache-2.0"
+    assert time.perf_counter() - start < 120
+
+
+WHOLE = {
+    "Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0",
+    "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+SHELF = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not all((SHELF / n).exists() for n in WHOLE), reason="this machine has no whole license texts")
+def test_whole_license_texts_are_told_apart(spark):
+    rows = [(k, f"p{k}/LICENSE", (SHELF / n).read_text()) for k, n in enumerate(WHOLE)]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id BIGINT, path STRING, text STRING")).collect()}
+    assert {n: found[k].license for k, n in enumerate(WHOLE)} == WHOLE
+    assert all(r.license_file for r in found.values())
+
+
+def test_rights_reserved_only_where_nothing_else_is_near(spark):
+    rows = [(1, "a/a.c", "All rights reserved."), (2, "b/b.c", "All rights reserved.\nReleased under the MIT License.")]
+    found = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "doc_id BIGINT, path STRING, text STRING")).collect()}
+    assert found == {1: "Proprietary", 2: "MIT"}
