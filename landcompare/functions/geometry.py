@@ -23,7 +23,7 @@ ACRE = 4046.8564224  # square metres, fixed value
 EARTH = 6371007.1809  # radius in metres of the sphere with the earth's surface, fixed value
 
 
-def _let(value: Column, build: Callable[[Column], Column]) -> Column:
+def let(value: Column, build: Callable[[Column], Column]) -> Column:
     """``build`` of a value that is computed once."""
     return F.get(F.transform(F.array(value), build), F.lit(0))
 
@@ -63,9 +63,9 @@ def _double(b: Column, at: Column, little: Column) -> Column:
 
     def halves(h: Column) -> Column:
         high, low = (F.conv(F.substr(h, F.lit(k), F.lit(8)), 16, 10).cast("bigint") for k in (1, 9))
-        return _let(F.struct(high.alias("high"), low.alias("low")), _from_halves)
+        return let(F.struct(high.alias("high"), low.alias("low")), _from_halves)
 
-    return _let(_digits(b, at, little, 8), halves)
+    return let(_digits(b, at, little, 8), halves)
 
 
 def _from_halves(halves: Column) -> Column:
@@ -94,15 +94,15 @@ def _rings(b: Column, at: Column) -> Column:
                 more = F.concat(s["rings"], F.array(F.struct((s["at"] + 4).alias("at"), points.alias("n"))))
                 return F.struct(F.when(good, end).otherwise(s["at"]).alias("at"), good.alias("ok"), F.when(good, more).otherwise(s["rings"]).alias("rings"))
 
-            return _let(_number(b, s["at"], h["little"]), add)
+            return let(_number(b, s["at"], h["little"]), add)
 
         zero = F.struct((h["begin"] + 4).alias("at"), h["ok"].alias("ok"), F.array().cast(PLACES).alias("rings"))
-        return _let(
+        return let(
             F.aggregate(_upto(F.when(h["ok"], h["n"]).otherwise(0)), zero, ring),
             lambda s: F.struct(s["at"].alias("at"), s["ok"].alias("ok"), h["little"].alias("little"), s["rings"].alias("rings")),
         )
 
-    return _let(_let(_code(b, at), head), walk)
+    return let(let(_code(b, at), head), walk)
 
 
 def _code(b: Column, at: Column) -> Column:
@@ -114,7 +114,7 @@ def _code(b: Column, at: Column) -> Column:
         kind = code.bitwiseAND(F.lit(~SRID & 0xFFFFFFFF))
         return F.struct((m == "01").alias("little"), kind.alias("kind"), (at + skip).alias("begin"), m.isin("00", "01").alias("ok"))
 
-    return _let(_marker(b, at), parts)
+    return let(_marker(b, at), parts)
 
 
 def read_wkb(wkb: Column) -> Column:
@@ -132,7 +132,7 @@ def read_wkb(wkb: Column) -> Column:
                 more = F.concat(s["parts"], F.array(F.struct(p["little"].alias("little"), p["rings"].alias("rings"))))
                 return F.struct(F.when(good, p["at"]).otherwise(s["at"]).alias("at"), good.alias("ok"), F.when(good, more).otherwise(s["parts"]).alias("parts"))
 
-            return _let(_rings(b, s["at"]), add)
+            return let(_rings(b, s["at"]), add)
 
         def polygons(c: Column) -> Column:
             """One that begins with the bytes, or those behind the count."""
@@ -143,7 +143,7 @@ def read_wkb(wkb: Column) -> Column:
             return F.aggregate(_upto(F.when(ok, n).otherwise(0)), start, polygon)
 
         ends = F.lit(0).cast("bigint")
-        return _let(_let(_code(b, ends), polygons), lambda s: F.when(s["ok"] & (s["at"] == b["size"]), s["parts"]))
+        return let(let(_code(b, ends), polygons), lambda s: F.when(s["ok"] & (s["at"] == b["size"]), s["parts"]))
 
     def points(b: Column, found: Column) -> Column:
         def point(r: Column, little: Column, k: Column) -> Column:
@@ -152,8 +152,8 @@ def read_wkb(wkb: Column) -> Column:
 
         return F.transform(found, lambda p: F.transform(p["rings"], lambda r: F.transform(_upto(r["n"] - 1, 0), lambda k: point(r, p["little"], k))))
 
-    found = _let(_held(wkb), lambda b: points(b, walk(b)))
-    return _let(found, lambda g: F.when(~F.exists(F.flatten(F.flatten(g)), lambda p: p["x"].isNull() | p["y"].isNull()), g))
+    found = let(_held(wkb), lambda b: points(b, walk(b)))
+    return let(found, lambda g: F.when(~F.exists(F.flatten(F.flatten(g)), lambda p: p["x"].isNull() | p["y"].isNull()), g))
 
 
 # Writing
@@ -167,13 +167,13 @@ def _double_hex(x: Column) -> Column:
     def bits(a: Column) -> Column:
         def exact(e: Column) -> Column:
             e = F.when(F.pow(F.lit(2.0), e) > a, e - 1).when(F.pow(F.lit(2.0), e + 1) <= a, e + 1).otherwise(e)
-            return _let(e, lambda e: (e + 1023) * F.lit(1 << 52) + ((a / F.pow(F.lit(2.0), e) - 1) * F.lit(2.0**52)).cast("bigint"))
+            return let(e, lambda e: (e + 1023) * F.lit(1 << 52) + ((a / F.pow(F.lit(2.0), e) - 1) * F.lit(2.0**52)).cast("bigint"))
 
         small = (a * F.lit(2.0**537) * F.lit(2.0**537)).cast("bigint")
-        normal = F.when(a >= 2.0**-1022, _let(F.greatest(F.floor(F.log2(a)), F.lit(-1022)).cast("bigint"), exact))
+        normal = F.when(a >= 2.0**-1022, let(F.greatest(F.floor(F.log2(a)), F.lit(-1022)).cast("bigint"), exact))
         return F.when(a == 0, F.lit(0).cast("bigint")).when(a < 2.0**-1022, small).otherwise(normal)
 
-    signed = F.when(x < 0, _let(F.abs(x), bits).bitwiseOR(F.lit(-(1 << 63)))).otherwise(_let(F.abs(x), bits))
+    signed = F.when(x < 0, let(F.abs(x), bits).bitwiseOR(F.lit(-(1 << 63)))).otherwise(let(F.abs(x), bits))
     return F.lpad(F.hex(signed), 16, "0")
 
 
@@ -192,7 +192,7 @@ def write_wkb(geometry: Column) -> Column:
         bad = F.exists(F.flatten(F.flatten(g)), lambda p: F.coalesce(p["x"].isin(odd) | p["y"].isin(odd), F.lit(True)))
         return F.when(~bad, F.unhex(text))
 
-    return _let(geometry, whole)
+    return let(geometry, whole)
 
 
 # Areas
@@ -200,13 +200,17 @@ def write_wkb(geometry: Column) -> Column:
 
 def ring_area(ring: Column) -> Column:
     """Twice the halves of all triangles with the first point: above zero if the ring runs against the clock."""
-    first = F.get(ring, F.lit(0))
 
-    def triangle(s: Column, k: Column) -> Column:
-        a, b = F.get(ring, k - 1), F.get(ring, k)
-        return s + (a["x"] - first["x"]) * (b["y"] - first["y"]) - (b["x"] - first["x"]) * (a["y"] - first["y"])
+    def whole(ring: Column) -> Column:
+        first = F.get(ring, F.lit(0))
 
-    return F.aggregate(_upto(F.size(ring).cast("bigint") - 1), F.lit(0.0), triangle) / 2
+        def triangle(s: Column, k: Column) -> Column:
+            a, b = F.get(ring, k - 1), F.get(ring, k)
+            return s + (a["x"] - first["x"]) * (b["y"] - first["y"]) - (b["x"] - first["x"]) * (a["y"] - first["y"])
+
+        return F.aggregate(_upto(F.size(ring).cast("bigint") - 1), F.lit(0.0), triangle) / 2
+
+    return let(ring, whole)  # else a ring that is computed would be so at every point
 
 
 def ring_excess(ring: Column) -> Column:
@@ -215,12 +219,15 @@ def ring_excess(ring: Column) -> Column:
     Each edge adds the triangle it forms with the pole, less that of the equator; rings must not hold a pole.
     """
 
-    def slice_(s: Column, k: Column) -> Column:
-        a, b = F.get(ring, k - 1), F.get(ring, k)
-        turn, up, over = (F.radians(v / 2) for v in (b["x"] - a["x"], a["y"] + b["y"], a["y"] - b["y"]))
-        return s - 2 * F.atan2(F.sin(turn) * F.sin(up), F.cos(turn) * F.cos(over))
+    def whole(ring: Column) -> Column:
+        def slice_(s: Column, k: Column) -> Column:
+            a, b = F.get(ring, k - 1), F.get(ring, k)
+            turn, up, over = (F.radians(v / 2) for v in (b["x"] - a["x"], a["y"] + b["y"], a["y"] - b["y"]))
+            return s - 2 * F.atan2(F.sin(turn) * F.sin(up), F.cos(turn) * F.cos(over))
+
+        return F.aggregate(_upto(F.size(ring).cast("bigint") - 1), F.lit(0.0), slice_)
 
-    return F.aggregate(_upto(F.size(ring).cast("bigint") - 1), F.lit(0.0), slice_)
+    return let(ring, whole)
 
 
 def area(geometry: Column, of_ring: Callable[[Column], Column] = ring_area) -> Column:

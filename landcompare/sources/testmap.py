@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landcompare.functions.geometry import write_wkb
+from landcompare.sources.shared import dealt
 
 COLUMNS, FAR = 64, 100_000
 JITTER = 0.00004  # below half of the grid of 0.0001
@@ -30,7 +31,7 @@ def _square(x: Column, y: Column, size: float, inward: float, key: Column) -> Co
 
 def counties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(zone, district, state, acres_calc, geom): geometry as WKB; every thirteenth has a wrong area on record."""
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    customers = dealt(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey"))
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
     key = F.col("c_custkey").cast("bigint")
     x, y = (key % COLUMNS).cast("double"), F.floor(key / COLUMNS).cast("double")
