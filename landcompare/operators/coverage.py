@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from landcompare.functions.geometry import ring_area
+from landcompare.functions.geometry import let, ring_area
 from landcompare.operators.components import connected_components
 from landcompare.sources.shared import stored
 
@@ -36,13 +36,14 @@ class Overlap(ValueError):
 def snap(ring: Column, grid: float = GRID) -> Column:
     """The ring in whole steps of the grid, array<struct<x:bigint,y:bigint>>, repeated points once; points halfway go to the even step."""
     points = F.transform(ring, lambda p: F.struct(F.rint(p["x"] / grid).cast("bigint").alias("x"), F.rint(p["y"] / grid).cast("bigint").alias("y")))
-    fresh = F.filter(points, lambda p, k: (k == 0) | (F.get(points, k - 1) != p))
-    return F.when(F.size(fresh) > 3, fresh).otherwise(F.array().cast("array<struct<x:bigint,y:bigint>>"))
+    fresh = let(points, lambda all_: F.filter(all_, lambda p, k: (k == 0) | (F.get(all_, k - 1) != p)))
+    return let(fresh, lambda kept: F.when(F.size(kept) > 3, kept).otherwise(F.array().cast("array<struct<x:bigint,y:bigint>>")))
 
 
 def edges(zones: DataFrame, grid: float = GRID) -> DataFrame:
     """(zone, polygon, x1, y1, x2, y2) of (zone, geometry): every directed edge, its polygon on the left. Rings that snap to a line vanish."""
-    polygons = zones.select("zone", F.posexplode("geometry").alias("polygon", "rings"))
+    # Outer, as Spark would filter by an inner one's array further down, and compute geometries there as well.
+    polygons = zones.select("zone", F.posexplode_outer("geometry").alias("polygon", "rings")).where("polygon IS NOT NULL")
     rings = polygons.select("zone", "polygon", F.posexplode("rings").alias("place", "ring")).withColumn("ring", snap(F.col("ring"), grid))
     along = F.when((ring_area(_plain(F.col("ring"))) > 0) == (F.col("place") == 0), F.col("ring")).otherwise(F.reverse("ring"))
     rings = rings.select("zone", "polygon", along.alias("ring"))

@@ -273,3 +273,59 @@ def test_snapped_edges_cancel_only_within_a_group(spark):
     for r in C.edges(spark.createDataFrame(halves, SHAPES)).collect():
         found.setdefault(r.zone, set()).add((r.x1, r.y1, r.x2, r.y2))
     assert {(c, d, a, b) for a, b, c, d in found[1]} & found[2] == {(5000, 10000, 5000, 0)}
+
+
+def counted(spark, kind):
+    """A UDF that gives back its argument, and how often it was called."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def same(x):
+        calls.add(1)
+        return x
+
+    return F.udf(same, kind), calls
+
+
+def test_geometries_are_computed_once(spark):
+    """No filter that Spark infers or pushes down computes them anew."""
+    rows = [(k, "x", [[cell_ring(k, 0)]]) for k in range(40)] + [(90, "x", None), (91, "x", [])]
+    frame = spark.createDataFrame(rows, SHAPES)
+    once, calls = counted(spark, G.GEOMETRY)
+    assert len(C.edges(frame.withColumn("geometry", once("geometry"))).collect()) == 160
+    assert calls.value == len(rows)
+    once, calls = counted(spark, "double")
+    areas = spark.createDataFrame([(k, 1.0 if k % 4 else 3.0, 1.0) for k in range(40)] + [(90, None, 1.0)], "zone INT, area DOUBLE, acres DOUBLE")
+    found = C.off_areas(areas, once("area"), F.col("acres")).collect()
+    assert sorted(r.zone for r in found) == [*range(0, 40, 4), 90] and calls.value == 41
+
+
+def test_long_ring_has_its_edges(spark):
+    n = 3000
+    ring = [(round(math.cos(2 * math.pi * k / n) * 50, 4), round(math.sin(2 * math.pi * k / n) * 50, 4)) for k in range(n)]
+    ring = [*ring, ring[0]]
+    found = C.edges(spark.createDataFrame([(1, "x", [[ring[::-1]]])], SHAPES)).collect()
+    assert sorted((r.x1, r.y1, r.x2, r.y2) for r in found) == sorted((*a, *b) for a, b in zip(steps(ring), steps(ring)[1:], strict=False))
+
+
+def test_small_files_are_dealt_over_tasks(spark, tmp_path):
+    from landcompare.sources import testmap
+
+    spark.range(12_000).selectExpr("id AS c_custkey", "CAST(id % 3 AS INT) AS c_nationkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(3).selectExpr("CAST(id AS INT) AS n_nationkey", "CAST(id AS INT) AS n_regionkey").write.parquet(f"{tmp_path}/nation.parquet")
+    zones = testmap.counties(spark, str(tmp_path)).select("zone")
+    assert zones.rdd.getNumPartitions() == 3 and zones.distinct().count() == 12_000
+
+
+def test_only_crowded_cells_are_copied(spark, monkeypatch):
+    monkeypatch.setattr(C, "CROWDED", 100, raising=False)
+    kept, stored = {}, C.stored
+    monkeypatch.setattr(C, "stored", lambda f, name: kept.setdefault(name, stored(f, name)))
+    zones = [(k, "x", [[cell_ring(k % 4, k // 4)]]) for k in range(16)]
+    points = [(k, 1.25, 1.25) for k in range(2000)] + [(2000 + k, 0.3 + k % 4, 0.3 + k // 4) for k in range(16)] + [(3000 + k, None, 1.0) for k in range(500)]
+    frame = spark.createDataFrame(points, "id INT, x DOUBLE, y DOUBLE").withColumn("more", F.create_map(F.lit("a"), F.col("id")))
+    found = C.zones_of_points(frame, C.cover(spark.createDataFrame(zones, SHAPES), 0.5), 0.5)
+    assert found.columns == frame.columns + ["zone"]
+    want = {k: 5 for k in range(2000)} | {2000 + k: k for k in range(16)} | {3000 + k: None for k in range(500)}
+    rows = found.collect()
+    assert {r.id: r.zone for r in rows} == want and len(rows) == len(points)
+    assert [(r.crowd_row, r.crowd_column, r.parts) for r in kept["crowds"].collect()] == [(2, 2, 21)]
