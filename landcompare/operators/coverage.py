@@ -219,6 +219,9 @@ def cover(zones: DataFrame, cell: float, grid: float = GRID) -> DataFrame:
     return inner.select("zone", "row", "column", "border", "lines").unionByName(outer.select("zone", "row", "column", "border", "lines"))
 
 
+CROWDED = 100_000  # points of a cell that one task takes
+UNHASHED = ("map<", "variant")
+
 LINES = "array<struct<x1:bigint,y1:bigint,x2:bigint,y2:bigint>>"
 
 
@@ -242,16 +245,27 @@ def zones_of_points(points: DataFrame, cells: DataFrame, cell: float, grid: floa
     """The rows of ``points`` (with x and y) and the ``zone`` each lies in, NULL if it lies in none, from the ``cover`` of the same cell size.
 
     An equal join by cells; edges are looked at in border cells only. Of two zones with a common border the one to its right or
-    above it has the points on it. Points of a crowded cell are dealt over ``salts`` tasks, for which the cell's few rows are copied.
-    Overlapping zones give a point a row each; a point without both coordinates lies in none.
+    above it has the points on it. Points of a crowded cell are dealt over ``salts`` tasks, or one per ``CROWDED`` points if these are
+    more, for which that cell's few rows are copied; the other cells' rows stay single. Overlapping zones give a point a row each; a
+    point without both coordinates lies in none.
     """
     step = round(cell / grid)
     x, y = (F.col(f"row.{c}").cast("double") / grid for c in ("x", "y"))
     rows = points.select(F.struct("*").alias("row")).withColumns({"px": x, "py": y})
     rows = rows.select("row", "px", "py", _cell(F.col("py"), step).alias("py_row"), _cell(F.col("px"), step).alias("px_column"))
-    rows = rows.withColumn("dealt", F.pmod(F.xxhash64("px", "py"), F.lit(salts)))
-    copies = cells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    copies = copies.withColumnsRenamed({"row": "cell_row", "column": "cell_column"})
+    # At most one cell per CROWDED points, so few rows to broadcast.
+    crowds = rows.groupBy("py_row", "px_column").count().where((F.col("count") > CROWDED) & F.col("py_row").isNotNull() & F.col("px_column").isNotNull())
+    crowds = crowds.select(F.col("py_row").alias("crowd_row"), F.col("px_column").alias("crowd_column"), F.greatest(F.lit(salts), F.ceil(F.col("count") / CROWDED)).alias("parts"))
+    crowds = F.broadcast(stored(crowds, "crowds"))
+    # Points at one place differ in other columns, as far as these can be hashed.
+    told = [f"row.`{f.name}`" for f in points.schema if not any(kind in f.dataType.simpleString() for kind in UNHASHED)]
+    some = F.xxhash64(*told)
+    rows = rows.join(crowds, (F.col("py_row") == F.col("crowd_row")) & (F.col("px_column") == F.col("crowd_column")), "left")
+    nowhere = F.col("py_row").isNull() | F.col("px_column").isNull()
+    rows = rows.select("row", "px", "py", "py_row", "px_column", F.pmod(some, F.when(nowhere, salts).otherwise(F.coalesce("parts", F.lit(1)))).alias("dealt"))
+    copies = cells.withColumnsRenamed({"row": "cell_row", "column": "cell_column"})
+    copies = copies.join(crowds, (F.col("cell_row") == F.col("crowd_row")) & (F.col("cell_column") == F.col("crowd_column")), "left")
+    copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("crowd_row", "crowd_column", "parts")
     same = (F.col("py_row") == F.col("cell_row")) & (F.col("px_column") == F.col("cell_column")) & (F.col("dealt") == F.col("salt"))
     within = ~F.col("border") | F.coalesce(_inside("lines", F.col("px"), F.col("py")), F.lit(False))
     return rows.join(copies, same & within, "left").select("row.*", "zone")
