@@ -13,18 +13,20 @@ get their count, an empty table gives an empty result, other columns are ignored
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landcompare.llm.common import digest, stored, table, texts
+from landcompare.llm.common import digest, small_batches, stored, table, texts
 from landcompare.sources.shared import shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
-MEMO_BYTES = 16 << 20
+MEMO_BYTES = 32 << 20  # per worker
+ENTRY = 160  # bytes that a remembered word takes besides its letters
 FEW, FEW_OF = 50_000, 100  # so many missing digests at most, a few MB, and no more than one row in a hundred, are broadcast
 CACHED = "digest BINARY, n_tokens BIGINT"
 
@@ -38,7 +40,7 @@ def word_counter(tokenizer_json: str):
     """A function from texts to token counts, for a tokenizer that drops white space.
 
     Its pieces never cross white space, so a text has as many tokens as its words together. Words are
-    encoded once and remembered, up to ``MEMO_BYTES`` of them.
+    encoded once and remembered, up to ``MEMO_BYTES`` for them and their entries.
     """
     from tokenizers import Tokenizer
 
@@ -56,7 +58,7 @@ def word_counter(tokenizer_json: str):
         new = [w for w in set().union(*split) if w not in memo]
         encoded = tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
         memo.update(zip(new, (len(e.ids) for e in encoded), strict=True))
-        held += sum(map(len, new))
+        held += sum(map(len, new)) + ENTRY * len(new)
         counts = [sum(map(memo.__getitem__, words)) for words in split]
         if held > MEMO_BYTES:
             memo.clear()
@@ -66,6 +68,12 @@ def word_counter(tokenizer_json: str):
     return count
 
 
+@lru_cache(maxsize=1)
+def counter_of(tokenizer_json: str):
+    """One counter for all tasks of a Python worker: reading the tokenizer takes time and, for a moment, much memory."""
+    return word_counter(tokenizer_json)
+
+
 def misses_of(rows: DataFrame, missing: DataFrame, keyed: DataFrame) -> DataFrame:
     """(digest, text) of the rows (doc_id, digest, text) that ``missing`` (digest, some_id) names.
 
@@ -96,18 +104,23 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
         missing = missing.join(known, "digest", "left_anti")
     misses = misses_of(rows, stored(missing, "token-missing"), keyed)
     shared = spark.sparkContext.broadcast(content.decode())  # one file, a few MB
+    threads = spark.conf.get("spark.task.cpus", "1")
 
     def run(batches):
+        import os
+
+        # As many threads as the task has cores: each keeps memory of its own.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ.setdefault("RAYON_NUM_THREADS", threads)
         count = None
         for batch in batches:
-            count = count or word_counter(shared.value)
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                counts = count(part.column("text").to_pylist())
-                yield pa.record_batch([part.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
+            count = count or counter_of(shared.value)
+            counts = count(batch.column("text").to_pylist())
+            yield pa.record_batch([batch.column("digest"), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
     fresh = misses.mapInArrow(run, CACHED).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    fresh.write.mode("append").parquet(folder)
+    with small_batches(spark):
+        fresh.write.mode("append").parquet(folder)
     counts = cached(spark, folder)
     return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
