@@ -19,6 +19,8 @@ import struct
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ from landcompare.llm.common import table, texts
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 MEMO_WORDS = 500_000
+TOGETHER = 32  # new words that are decoded as one text
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 # Piece and model types of the format.
@@ -147,9 +150,8 @@ class Codec:
         self.model = parse(data)
         self.tokenizer = rebuild(self.model)
         plain = not self.model.charsmap and not self.model.squeeze_blanks  # then blanks are all there is to do
-        self.normalise = self._marked if plain else self.tokenizer.normalizer.normalize_str
-        self.bare = rebuild(self.model)
-        self.bare.normalizer = None
+        self.normalise = self._marked if plain else normaliser(self.model).normalize_str
+        self.tokenizer.normalizer = None  # texts come normalised
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.words = by_words(self.model)
         self.memo: dict[str, bytes] = {}
@@ -161,7 +163,8 @@ class Codec:
         if not self.words:
             normal = [self.normalise(t) for t in found]
             wanted = self.reference.encode(found)
-            got, again = self._rebuilt(normal)
+            got = self._ids(normal)
+            again = self._decoded(got)
             rows = zip(wanted, got, again, map(self._shown, normal), strict=True)
             return [(packed(g), g == w, a == n) for w, g, a, n in rows]
         if len(self.memo) > MEMO_WORDS:
@@ -179,22 +182,35 @@ class Codec:
         text = normal.replace(MARK, " ")
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
-    def _rebuilt(self, normal: list[str]) -> tuple[list[list[int]], list[str]]:
-        ids = [e.ids for e in self.bare.encode_batch_fast(normal, add_special_tokens=False)]
-        return ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+    def _ids(self, normal: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(normal, add_special_tokens=False)]
+
+    def _decoded(self, ids: list[list[int]]) -> list[str]:
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
     def _learn(self, new: list[str]) -> None:
         # After a letter a word stands as it does in a text, without the prefix that a text's start gets.
         lead = len(self.reference.encode("x"))
         wanted = [x[lead:] for x in self.reference.encode(["x" + w.replace(MARK, " ") for w in new])]
-        got, again = self._rebuilt(new)
+        got = self._ids(new)
         if got != wanted:
             self.strange.update(w for w, g, x in zip(new, got, wanted, strict=True) if g != x)
-        if again != (shown := list(map(self._shown, new))):
-            self.lost.update(w for w, a, n in zip(new, again, shown, strict=True) if a != n)
+        # Words in a row are decoded as in a text; only where that text differs, each by itself.
+        starts = range(0, len(new), TOGETHER)
+        again = self._decoded([list(chain.from_iterable(got[k : k + TOGETHER])) for k in starts])
+        for k, text in zip(starts, again, strict=True):
+            some = new[k : k + TOGETHER]
+            if text != self._shown("".join(some)):
+                self.lost.update(w for w, a in zip(some, self._decoded(got[k : k + TOGETHER]), strict=True) if a != self._shown(w))
         self.memo.update(zip(new, map(packed, got), strict=True))
 
 
+@lru_cache(maxsize=1)
+def codec_of(data: bytes) -> Codec:
+    """One codec for all tasks of a Python worker, as it takes half a second to make."""
+    return Codec(data)
+
+
 def packed(ids: list[int]) -> bytes:
     return array("i", ids).tobytes()
 
@@ -217,7 +233,9 @@ def encode(docs: DataFrame, model_path: str, threads: int | None = None) -> Data
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         codec = None
         for batch in batches:
-            codec = codec or Codec(shared.value)
+            if codec is None:
+                codec = codec_of(shared.value)
+                codec.memo.clear()
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 rows = codec.encode(part.column("text").to_pylist())
