@@ -60,7 +60,9 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_T
     """All lines (doc_id, digest, line, n, leaf, exact), and (leaf, exact, template) of those whose template recurs."""
     lines = lines_of(docs, min_tokens)
     fields = (F.length("masked") - F.length(F.replace("masked", F.lit(FIELD)))) / len(FIELD)
-    keyed = stored(lines.select("doc_id", "digest", "line", "n", "leaf", "exact", "place", fields.cast("int").alias("fields")), "line-keys")
+    # With the masked lines, which cost most of the time, in a column of their own that only the tokens below are taken from.
+    held = stored(lines.select("doc_id", "digest", "line", "n", "leaf", "exact", "place", fields.cast("int").alias("fields"), "masked"), "line-keys", "zstd")
+    keyed = held.drop("masked")
     # One row per line and text, then per line, each with one of its places.
     kinds = keyed.groupBy("leaf", "exact", "n", "fields", "digest").agg(F.min("place").alias("place"))
     kinds = kinds.groupBy("leaf", "exact", "n", "fields").agg(F.count("*").alias("texts"), F.min("place").alias("place"))
@@ -68,7 +70,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_T
     # Leaves that hold several lines are taken apart into tokens, each line once, from one place.
     leaves = kinds.groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1").select("leaf")
     wanted = kinds.join(leaves, "leaf", "left_semi")
-    once = lines.select("place", "masked").join(wanted.hint("shuffle_hash"), "place").dropDuplicates(["place"])
+    once = held.select("place", "masked").join(wanted.hint("shuffle_hash"), "place").dropDuplicates(["place"])
     parts = once.select("leaf", "exact", "n", "texts", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     parts = parts.where(F.col("token") != FIELD).select("leaf", "exact", "n", "texts", F.xxhash64("at", "token").alias("token"), (F.col("at") < LEADING).alias("leads"))
     parts = stored(parts, "line-tokens")
