@@ -6,8 +6,9 @@ directions within a group is inner and goes, the others are the group's outline.
 have to meet in the same vertices after snapping, and polygons of one group must not overlap.
 
 The outline is put together without taking a ring into one task. Each edge knows the next
-one; its ring and its place there come from list ranking by pointer doubling, in rounds that
-grow with the logarithm of the longest ring. Where several edges leave a vertex the leftmost
+one. Edges are dealt by squares; within a chunk of these, rings that lie there are finished and
+of the others chains are made (``rings``). A chain's ring and place come from list ranking by
+pointer doubling, in rounds that grow with the logarithm of the chains in a ring. Where several edges leave a vertex the leftmost
 turn follows, which keeps pieces apart that only touch; a ring that then passes a vertex
 twice is cut there, and ranked again. Holes need no search for their shell: pieces are
 the connected components of polygons over inner edges, and a piece has one shell.
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from landcompare.functions.geometry import let, ring_area
 from landcompare.operators.components import connected_components
+from landcompare.operators.rings import CHAINS, CHUNK, chains, chunks
 from landcompare.sources.shared import stored
 
 GRID = 0.0001
@@ -106,36 +108,72 @@ def ranked(following: DataFrame) -> DataFrame:
             return state.select("id", "ring", "steps")
 
 
-def _leftmost(outline: DataFrame) -> DataFrame:
-    """(id, following): the leftmost turn at each edge's end."""
-    after = outline.select("group", F.col("id").alias("following"), F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("x2").alias("x3"), F.col("y2").alias("y3"))
-    met = outline.join(after, ["group", "x2", "y2"])
-    dx, dy, ex, ey = ((F.col(a) - F.col(b)).cast("double") for a, b in (("x2", "x1"), ("y2", "y1"), ("x3", "x2"), ("y3", "y2")))
-    turn = F.atan2(dx * ey - dy * ex, dx * ex + dy * ey)
-    return met.groupBy("id").agg(F.max_by("following", turn).alias("following"))
+CELL = 128  # times the median length of edges is the side of the squares that are kept together
+ENDS = "owner BIGINT, row BIGINT, column BIGINT, x BIGINT, y BIGINT, leaves BOOLEAN, id BIGINT, part BIGINT, dx BIGINT, dy BIGINT, following BIGINT"
 
 
-def _order() -> Column:
-    """Places along a ring: the least id first, then by falling distance to it."""
-    return F.struct((F.col("steps") > 0).alias("behind"), (-F.col("steps")).alias("back"))
+def _contracted(outline: DataFrame, side: int, cut: bool) -> DataFrame:
+    """Chains of outline edges (owner, id, part, x1, y1, dx, dy, and following where it is known): CHAINS, and a row for each link between chains.
+
+    Both ends of every edge go to the square they lie in, where vertices are whole, so any number of vertices makes a chunk. Rings within a
+    chunk are finished there; of the others the chunk has chains, whose ``ring`` is the last edge, with ``back`` to it. An edge that ends in
+    another chunk has its following one in a row without a ``ring``.
+    """
+    begin = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"), F.lit(True).alias("leaves"))
+    end = F.struct((F.col("x1") + F.col("dx")).alias("x"), (F.col("y1") + F.col("dy")).alias("y"), F.lit(False).alias("leaves"))
+    ends = outline.select("*", F.inline(F.array(begin, end)))
+    ends = ends.withColumns({"row": F.floor(F.col("y") / side).cast("bigint"), "column": F.floor(F.col("x") / side).cast("bigint")})
+    ends = ends.select(*(c.split()[0] for c in ENDS.split(", ")))
+
+    most = CHUNK
+
+    def run(batches):
+        for ends in chunks(batches, most):
+            yield chains(ends, cut)
+
+    # A square's vertices stay together even where a chunk is full, as rows are sorted by them.
+    return ends.repartition("owner", "row", "column").sortWithinPartitions("owner", "row", "column", "x", "y").mapInArrow(run, CHAINS)
 
 
-def assemble(outline: DataFrame) -> DataFrame:
-    """(group, ring, id, place, x1, y1, part) of outline edges (group, id, part, x1, y1, x2, y2): simple rings, sorted by place."""
-    following = stored(_leftmost(outline), "following")
-    placed = stored(outline.join(ranked(following), "id").withColumn("place", _order()), "placed")
+def assemble(outline: DataFrame, side: int) -> DataFrame:
+    """(owner, ring, id, place, x1, y1, part) of outline edges (owner, id, part, x1, y1, dx, dy): simple rings, sorted by place."""
+    parts = stored(_contracted(outline.withColumn("following", F.lit(None).cast("bigint")), side, True), "chains")
+    found, open_ = _finished(parts)
+    if open_ is None:
+        return found
     # Passes of one ring through one vertex: the edge into a pass goes on where the pass before left.
-    visit = Window.partitionBy("group", "ring", "x1", "y1")
-    passes = placed.groupBy("group", "ring", "x1", "y1").agg(F.count("*").alias("passes")).where("passes > 1").drop("passes")
-    again = placed.join(passes, ["group", "ring", "x1", "y1"]).select(
-        F.col("id").alias("following"),
-        F.coalesce(F.lag("id").over(visit.orderBy("place")), F.max_by("id", "place").over(visit)).alias("instead"),
+    visit = Window.partitionBy("owner", "ring", "x1", "y1")
+    passes = open_.groupBy("owner", "ring", "x1", "y1").agg(F.count("*").alias("passes")).where("passes > 1").drop("passes")
+    again = open_.join(passes, ["owner", "ring", "x1", "y1"]).select(
+        "ring", F.col("id").alias("following"), F.coalesce(F.lag("id").over(visit.orderBy("place")), F.max_by("id", "place").over(visit)).alias("instead")
     )
     again = stored(again, "cut-rings")
-    if again.take(1):
-        cut = following.join(again, "following", "left").select("id", F.coalesce("instead", "following").alias("following"))
-        placed = outline.join(ranked(cut), "id").withColumn("place", _order())
-    return placed.select("group", "ring", "id", "place", "x1", "y1", "part")
+    if not again.take(1):
+        return found.unionByName(open_.select(found.columns))
+    rings = again.select("ring").distinct()
+    cut = open_.join(rings, "ring", "left_semi").join(again.drop("ring"), "following", "left")
+    cut = cut.select("owner", "id", "part", "x1", "y1", "dx", "dy", F.coalesce("instead", "following").alias("following"))
+    rest = open_.join(rings, "ring", "left_anti")
+    closed, long = _finished(stored(_contracted(cut, side, False), "cut-chains"))
+    whole = found.unionByName(rest.select(found.columns)).unionByName(closed)
+    return whole if long is None else whole.unionByName(long.select(found.columns))
+
+
+def _finished(chains: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The rings that lie within chunks, and, where there are any, those that are put together of chains."""
+    kept = ["owner", "ring", "id", F.struct("behind", "back", F.lit(0).cast("bigint").alias("within")).alias("place"), "x1", "y1", "part"]
+    closed = chains.where("closed").select(*kept)
+    links = chains.where("ring IS NULL").select("id", "following")
+    if not links.take(1):
+        return closed, None
+    parts = chains.where("ring IS NOT NULL AND NOT closed")
+    starts = parts.select(F.col("id").alias("following"), F.col("ring").alias("next"))
+    order = ranked(links.join(starts, "following").select("id", F.col("next").alias("following")))
+    order = order.select(F.col("id").alias("chain"), F.col("ring").alias("whole"), "steps")
+    parts = parts.withColumnRenamed("ring", "chain").join(order, "chain").join(links.withColumnsRenamed({"following": "beyond"}), "id", "left")
+    place = F.struct((F.col("steps") > 0).alias("behind"), (-F.col("steps")).alias("back"), F.col("back").alias("within"))
+    following = F.coalesce("following", "beyond").alias("following")
+    return closed, stored(parts.select("owner", F.col("whole").alias("ring"), "id", place.alias("place"), "x1", "y1", "part", "dx", "dy", following), "placed")
 
 
 def dissolve(zones: DataFrame, grid: float = GRID) -> DataFrame:
@@ -147,31 +185,34 @@ def dissolve(zones: DataFrame, grid: float = GRID) -> DataFrame:
     """
     parts = zones.select(F.monotonically_increasing_id().alias("zone"), "group", "geometry")
     parts = stored(parts.withColumn("group", F.to_json(F.struct("group"))), "dissolve-zones")
-    lines = edges(parts.select("zone", "geometry"), grid).join(parts.select("zone", "group"), "zone")
-    lines = lines.select("group", F.xxhash64("zone", "polygon").alias("part"), *_undirected())
+    lines = edges(parts.select(F.struct("zone", "group").alias("zone"), "geometry"), grid)
+    lines = lines.select("zone.group", F.xxhash64("zone.zone", "polygon").alias("part"), *_undirected())
     met = lines.groupBy("group", *EDGE).agg(F.sum("way").alias("way"), F.min("part").alias("part"), F.max("part").alias("other"), F.count("*").alias("claims"))
     met = stored(met.withColumn("id", F.monotonically_increasing_id()), "dissolve-edges")
-    over = met.agg(F.count_if(F.abs("way") > 1)).first()[0]
+    length = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
+    over, median = met.agg(F.count_if(F.abs("way") > 1), F.percentile_approx(length, 0.5)).first()
     if over:
         raise Overlap(f"{over} edges belong to several polygons of one group on the same side")
     back = F.col("way") < 0
     ends = [F.when(back, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))]
-    outline = met.where("way <> 0").select("group", "id", "part", *ends)
+    outline = met.where("way <> 0").select(F.xxhash64("group").alias("owner"), "id", "part", *ends)
+    outline = outline.select("owner", "id", "part", "x1", "y1", (F.col("x2") - F.col("x1")).alias("dx"), (F.col("y2") - F.col("y1")).alias("dy"))
+    names = parts.groupBy("group").agg(F.xxhash64("group").alias("owner"))
     pieces = connected_components(met.where("claims > 1").select(F.col("part").alias("a"), F.col("other").alias("b")))
-    rings = assemble(outline).groupBy("group", "ring").agg(
+    rings = assemble(outline, CELL * max(1, median or 1)).groupBy("owner", "ring").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("place", "x1", "y1"))), lambda p: F.struct(p["x1"].alias("x"), p["y1"].alias("y"))).alias("points"),
         F.min("part").alias("node"),
     )
     first = F.array_position("points", F.array_min("points")).cast("int")
     turned = F.concat(F.slice("points", first, F.size("points")), F.slice("points", 1, first))  # closed by its first point
-    rings = rings.join(pieces, "node", "left").select("group", F.coalesce("component", "node").alias("piece"), turned.alias("points"))
+    rings = rings.join(pieces, "node", "left").select("owner", F.coalesce("component", "node").alias("piece"), turned.alias("points"))
     rings = rings.withColumn("hole", ring_area(_plain(F.col("points"))) < 0)
     scaled = F.transform("points", lambda p: F.struct((p["x"] * grid).alias("x"), (p["y"] * grid).alias("y")))
-    rings = rings.select("group", "piece", "hole", F.col("points")[0].alias("start"), (F.size("points") - 1).alias("n"), scaled.alias("points"))
+    rings = rings.select("owner", "piece", "hole", F.col("points")[0].alias("start"), (F.size("points") - 1).alias("n"), scaled.alias("points"))
     piece = F.sort_array(F.collect_list(F.struct("hole", "start", "points")))
-    polygons = rings.groupBy("group", "piece").agg(F.transform(piece, lambda r: r["points"]).alias("rings"), F.sum("n").alias("n"))
+    polygons = rings.groupBy("owner", "piece").agg(F.transform(piece, lambda r: r["points"]).alias("rings"), F.sum("n").alias("n"))
     whole = F.sort_array(F.collect_list("rings"))
-    found = polygons.groupBy("group").agg(whole.alias("geometry"), F.sum("n").alias("n_edges"), F.count("*").alias("n_pieces"))
+    found = polygons.groupBy("owner").agg(whole.alias("geometry"), F.sum("n").alias("n_edges"), F.count("*").alias("n_pieces")).join(names, "owner")
     kind = zones.schema["group"].dataType.simpleString()
     return found.select(F.from_json("group", f"group {kind}")["group"].alias("group"), "geometry", "n_edges", "n_pieces")
 

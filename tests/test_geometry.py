@@ -329,3 +329,31 @@ def test_only_crowded_cells_are_copied(spark, monkeypatch):
     rows = found.collect()
     assert {r.id: r.zone for r in rows} == want and len(rows) == len(points)
     assert [(r.crowd_row, r.crowd_column, r.parts) for r in kept["crowds"].collect()] == [(2, 2, 21)]
+
+
+@pytest.mark.parametrize(("cell", "chunk"), [(1, 1), (2, 7), (128, 50)])
+def test_rings_over_many_chunks(spark, monkeypatch, cell, chunk):
+    """Rings that touch themselves, larger than a chunk, come out as from one."""
+    own = random.Random(11)
+    zones, _, _ = random_map(own, 12, ["a", "b"])
+    frame = spark.createDataFrame(zones, SHAPES)
+    want = sorted(map(repr, C.dissolve(frame).collect()))
+    monkeypatch.setattr(C, "CELL", cell)
+    monkeypatch.setattr(C, "CHUNK", chunk)
+    assert sorted(map(repr, C.dissolve(frame).collect())) == want
+
+
+def test_rings_of_a_chunk_need_no_rounds(spark, monkeypatch):
+    """A thousand squares: no list ranking over all their edges."""
+    names, stored = [], C.stored
+    monkeypatch.setattr(C, "stored", lambda f, name: names.append(name) or stored(f, name))
+    zones = [(k, "x", [[cell_ring(2 * (k % 32), 2 * (k // 32))]]) for k in range(1000)]
+    row = C.dissolve(spark.createDataFrame(zones, SHAPES)).first()
+    assert (row.n_pieces, row.n_edges) == (1000, 4000) and "rings" not in names
+
+
+def test_bytes_are_read_on_arrays(spark):
+    """Not digit by digit of their hex text, which took most of the time of queries on geometry."""
+    frame = spark.range(1).select(G.read_wkb(F.lit(wkb([[[(0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (0.0, 0.0)]]]))).alias("g"))
+    assert "conv(" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    assert G.wkb_module.__name__ in __import__("pyspark.cloudpickle", fromlist=["x"]).list_registry_pickle_by_value()
