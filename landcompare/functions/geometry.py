@@ -1,9 +1,9 @@
 """Polygons as columns: WKB read and written, areas on the plane and on the sphere.
 
 A geometry is an array of polygons, a polygon an array of rings (the shell first, then
-its holes), a ring an array of points whose last one repeats the first. All of it is
-built-in functions: bytes are taken from the hex text, doubles are put together from
-their sign, exponent and fraction, which is exact in both directions.
+its holes), a ring an array of points whose last one repeats the first. Areas are built-in
+functions; bytes are read and written on Arrow arrays within tasks (``functions.wkb``), as
+built-in functions have to put each double together from hex digits.
 """
 
 from __future__ import annotations
@@ -13,12 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from landcompare.functions import wkb as wkb_module
+
 POINT = "struct<x:double,y:double>"
 GEOMETRY = f"array<array<array<{POINT}>>>"
 
-# WKB type codes, and the flag of a spatial reference number behind the code.
-POLYGON, MULTIPOLYGON, SRID = 3, 6, 0x20000000
-
 ACRE = 4046.8564224  # square metres, fixed value
 EARTH = 6371007.1809  # radius in metres of the sphere with the earth's surface, fixed value
 
@@ -33,88 +32,7 @@ def _upto(n: Column, start: int = 1) -> Column:
     return F.when(n >= start, F.sequence(F.lit(start).cast("bigint"), n)).otherwise(F.array().cast("array<bigint>"))
 
 
-# Reading: the bytes as hex text, and turned as a whole, so that numbers with the little end first can be read there.
-
-
-def _held(wkb: Column) -> Column:
-    text = F.hex(wkb)
-    turned = F.regexp_replace(F.reverse(text), "(.)(.)", "$2$1")
-    return F.struct(text.alias("text"), turned.alias("turned"), F.octet_length(wkb).cast("bigint").alias("size"))
-
-
-def _marker(b: Column, at: Column) -> Column:
-    return F.substr(b["text"], (at * 2 + 1).cast("int"), F.lit(2))
-
-
-def _digits(b: Column, at: Column, little: Column, n: int) -> Column:
-    """The n bytes as hex digits of a number."""
-    return F.when(little, F.substr(b["turned"], ((b["size"] - at - n) * 2 + 1).cast("int"), F.lit(2 * n))).otherwise(
-        F.substr(b["text"], (at * 2 + 1).cast("int"), F.lit(2 * n))
-    )
-
-
-def _number(b: Column, at: Column, little: Column) -> Column:
-    """The unsigned number in four bytes, as BIGINT; NULL where they aren't there."""
-    return F.when((at >= 0) & (at + 4 <= b["size"]), F.conv(_digits(b, at, little, 4), 16, 10).cast("bigint"))
-
-
-def _double(b: Column, at: Column, little: Column) -> Column:
-    """The finite double in eight bytes; NULL if it is none."""
-
-    def halves(h: Column) -> Column:
-        high, low = (F.conv(F.substr(h, F.lit(k), F.lit(8)), 16, 10).cast("bigint") for k in (1, 9))
-        return let(F.struct(high.alias("high"), low.alias("low")), _from_halves)
-
-    return let(_digits(b, at, little, 8), halves)
-
-
-def _from_halves(halves: Column) -> Column:
-    exponent = F.shiftright(halves["high"], 20).bitwiseAND(F.lit(0x7FF))
-    fraction = (halves["high"].bitwiseAND(F.lit(0xFFFFF)) * F.lit(1 << 32) + halves["low"]).cast("double")
-    size = F.when(exponent == 0, fraction * F.lit(5e-324)).when(exponent < 0x7FF, (fraction / F.lit(2.0**52) + 1) * F.pow(F.lit(2.0), exponent - 1023))
-    return F.when(halves["high"] >= 1 << 31, -size).otherwise(size)
-
-
-PLACES = "array<struct<at:bigint,n:bigint>>"
-
-
-def _rings(b: Column, at: Column) -> Column:
-    """(at, ok, little, rings): where a polygon's rings lie, and where it ends."""
-
-    def head(c: Column) -> Column:
-        n = _number(b, c["begin"], c["little"])
-        ok = c["ok"] & (c["kind"] == POLYGON) & (n * 4 <= b["size"] - c["begin"])
-        return F.struct(c["begin"].alias("begin"), n.alias("n"), c["little"].alias("little"), F.coalesce(ok, F.lit(False)).alias("ok"))
-
-    def walk(h: Column) -> Column:
-        def ring(s: Column, _) -> Column:
-            def add(points: Column) -> Column:
-                end = s["at"] + 4 + points * 16
-                good = s["ok"] & F.coalesce(end <= b["size"], F.lit(False))
-                more = F.concat(s["rings"], F.array(F.struct((s["at"] + 4).alias("at"), points.alias("n"))))
-                return F.struct(F.when(good, end).otherwise(s["at"]).alias("at"), good.alias("ok"), F.when(good, more).otherwise(s["rings"]).alias("rings"))
-
-            return let(_number(b, s["at"], h["little"]), add)
-
-        zero = F.struct((h["begin"] + 4).alias("at"), h["ok"].alias("ok"), F.array().cast(PLACES).alias("rings"))
-        return let(
-            F.aggregate(_upto(F.when(h["ok"], h["n"]).otherwise(0)), zero, ring),
-            lambda s: F.struct(s["at"].alias("at"), s["ok"].alias("ok"), h["little"].alias("little"), s["rings"].alias("rings")),
-        )
-
-    return let(let(_code(b, at), head), walk)
-
-
-def _code(b: Column, at: Column) -> Column:
-    """(little, kind, begin, ok): the byte order and type of a geometry, and where its content begins."""
-
-    def parts(m: Column) -> Column:
-        code = _number(b, at + 1, m == "01")
-        skip = F.when(code.bitwiseAND(F.lit(SRID)) > 0, 9).otherwise(5)
-        kind = code.bitwiseAND(F.lit(~SRID & 0xFFFFFFFF))
-        return F.struct((m == "01").alias("little"), kind.alias("kind"), (at + skip).alias("begin"), m.isin("00", "01").alias("ok"))
-
-    return let(_marker(b, at), parts)
+# Bytes
 
 
 def read_wkb(wkb: Column) -> Column:
@@ -122,77 +40,12 @@ def read_wkb(wkb: Column) -> Column:
 
     NULL if the bytes are anything else: another type or dimension, cut off, followed by more, or with a coordinate that isn't finite.
     """
-
-    parts = f"array<struct<little:boolean,rings:{PLACES}>>"
-
-    def walk(b: Column) -> Column:
-        def polygon(s: Column, _) -> Column:
-            def add(p: Column) -> Column:
-                good = s["ok"] & p["ok"]
-                more = F.concat(s["parts"], F.array(F.struct(p["little"].alias("little"), p["rings"].alias("rings"))))
-                return F.struct(F.when(good, p["at"]).otherwise(s["at"]).alias("at"), good.alias("ok"), F.when(good, more).otherwise(s["parts"]).alias("parts"))
-
-            return let(_rings(b, s["at"]), add)
-
-        def polygons(c: Column) -> Column:
-            """One that begins with the bytes, or those behind the count."""
-            many = F.coalesce(c["ok"] & (c["kind"] == MULTIPOLYGON), F.lit(False))
-            n = F.when(many, _number(b, c["begin"], c["little"])).otherwise(1)
-            ok = F.coalesce(n * 9 <= b["size"], F.lit(False))
-            start = F.struct(F.when(many, c["begin"] + 4).otherwise(0).cast("bigint").alias("at"), ok.alias("ok"), F.array().cast(parts).alias("parts"))
-            return F.aggregate(_upto(F.when(ok, n).otherwise(0)), start, polygon)
-
-        ends = F.lit(0).cast("bigint")
-        return let(let(_code(b, ends), polygons), lambda s: F.when(s["ok"] & (s["at"] == b["size"]), s["parts"]))
-
-    def points(b: Column, found: Column) -> Column:
-        def point(r: Column, little: Column, k: Column) -> Column:
-            at = r["at"] + k * 16
-            return F.struct(_double(b, at, little).alias("x"), _double(b, at + 8, little).alias("y"))
-
-        return F.transform(found, lambda p: F.transform(p["rings"], lambda r: F.transform(_upto(r["n"] - 1, 0), lambda k: point(r, p["little"], k))))
-
-    found = let(_held(wkb), lambda b: points(b, walk(b)))
-    return let(found, lambda g: F.when(~F.exists(F.flatten(F.flatten(g)), lambda p: p["x"].isNull() | p["y"].isNull()), g))
-
-
-# Writing
-
-
-def _count_hex(n: Column) -> Column:
-    return F.lpad(F.hex(n.cast("bigint")), 8, "0")
-
-
-def _double_hex(x: Column) -> Column:
-    def bits(a: Column) -> Column:
-        def exact(e: Column) -> Column:
-            e = F.when(F.pow(F.lit(2.0), e) > a, e - 1).when(F.pow(F.lit(2.0), e + 1) <= a, e + 1).otherwise(e)
-            return let(e, lambda e: (e + 1023) * F.lit(1 << 52) + ((a / F.pow(F.lit(2.0), e) - 1) * F.lit(2.0**52)).cast("bigint"))
-
-        small = (a * F.lit(2.0**537) * F.lit(2.0**537)).cast("bigint")
-        normal = F.when(a >= 2.0**-1022, let(F.greatest(F.floor(F.log2(a)), F.lit(-1022)).cast("bigint"), exact))
-        return F.when(a == 0, F.lit(0).cast("bigint")).when(a < 2.0**-1022, small).otherwise(normal)
-
-    signed = F.when(x < 0, let(F.abs(x), bits).bitwiseOR(F.lit(-(1 << 63)))).otherwise(let(F.abs(x), bits))
-    return F.lpad(F.hex(signed), 16, "0")
+    return F.arrow_udf(wkb_module.read, GEOMETRY)(wkb)
 
 
 def write_wkb(geometry: Column) -> Column:
     """The bytes of a multipolygon, big end first; NULL if the geometry is NULL or a coordinate isn't finite. Negative zeros become zeros."""
-
-    def points(ring: Column) -> Column:
-        return F.concat(_count_hex(F.size(ring)), F.array_join(F.transform(ring, lambda p: F.concat(_double_hex(p["x"]), _double_hex(p["y"]))), ""))
-
-    def polygon(rings: Column) -> Column:
-        return F.concat(F.lit("0000000003"), _count_hex(F.size(rings)), F.array_join(F.transform(rings, points), ""))
-
-    def whole(g: Column) -> Column:
-        text = F.concat(F.lit("0000000006"), _count_hex(F.size(g)), F.array_join(F.transform(g, polygon), ""))
-        odd = [float("inf"), float("-inf"), float("nan")]
-        bad = F.exists(F.flatten(F.flatten(g)), lambda p: F.coalesce(p["x"].isin(odd) | p["y"].isin(odd), F.lit(True)))
-        return F.when(~bad, F.unhex(text))
-
-    return let(geometry, whole)
+    return F.arrow_udf(wkb_module.write, "binary")(geometry)
 
 
 # Areas
