@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landcompare.llm.common import packed, stored, table, texts
+from landcompare.llm.common import few, frugal, packed, stored, table, texts
 from landcompare.llm.toxicity import pieces
 
 K1, B = 1.2, 0.75
@@ -233,7 +233,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 def _leaks_of(shared):
     def run(batches):
         index = None
-        for batch in batches:
+        for batch in few(batches):
             index = index or Index(*shared.value)
             rows = _search(batch.column("text").to_pylist(), index)
             ids = pa.array(np.repeat(np.arange(len(rows)), list(map(len, rows))))
@@ -242,7 +242,7 @@ def _leaks_of(shared):
             columns = [batch.column("doc_id").take(ids), *(pa.array(c, t) for c, t in zip(flat, types, strict=True))]
             yield pa.record_batch(columns, ["doc_id", "item", "passage", "score", "question_overlap", "answer_overlap", "overlap"])
 
-    return run
+    return frugal(run)
 
 
 def drop_leaking(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -256,12 +256,12 @@ def drop_leaking(docs: DataFrame, items: DataFrame) -> DataFrame:
 def _clean_of(shared):
     def run(batches):
         index = None
-        for batch in batches:
+        for batch in few(batches):
             index = index or Index(*shared.value)
             found = [t or "" for t in batch.column("row").field("text").to_pylist()]
             yield batch.filter(pa.array([not row for row in _search(found, index)], pa.bool_()))
 
-    return run
+    return frugal(run)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

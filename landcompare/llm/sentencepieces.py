@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from landcompare.llm.common import table, texts
+from landcompare.llm.common import few, frugal, table, texts
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -232,20 +232,20 @@ def encode(docs: DataFrame, model_path: str, threads: int | None = None) -> Data
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         codec = None
-        for batch in batches:
-            if codec is None:
-                codec = codec_of(shared.value)
-                codec.memo.clear()
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+        try:
+            for part in few(batches):
+                codec = codec or codec_of(shared.value)
                 rows = codec.encode(part.column("text").to_pylist())
                 sizes = np.array([len(r[0]) // 4 for r in rows], np.int64)
                 values = pa.array(np.frombuffer(b"".join(r[0] for r in rows), np.int32))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), values)
                 flags = [pa.array([r[k] for r in rows], pa.bool_()) for k in (1, 2)]
                 yield pa.record_batch([part.column("doc_id"), lists, pa.array(sizes), *flags], ["doc_id", "ids", "n_tokens", "parity", "round_trip"])
+        finally:
+            if codec:
+                codec.memo.clear()  # the codec stays with the worker, which other operators use as well
 
-    return texts(docs).mapInArrow(run, "doc_id BIGINT, ids ARRAY<INT>, n_tokens BIGINT, parity BOOLEAN, round_trip BOOLEAN")
+    return texts(docs).mapInArrow(frugal(run), "doc_id BIGINT, ids ARRAY<INT>, n_tokens BIGINT, parity BOOLEAN, round_trip BOOLEAN")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:

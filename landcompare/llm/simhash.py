@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landcompare.llm.common import digest, packed, stored, table, texts
+from landcompare.llm.common import digest, few, frugal, packed, stored, table, texts
 from landcompare.operators.components import connected_components
 
 SHINGLE, MAX_BITS = 4, 4
@@ -99,11 +99,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, key BINARY, fingerprint BIGINT) of every row; the key stands for id and text."""
 
     def run(batches):
-        for batch in batches:
+        for batch in few(batches):
             found = pa.array([simhash(t, shingle) for t in batch.column("text").to_pylist()], pa.int64())
             yield pa.record_batch([batch.column("doc_id"), batch.column("key"), found], ["doc_id", "key", "fingerprint"])
 
-    return texts(docs).withColumn("key", _key_of_row()).mapInArrow(run, "doc_id BIGINT, key BINARY, fingerprint BIGINT")
+    return texts(docs).withColumn("key", _key_of_row()).mapInArrow(frugal(run), "doc_id BIGINT, key BINARY, fingerprint BIGINT")
 
 
 # Index
@@ -167,7 +167,7 @@ def forests(listed: DataFrame, node: str, distance, limit: int) -> DataFrame:
                 yield pa.record_batch([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64))], ["a", "b"])
 
     dealt = listed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a BIGINT, b BIGINT").where("a <> b")
+    return dealt.mapInArrow(frugal(run), "a BIGINT, b BIGINT").where("a <> b")
 
 
 def _changes(columns: dict[str, np.ndarray]) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from landcompare.llm.common import packed, table, texts
+from landcompare.llm.common import few, frugal, packed, table, texts
 
 MAX_ROWS = 12_000
 BUCKETS = 1 << 20
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
 
     def hashed(batches):
         grams = Grams()
-        for batch in batches:
+        for batch in few(batches):
             found = [grams(t) for t in batch.column("text").to_pylist()]
             offsets = np.cumsum([0, *map(len, found)])
             lists = pa.LargeListArray.from_arrays(offsets, pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))
@@ -134,10 +134,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
         at = np.flatnonzero(weights).astype(np.int32)
         yield pa.record_batch([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(weights[at], bias))], ["bucket", "weight"])
 
-    sample = training_rows(docs, labels, label, max_rows).mapInArrow(hashed, "doc_id BIGINT, label INT, grams ARRAY<INT>")
+    sample = training_rows(docs, labels, label, max_rows).mapInArrow(frugal(hashed), "doc_id BIGINT, label INT, grams ARRAY<INT>")
     # One task for a sample of bounded size, in an order that depends on the ids alone.
     ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
-    model = ordered.mapInArrow(learn, "bucket INT, weight DOUBLE").toPandas().sort_values("bucket")
+    model = ordered.mapInArrow(frugal(learn), "bucket INT, weight DOUBLE").toPandas().sort_values("bucket")
     bias = float(model.weight[model.bucket == -1].sum())
     model = model[model.bucket >= 0]
     return bias, model.bucket.to_numpy(), model.weight.to_numpy()
@@ -154,7 +154,7 @@ def _scored(rows: DataFrame, model, threshold: float, kept: list[str]) -> DataFr
 
     def run(batches):
         weights = grams = None
-        for batch in batches:
+        for batch in few(batches):
             if weights is None:
                 bias, buckets, values = shared.value
                 weights, grams = np.zeros(BUCKETS), Grams()
@@ -166,7 +166,7 @@ def _scored(rows: DataFrame, model, threshold: float, kept: list[str]) -> DataFr
             yield pa.record_batch(columns, [*kept, "score", "predicted"])
 
     more = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
-    return rows.mapInArrow(run, T.StructType([*(rows.schema[c] for c in kept), *more]))
+    return rows.mapInArrow(frugal(run), T.StructType([*(rows.schema[c] for c in kept), *more]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

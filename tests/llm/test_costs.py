@@ -83,3 +83,35 @@ def test_one_counter_for_all_tasks_of_a_worker():
     with open(public_tokenizers.path(tokencounts.TOKENIZER)) as file:
         content = file.read()
     assert tokencounts.counter_of(content) is tokencounts.counter_of(content)
+
+
+def test_worker_keeps_no_words_after_a_task(monkeypatch):
+    """Python workers outlive their tasks, so the words of one would weigh on the next operator's memory."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from landcompare.llm import common, sentencepieces
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    class Docs:
+        class sparkSession:
+            class conf:
+                get = staticmethod(lambda name, default: default)
+
+            class sparkContext:
+                broadcast = staticmethod(lambda data: type("Shared", (), {"value": data}))
+
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    monkeypatch.setattr(sentencepieces, "texts", lambda docs: Rows())
+    path = public_tokenizers.path(sentencepieces.MODEL)
+    run = sentencepieces.encode(Docs, path)
+    batch = pa.record_batch([pa.array(range(500)), pa.array([f"some words {k}" for k in range(500)])], ["doc_id", "text"])
+    found = list(run(iter([batch])))
+    assert sum(b.num_rows for b in found) == 500 and all(b.num_rows <= common.TEXTS for b in found)
+    with open(path, "rb") as file:
+        assert not sentencepieces.codec_of(file.read()).memo
+    assert given == [1]
