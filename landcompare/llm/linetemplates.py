@@ -34,15 +34,19 @@ LEADING = 3
 CONSTANT_SHARE = 0.8
 COPY_SHARE, COPY_LINES, WHOLE_SHARE = 0.5, 3, 0.8
 FIELD = "<*>"
+BITMAPS, BITMAP_BITS = 2048, 1 << 15  # 8 MB, which tell some ten million keys from others
 
 
 def masked(text: Column) -> Column:
     """The lines of a text, with single blanks between their tokens and those with a digit as a variable field.
 
-    Both patterns run once over the whole text; each token is looked at once.
+    Both patterns run once over the whole text; each token is looked at once. Single blanks are no match, and all
+    before the next digit is passed at once; the field put at the end is found from anywhere, so no search is in vain.
     """
-    text = F.regexp_replace(text, r"[\x09\x0B-\x0D\x20]+", " ")
-    text = F.regexp_replace(text, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*", FIELD)
+    text = F.regexp_replace(text, r"[\x09\x0B-\x0D\x20](?:[\x09\x0B-\x0D\x20]++|(?<!\x20))", " ")
+    text = F.regexp_replace(F.concat(text, F.lit(" 0")), r"((?:[^0-9]*[ \n])?)[^ \n0-9]*+[0-9][^ \n]*+", f"$1{FIELD}")
+    # As the one entry of an array, so that it is computed once.
+    text = F.transform(F.array(text), lambda whole: F.substring(whole, F.lit(1), F.length(whole) - len(FIELD) - 1))[0]
     return F.transform(F.split(text, "\n"), lambda line: F.trim(line))
 
 
@@ -51,15 +55,29 @@ def lines_of(docs: DataFrame, min_tokens: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     # The generator keeps the lines from being computed anew in every column.
     rows = rows.select("doc_id", F.xxhash64("text").alias("digest"), F.posexplode(masked(F.col("text"))).alias("line", "masked"))
-    rows = rows.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "))) + 1).where(F.col("n") >= min_tokens)
+    rows = rows.withColumn("n", F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "))) + 1).where(F.col("n") >= min_tokens)
     leaf = F.xxhash64("n", F.substring_index("masked", " ", LEADING))
     return rows.select("*", leaf.alias("leaf"), F.xxhash64("n", "masked").alias("exact"), F.xxhash64("doc_id", "digest", "line").alias("place"))
 
 
+def sifted(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """The rows whose column ``name``, evenly spread integers, may be among that of ``keys``, and few others, without a shuffle of the rows.
+
+    The keys are marked in bitmaps of one size in all, which every task holds; those too many for them only let more other rows pass.
+    """
+    spot = lambda key: (key.bitwiseAND(F.lit(BITMAPS * BITMAP_BITS - 1)) + 1)  # noqa: E731  bitmaps count from 1
+    marks = keys.select(F.bitmap_bucket_number(spot(F.col(name))).alias("bitmap"), F.bitmap_bit_position(spot(F.col(name))).alias("bit"))
+    marks = marks.repartition("bitmap").groupBy("bitmap").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bit = F.bitmap_bit_position(spot(rows[name]))
+    octet = F.conv(F.hex(F.substring(marks["bits"], (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = (F.bitmap_bucket_number(spot(rows[name])) == marks["bitmap"]) & (F.getbit(octet, (bit % 8).cast("int")) == 1)
+    return rows.join(F.broadcast(marks), marked, "left_semi")
+
+
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, share: float = CONSTANT_SHARE) -> tuple[DataFrame, DataFrame]:
     """All lines (doc_id, digest, line, n, leaf, exact), and (leaf, exact, template) of those whose template recurs."""
     lines = lines_of(docs, min_tokens)
-    fields = (F.length("masked") - F.length(F.replace("masked", F.lit(FIELD)))) / len(FIELD)
+    fields = (F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(FIELD)))) / len(FIELD)
     # With the masked lines, which cost most of the time, in a column of their own that only the tokens below are taken from.
     held = stored(lines.select("doc_id", "digest", "line", "n", "leaf", "exact", "place", fields.cast("int").alias("fields"), "masked"), "line-keys", "zstd")
     keyed = held.drop("masked")
@@ -69,8 +87,8 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_tokens: int = MIN_T
     kinds = stored(kinds.where(F.col("n") - F.col("fields") >= share * F.col("n")).drop("fields"), "line-kinds")
     # Leaves that hold several lines are taken apart into tokens, each line once, from one place.
     leaves = kinds.groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1").select("leaf")
-    wanted = kinds.join(leaves, "leaf", "left_semi")
-    once = held.select("place", "masked").join(wanted.hint("shuffle_hash"), "place").dropDuplicates(["place"])
+    wanted = stored(kinds.join(leaves, "leaf", "left_semi"), "line-wanted")
+    once = sifted(held.select("place", "masked"), wanted, "place").join(wanted.hint("shuffle_hash"), "place").dropDuplicates(["place"])
     parts = once.select("leaf", "exact", "n", "texts", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     parts = parts.where(F.col("token") != FIELD).select("leaf", "exact", "n", "texts", F.xxhash64("at", "token").alias("token"), (F.col("at") < LEADING).alias("leads"))
     parts = stored(parts, "line-tokens")

@@ -26,6 +26,48 @@ def test_lines_are_masked_once(spark, monkeypatch):
     assert {r.some_id for r in found} and reads.value == len(rows)
 
 
+def rows_shuffled(plan):
+    """Rows written to the shuffles of a plan that has run."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return rows_shuffled(plan.executedPlan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+    below = [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(k) for k in range(plan.children().size())]
+    return own + sum(map(rows_shuffled, below))
+
+
+def test_lines_alone_in_their_leaf_do_not_move(spark, monkeypatch):
+    """Only masked lines that are taken apart into tokens are dealt, not those of all texts."""
+    moved, plain = {}, linetemplates.stored
+
+    def noted(frame, name, *more):
+        if name == "line-tokens":
+            frame.collect()
+            moved[name] = rows_shuffled(frame._jdf.queryExecution().executedPlan())
+        return plain(frame, name, *more)
+
+    monkeypatch.setattr(linetemplates, "stored", noted)
+    letters = str.maketrans("0123456789", "abcdefghij")
+    rows = [(k, f"{word} line of a leaf alone\nlines of one leaf share all but {word}") for k in range(1000) for word in [str(k).translate(letters)]]
+    rows = [(k, text if k < 20 else text.split("\n")[0]) for k, text in rows]
+    found = linetemplates.dropped(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()
+    assert sorted((r.some_id, *r.drops) for r in found) == [(k, 1) for k in range(1, 20)]
+    assert 20 <= moved["line-tokens"] < 100
+
+
+def test_sifted_rows_hold_all_keys(spark, monkeypatch):
+    """At the ends of bitmaps and numbers too, and where there are too many keys for the bitmaps."""
+    ends = [0, -1, 1, 7, 8, (1 << 15) - 1, 1 << 15, (1 << 26) - 1, 1 << 26, (1 << 63) - 1, -(1 << 63)]
+    ends = spark.createDataFrame([(x,) for x in ends], "place BIGINT")
+    assert linetemplates.sifted(ends, ends, "place").count() == 11 and linetemplates.sifted(ends, ends.limit(0), "place").count() == 0
+    rows = spark.range(100_000).select(F.xxhash64("id").alias("place"), "id")
+    few, many = rows.where("id % 100 = 0").select("place"), rows.where("id % 2 = 0").select("place")
+    assert 1000 <= linetemplates.sifted(rows, few, "place").count() < 1050
+    monkeypatch.setattr(linetemplates, "BITMAPS", 1)
+    found = linetemplates.sifted(rows, many, "place")
+    assert found.join(many, "place", "left_semi").count() == 50_000 and found.count() == found.select("id").distinct().count()
+
+
 def test_remembered_words_are_bounded_with_their_entries(monkeypatch):
     monkeypatch.setattr(tokencounts, "MEMO_BYTES", 1 << 20)
     with open(public_tokenizers.path(tokencounts.TOKENIZER)) as file:

@@ -1,6 +1,7 @@
 """Each operator against brute force, the library it rebuilds, or what it should find."""
 
 import random
+import re
 import time
 from collections import defaultdict
 from itertools import combinations
@@ -537,6 +538,20 @@ def test_shared_passages_are_no_copies(spark):
     assert found[40] == prose(70, 440)
 
 
+def test_masked_lines(spark):
+    """Against each token by itself, on texts of any blanks and digits, long ones among them."""
+    rng = random.Random(7)
+    alphabet = "ab0 9\t\n\r\x0b\x0c <*>$\\1\u00e9\u65e5\U0001f600\u0085\u0663 \n  "
+    texts = ["", "0", " 0", "\n0", " <*>", "a" * 100_000, "a" * 100_000 + "1", " " * 100_000, "a " * 50_000, "a1 " * 50_000]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None])], "doc_id BIGINT, text STRING").repartition(4)
+    found = dict(docs.select("doc_id", linetemplates.masked(F.col("text"))).collect())
+    field = lambda token: linetemplates.FIELD if re.search("[0-9]", token) else token
+    for k, text in enumerate(texts):
+        assert found[k] == [" ".join(map(field, re.split("[\t\x0b-\r ]+", line))).strip(" ") for line in text.split("\n")]
+    assert found[len(texts)] is None
+
+
 # Licenses
 
 
